@@ -1,20 +1,18 @@
-"""Column helpers for phrase and pattern tests.
-
-All helpers return plain Catalyst expressions.  Phrase lists become OR-ed
-``contains`` calls (a byte scan, cheaper than a regex alternation); patterns
-are compiled once per task and, where a pattern cannot match without a known
-literal, guarded by a ``contains`` test so that most rows skip the regex.
+"""Builders for phrase and pattern tests, as SQL expression text.
+
+Each helper takes and returns the text of a Spark SQL expression; callers wrap
+the result in ``F.expr``.  A list of thirty phrases is one parsed expression
+instead of a hundred Column calls, so plans are built quickly, and Catalyst
+sees ordinary built-in functions.  Phrase lists become OR-ed ``contains`` calls
+(a byte scan, cheaper than a regex alternation).  Patterns are compiled once
+per task and, where a pattern cannot match without a known literal, guarded by
+``contains`` so that most rows skip the regex.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
-from functools import reduce
-from operator import add, or_
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Mapping, Sequence
 
 # every character the text features treat as white space at the ends of a text
 WHITESPACE = "".join(map(chr, [
@@ -26,69 +24,86 @@ UNICODE = "(?U)"
 UNICODE_NOCASE = "(?iU)"
 
 
-def text_or_empty(col: Column) -> Column:
+def quoted(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def quoted_list(values: Sequence[str]) -> str:
+    return "(" + ", ".join(quoted(v) for v in values) + ")"
+
+
+def filled(expr: str) -> str:
     """NULL text behaves as the empty text everywhere."""
-    return F.coalesce(col, F.lit(""))
+    return f"coalesce({expr}, '')"
 
 
-def strip(col: Column) -> Column:
+def stripped(expr: str) -> str:
     """Remove any Unicode white space from both ends (``trim`` strips blanks only)."""
-    return F.btrim(col, F.lit(WHITESPACE))
+    return f"btrim({expr}, {quoted(WHITESPACE)})"
 
 
-def any_of(col: Column, phrases: Sequence[str]) -> Column:
+def any_of(expr: str, phrases: Sequence[str]) -> str:
     """True when at least one phrase occurs as a substring."""
-    return reduce(or_, [col.contains(p) for p in phrases])
+    return "(" + " OR ".join(f"contains({expr}, {quoted(p)})" for p in phrases) + ")"
 
 
-def hits(col: Column, phrases: Sequence[str]) -> Column:
+def hits(expr: str, phrases: Sequence[str]) -> str:
     """Number of list entries found; a repeated entry counts once per listing."""
-    return reduce(add, [col.contains(p).cast("int") for p in phrases])
+    return "(" + " + ".join(f"int(contains({expr}, {quoted(p)}))" for p in phrases) + ")"
 
 
-def matches(col: Column, pattern: str, nocase: bool = False,
-            needs: Sequence[str] = (), lowered: Column | None = None) -> Column:
+def matches(expr: str, pattern: str, nocase: bool = False, needs: Sequence[str] = (),
+            lowered: str | None = None) -> str:
     """Pattern search, skipped when none of the ``needs`` literals is present.
 
-    ``needs`` are looked up in ``lowered`` (default: the column itself).
+    ``needs`` are looked up in ``lowered`` (default: the expression itself).
     """
-    test = col.rlike((UNICODE_NOCASE if nocase else UNICODE) + pattern)
-    if not needs:
-        return test
-    return any_of(col if lowered is None else lowered, needs) & test
+    flags = UNICODE_NOCASE if nocase else UNICODE
+    test = f"rlike({expr}, {quoted(flags + pattern)})"
+    return f"({any_of(lowered or expr, needs)} AND {test})" if needs else test
 
 
-def count_matches(col: Column, pattern: str, nocase: bool = False) -> Column:
+def count_matches(expr: str, pattern: str, nocase: bool = False) -> str:
     """Number of non-overlapping matches."""
-    return F.regexp_count(
-        col, F.lit((UNICODE_NOCASE if nocase else UNICODE) + pattern)).cast("long")
+    flags = UNICODE_NOCASE if nocase else UNICODE
+    return f"bigint(regexp_count({expr}, {quoted(flags + pattern)}))"
 
 
-def count_substring(col: Column, phrase: str) -> Column:
+def count_substring(expr: str, phrase: str) -> str:
     """Number of non-overlapping occurrences of a literal."""
-    removed = F.length(col) - F.length(F.replace(col, F.lit(phrase), F.lit("")))
-    return F.floor(removed / len(phrase)).cast("long")
+    return (f"bigint((length({expr}) - length(replace({expr}, {quoted(phrase)}, ''))) "
+            f"div {len(phrase)})")
 
 
 def bounded(words: Sequence[str]) -> str:
-    """One alternation that matches any of the words between word boundaries."""
+    """A pattern that matches any of the words between word boundaries."""
     return r"\b(?:" + "|".join(re.escape(w) for w in words) + r")\b"
 
 
-def has_word(col: Column, words: Sequence[str]) -> Column:
+def either(patterns: Sequence[str]) -> str:
+    """A pattern that matches any of the patterns."""
+    return "(?:" + "|".join(patterns) + ")"
+
+
+def has_word(expr: str, words: Sequence[str]) -> str:
     """True when a word or phrase of the list occurs between word boundaries."""
-    return matches(col, bounded(words), needs=words)
+    return matches(expr, bounded(words), needs=words)
 
 
-def distinct_words(col: Column, words: Sequence[str]) -> Column:
+def distinct_words(expr: str, words: Sequence[str]) -> str:
     """How many different single words of the list occur between boundaries."""
-    found = F.regexp_extract_all(col, F.lit(UNICODE + bounded(words)), F.lit(0))
-    return F.size(F.array_distinct(found))
+    return (f"size(array_distinct(regexp_extract_all({expr}, "
+            f"{quoted(UNICODE + bounded(words))}, 0)))")
+
+
+def case(branches: Sequence[tuple[str, str]], default: str = "NULL") -> str:
+    """First-match-wins CASE from (condition, value) texts."""
+    whens = " ".join(f"WHEN {condition} THEN {value}" for condition, value in branches)
+    return f"CASE {whens} ELSE {default} END"
 
 
-def case(branches: Sequence[tuple[Column, object]], default: object = None) -> Column:
-    """First-match-wins CASE built from (condition, value) pairs."""
-    expr = F.when(branches[0][0], branches[0][1])
-    for condition, value in branches[1:]:
-        expr = expr.when(condition, value)
-    return expr if default is None else expr.otherwise(default)
+def mapped(expr: str, values: Mapping[str, str]) -> str:
+    """CASE that maps string values to other expression texts."""
+    whens = " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in values.items())
+    return f"CASE {expr} {whens} END"

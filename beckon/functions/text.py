@@ -2,98 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beckon import lexicons as L
 from beckon.functions.match import (
-    UNICODE, any_of, bounded, count_matches, count_substring, matches, strip,
-    text_or_empty,
+    UNICODE, any_of, bounded, count_matches, count_substring, filled, matches, quoted,
+    stripped,
 )
 
-_RAW, _LOW, _STRIPPED = "_text", "_lowered", "_stripped"
+_T, _LOW, _STRIPPED = "_text", "_lowered", "_stripped"
 
 
-def _prepare(df: DataFrame, text_col: str) -> DataFrame:
-    raw = text_or_empty(F.col(text_col))
-    return df.withColumns({_RAW: raw, _LOW: F.lower(raw), _STRIPPED: strip(raw)})
+def _flag(pattern: str, needs: list[str] | None = None) -> str:
+    return matches(_T, pattern, nocase=True, needs=needs or (), lowered=_LOW)
 
 
-def _base_columns() -> dict:
+def _base() -> dict[str, str]:
     """Features that depend on the text alone."""
-    t, low, stripped = F.col(_RAW), F.col(_LOW), F.col(_STRIPPED)
-
-    def flag(pattern, needs=()):
-        return matches(t, pattern, nocase=True, needs=needs, lowered=low)
-
-    pieces = F.filter(F.split(stripped, UNICODE + L.SENTENCE_BREAK),
-                      lambda piece: strip(piece) != "")
-    urgency = F.when(any_of(low, L.URGENCY_WORDS),
-                     count_matches(t, bounded(L.URGENCY_WORDS), nocase=True))
-    scam_words = F.when(any_of(low, L.SCAM_WORDS),
-                        count_matches(t, bounded(L.SCAM_WORDS), nocase=True))
-    scam_phrases = sum((count_substring(low, p) for p in L.SCAM_PHRASES), F.lit(0))
+    pieces = (f"filter(split({_STRIPPED}, {quoted(UNICODE + L.SENTENCE_BREAK)}), "
+              f"piece -> {stripped('piece')} != '')")
+    urgency = count_matches(_T, bounded(L.URGENCY_WORDS), nocase=True)
+    scam_words = count_matches(_T, bounded(L.SCAM_WORDS), nocase=True)
+    scam_phrases = " + ".join(count_substring(_LOW, p) for p in L.SCAM_PHRASES)
+    forwards = count_matches(_T, L.FORWARDED, nocase=True)
     links = ["http://", "https://"]
     return {
-        "has_at_mention": t.contains("@"),
-        "has_question": t.contains("?"),
-        "char_count": F.length(stripped).cast("long"),
-        "word_count": count_matches(t, r"\S+"),
-        "sentence_count": F.when(stripped == "", F.lit(0)).otherwise(
-            F.greatest(F.size(pieces), F.lit(1))).cast("long"),
-        "has_url": flag(L.URL, links),
-        "has_phone": matches(t, L.PHONE),
-        "has_email": t.contains("@") & matches(t, L.EMAIL),
-        "_clock": t.contains(":") & matches(t, L.CLOCK_TIME),
-        "_minutes": flag(L.MINUTES, ["min"]),
-        "_hours": flag(L.HOURS, ["hour", "hr"]),
-        "has_today": matches(low, r"\btoday\b", needs=["today"]),
-        "has_now": matches(low, r"\bnow\b", needs=["now"]),
-        "has_deadline": flag(L.DEADLINE, ["before", "by", "deadline", "due"]),
-        "urgency_keyword_count": F.coalesce(urgency, F.lit(0)).cast("long"),
-        "has_negation_of_urgency": flag(
-            L.URGENCY_NEGATION, ["need", "pressure", "whenever", "rush", "urgent", "dramatic",
-                                 "time", "convenience"]),
-        "scam_keyword_count": (F.coalesce(scam_words, F.lit(0)) + scam_phrases).cast("long"),
-        "has_instruction_injection": flag(
-            L.INJECTION, ["ignore", "disregard", "forget", "override", "instruction"]),
-        "_caps_words": count_matches(t, L.CAPS_WORD),
-        "has_excessive_punctuation": matches(t, L.LOUD_PUNCTUATION),
-        "has_suspicious_link": any_of(low, links) & (
-            flag(L.SHORT_LINK) | flag(L.RISKY_LINK)),
-        "_time_part": any_of(low, L.SPECIFIC_TIME_PARTS),
-        "_vague_part": any_of(low, L.VAGUE_TIME_PARTS),
-        "same_day_indicator": flag(L.SAME_DAY, ["tonight", "today", "this"]),
-        "flexible_timing": flag(L.FLEXIBLE, ["when", "rush", "convenience"]),
-        "has_frustration": flag(L.FRUSTRATION, [
+        "has_at_mention": f"contains({_T}, '@')",
+        "has_question": f"contains({_T}, '?')",
+        "char_count": f"bigint(length({_STRIPPED}))",
+        "word_count": count_matches(_T, r"\S+"),
+        "sentence_count": f"bigint(if({_STRIPPED} = '', 0, greatest(size({pieces}), 1)))",
+        "has_url": _flag(L.URL, links),
+        "has_phone": matches(_T, L.PHONE),
+        "has_email": matches(_T, L.EMAIL, needs=["@"]),
+        "_clock": matches(_T, L.CLOCK_TIME, needs=[":"]),
+        "_minutes": _flag(L.MINUTES, ["min"]),
+        "_hours": _flag(L.HOURS, ["hour", "hr"]),
+        "has_today": matches(_LOW, bounded(["today"]), needs=["today"]),
+        "has_now": matches(_LOW, bounded(["now"]), needs=["now"]),
+        "has_deadline": _flag(L.DEADLINE, ["before", "by", "deadline", "due"]),
+        "urgency_keyword_count": f"if({any_of(_LOW, L.URGENCY_WORDS)}, {urgency}, 0)",
+        "has_negation_of_urgency": _flag(L.URGENCY_NEGATION, [
+            "need", "pressure", "whenever", "rush", "urgent", "dramatic", "time",
+            "convenience"]),
+        "scam_keyword_count":
+            f"if({any_of(_LOW, L.SCAM_WORDS)}, {scam_words}, 0) + {scam_phrases}",
+        "has_instruction_injection": _flag(L.INJECTION, [
+            "ignore", "disregard", "forget", "override", "instruction"]),
+        "_caps_words": count_matches(_T, L.CAPS_WORD),
+        "has_excessive_punctuation": matches(_T, L.LOUD_PUNCTUATION),
+        "has_suspicious_link":
+            f"{any_of(_LOW, links)} AND ({_flag(L.SHORT_LINK)} OR {_flag(L.RISKY_LINK)})",
+        "_time_part": any_of(_LOW, L.SPECIFIC_TIME_PARTS),
+        "_vague_part": any_of(_LOW, L.VAGUE_TIME_PARTS),
+        "same_day_indicator": _flag(L.SAME_DAY, ["tonight", "today", "this"]),
+        "flexible_timing": _flag(L.FLEXIBLE, ["when", "rush", "convenience"]),
+        "has_frustration": _flag(L.FRUSTRATION, [
             "work", "broken", "issue", "problem", "error", "fail", "can't", "stuck"]),
-        "has_gratitude": flag(
-            L.GRATITUDE, ["thank", "appreciate", "grateful", "thx", "ty"]),
-        "has_greeting": flag(L.GREETING),
-        "forward_indicator_count": F.when(
-            any_of(low, ["fwd:", "forward", "share"]),
-            count_matches(t, L.FORWARDED, nocase=True)).otherwise(F.lit(0)).cast("long"),
+        "has_gratitude": _flag(L.GRATITUDE, ["thank", "appreciate", "grateful", "thx", "ty"]),
+        "has_greeting": _flag(L.GREETING),
+        "forward_indicator_count":
+            f"if({any_of(_LOW, ['fwd:', 'forward', 'share'])}, {forwards}, 0)",
     }
 
 
-def _derived_columns() -> dict:
+def _derived() -> dict[str, str]:
     """Features computed from other features."""
-    as_int = lambda name: F.col(name).cast("int")
-    caps = F.when(F.col("word_count") > 0, F.col("_caps_words") / F.col("word_count")
-                  ).otherwise(F.lit(0.0))
-    specific = (as_int("_clock") + as_int("_minutes") + as_int("_hours")
-                + as_int("has_deadline") + as_int("_time_part"))
-    dated = specific + as_int("_vague_part")
+    caps = "if(word_count > 0, _caps_words / word_count, 0.0D)"
+    specific = ("(int(_clock) + int(_minutes) + int(_hours) + int(has_deadline) "
+                "+ int(_time_part))")
+    dated = f"({specific} + int(_vague_part))"
     return {
-        "at_mention_with_question": F.col("has_at_mention") & F.col("has_question"),
-        "has_specific_time": F.col("_clock") | F.col("_minutes") | F.col("_hours"),
+        "at_mention_with_question": "has_at_mention AND has_question",
+        "has_specific_time": "_clock OR _minutes OR _hours",
         "caps_word_ratio": caps,
-        "spam_pattern_score": ((caps > 0.3).cast("int") + as_int("has_excessive_punctuation")
-                               + (F.col("scam_keyword_count") >= 3).cast("int")) / 3,
-        "time_specificity": F.when(dated > 0, specific / dated).otherwise(F.lit(0.5)),
+        "spam_pattern_score": f"(int({caps} > 0.3D) + int(has_excessive_punctuation) "
+                              "+ int(scam_keyword_count >= 3)) / 3",
+        "time_specificity": f"if({dated} > 0, {specific} / {dated}, 0.5D)",
     }
 
 
+def _columns(texts: dict[str, str]) -> dict[str, Column]:
+    return {name: F.expr(text) for name, text in texts.items()}
+
+
 def with_text_features(df: DataFrame, text_col: str = "message_text",
                        features: list[str] | None = None) -> DataFrame:
     """Add text features; only those asked for are computed.
@@ -102,10 +95,8 @@ def with_text_features(df: DataFrame, text_col: str = "message_text",
     Catalyst drops the expressions of features that are not selected.
     """
     wanted = L.TEXT_FEATURES if features is None else features
-    staged = _prepare(df, text_col).withColumns(_base_columns()).withColumns(_derived_columns())
-    return staged.select(*[F.col(c) for c in df.columns], *wanted)
-
-
-def text_features(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id column plus the 28 features in model order."""
-    return with_text_features(df.select(id_col, text_col), text_col).drop(text_col)
+    raw = filled(f"`{text_col}`")
+    staged = df.withColumns(_columns({
+        _T: raw, _LOW: f"lower({raw})", _STRIPPED: stripped(raw)}))
+    staged = staged.withColumns(_columns(_base())).withColumns(_columns(_derived()))
+    return staged.select(*df.columns, *wanted)

@@ -17,8 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beckon.operators.joins import hot_among, lookup
-
 LEFT_ROWS, RIGHT_ROWS = "_left_rows", "_right_rows"
 
 
@@ -31,16 +29,13 @@ def list_column(column):
     return values.flatten(), np.asarray(ends - ends[0])
 
 
-def with_group_sizes(df: DataFrame, sizes: DataFrame, keys: list[str], salt_by: str) -> DataFrame:
+def with_group_sizes(df: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``_left_rows`` and ``_right_rows`` of the key; drop keys of one side only.
 
-    ``sizes`` has one row per key present on both sides.  Keys so large that
-    the join itself would be lopsided are salted.
+    ``sizes`` is a stored table with one row per key present on both sides, so
+    AQE can split the partition of a key with very many rows.
     """
-    hot = hot_among(sizes.select(*keys, F.greatest(LEFT_ROWS, RIGHT_ROWS).alias("_rows")),
-                    keys, "_rows")
-    return lookup(df, sizes.select(*keys, LEFT_ROWS, RIGHT_ROWS), keys, salt_by, hot,
-                  how="inner")
+    return df.join(sizes.select(*keys, LEFT_ROWS, RIGHT_ROWS), keys)
 
 
 def block_pairs(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str,

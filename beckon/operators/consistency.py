@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beckon.functions.match import strip, text_or_empty
-from beckon.operators.joins import hot_among, lookup
+from beckon.functions.match import filled, stripped
+from beckon.operators.joins import hot_keys, lookup
+from beckon.session import staged
 
 DECISION = ["action", "message_type", "confidence", "reason", "evidence_message_ids"]
 
@@ -16,32 +17,32 @@ def identity_key() -> Column:
 
     A digest keeps whole texts out of the shuffle.
     """
-    def part(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("string"), F.lit("nan"))
-
-    return F.sha2(F.concat_ws(
-        "|", part("user_id"), part("sender_user_id"), part("conversation_type"),
-        part("media_type"), part("forwarded_count"),
-        strip(F.lower(text_or_empty(F.col("message_text"))))), 256)
+    parts = ", ".join(f"coalesce(string({c}), 'nan')" for c in [
+        "user_id", "sender_user_id", "conversation_type", "media_type", "forwarded_count"])
+    text = stripped(f"lower({filled('message_text')})")
+    return F.expr(f"sha2(concat_ws('|', {parts}, {text}), 256)")
 
 
 def enforce_consistency(decided: DataFrame) -> DataFrame:
     """Within equal messages copy the decision of the most confident row.
 
     Ties go to the earliest row (``created_at``, then ``message_id``).  The
+    decisions are written once, without texts, as they are read twice.  The
     best row is found by partial aggregation, not by sorting the group, and is
     joined back only for keys with several rows; very frequent keys are salted,
-    so a group of copies of any size is spread over tasks.
+    so a group of copies of any size is spread over tasks.  The message text is
+    not part of the result.
     """
-    keyed = decided.withColumn("_key", identity_key())
+    keyed = staged(decided.withColumn("_key", identity_key()).drop("message_text"),
+                   "decisions")
     best = (keyed.groupBy("_key").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.min_by(F.struct(*DECISION),
                  F.struct(-F.col("confidence"), F.col("created_at"), F.col("message_id"))
                  ).alias("_best"))
         .where(F.col("_rows") > 1))
-    hot = hot_among(best.select("_key", "_rows"), ["_key"], "_rows")
-    joined = lookup(keyed, best.select("_key", "_best"), ["_key"], "message_id", hot)
+    joined = lookup(keyed, best.select("_key", "_best"), ["_key"], "message_id",
+                    hot_keys(keyed, ["_key"]))
     return joined.withColumns({
-        c: F.when(F.col("_best").isNotNull(), F.col(f"_best.{c}")).otherwise(F.col(c))
-        for c in DECISION}).drop("_key", "_best")
+        c: F.expr(f"if(_best IS NULL, {c}, _best.{c})") for c in DECISION}
+    ).drop("_key", "_best")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beckon.functions.match import strip, text_or_empty
+from beckon.functions.match import filled, stripped
 
 MEDIA = {"image": "image_id", "voice": "voice_note_id"}
 
@@ -15,11 +15,10 @@ def with_transcripts(messages: DataFrame, transcripts: DataFrame) -> DataFrame:
 
     Adds ``transcript_used``.  ``transcripts``: ``message_id, transcript``.
     """
-    blank = strip(text_or_empty(F.col("message_text"))) == ""
-    use = ((F.col("media_type") == "voice") & blank
-           & (F.coalesce(F.col("transcript"), F.lit("")) != ""))
+    use = (f"media_type <=> 'voice' AND {stripped(filled('message_text'))} = '' "
+           f"AND {filled('transcript')} != ''")
     return messages.join(transcripts, "message_id", "left").withColumn(
-        "transcript_used", F.coalesce(use, F.lit(False))).withColumn(
+        "transcript_used", F.expr(use)).withColumn(
         "message_text", F.when(F.col("transcript_used"), F.col("transcript"))
         .otherwise(F.col("message_text"))).drop("transcript")
 
@@ -76,7 +75,7 @@ def with_media_path(messages: DataFrame, images: DataFrame, voice_notes: DataFra
 def media_owner(messages: DataFrame, media_type: str) -> DataFrame:
     """The last message per media id of one media type: ``media_id, message_id``."""
     named = messages.where((F.col("media_type") == media_type)
-                           & (F.trim(text_or_empty(F.col("media_id"))) != ""))
+                           & F.expr(f"trim({filled('media_id')}) != ''"))
     return named.groupBy(F.trim("media_id").alias("media_id")).agg(
         F.max_by("message_id", F.struct("created_at", "message_id")).alias("message_id"))
 

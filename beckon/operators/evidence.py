@@ -12,7 +12,6 @@ the result.  What remains is compared block by block.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -22,11 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beckon import lexicons as L
-from beckon.functions.match import UNICODE, text_or_empty
+from beckon.functions.match import UNICODE, case, filled, quoted, quoted_list
 from beckon.operators.blocks import (
     LEFT_ROWS, RIGHT_ROWS, block_pairs, list_column, with_group_sizes,
 )
-from beckon.operators.joins import hot_keys, lookup
+from beckon.session import staged
 
 VOCABULARY_SIZE = 500
 TOP_K = 3
@@ -39,25 +38,21 @@ SCORE_DIGITS = 6
 
 # --- terms and weights -----------------------------------------------------
 
-def content_words(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Lower-case words of two or more characters that are no stop words."""
+def content_words(text: str, stop_words: list[str] | None = None) -> str:
+    """Lower-case words of two or more characters that are no stop words, as SQL text."""
     stop = L.STOP_WORDS if stop_words is None else stop_words
-    words = F.regexp_extract_all(
-        F.lower(text_or_empty(text)), F.lit(UNICODE + r"\w\w+"), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
+    words = f"regexp_extract_all(lower({filled(text)}), {quoted(UNICODE + r'\w\w+')}, 0)"
+    return f"filter({words}, w -> w NOT IN {quoted_list(stop)})" if stop else words
 
 
 def with_terms(df: DataFrame, text_col: str = "message_text", out_col: str = "terms",
                stop_words: list[str] | None = None) -> DataFrame:
     """Add the array of unigrams and bigrams of a text."""
-    words = F.col("_words")
-    bigrams = F.when(F.size(words) > 1, F.zip_with(
-        F.slice(words, F.lit(1), F.size(words) - 1),
-        F.slice(words, F.lit(2), F.size(words) - 1),
-        lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(
-            F.array().cast("array<string>"))
-    return (df.withColumn("_words", content_words(F.col(text_col), stop_words))
-            .withColumn(out_col, F.concat(words, bigrams)).drop("_words"))
+    bigrams = ("if(size(_words) > 1, zip_with(slice(_words, 1, size(_words) - 1), "
+               "slice(_words, 2, size(_words) - 1), (a, b) -> concat(a, ' ', b)), "
+               "cast(array() AS array<string>))")
+    return (df.withColumn("_words", F.expr(content_words(text_col, stop_words)))
+            .withColumn(out_col, F.expr(f"concat(_words, {bigrams})")).drop("_words"))
 
 
 def vocabulary(history: DataFrame, size: int = VOCABULARY_SIZE,
@@ -73,23 +68,25 @@ def vocabulary(history: DataFrame, size: int = VOCABULARY_SIZE,
 
 
 def _counted_terms(listed: DataFrame) -> DataFrame:
-    """``term, cf, df``; the NULL term counts the texts themselves."""
-    def counted(term: Column, cf: int, df: int) -> Column:
-        return F.struct(term.alias("term"), F.lit(cf).alias("cf"), F.lit(df).alias("df"))
-
-    rows = listed.select(F.explode(F.concat(
-        F.transform("terms", lambda t: counted(t, 1, 0)),
-        F.transform(F.array_distinct("terms"), lambda t: counted(t, 0, 1)),
-        F.array(counted(F.lit(None).cast("string"), 0, 1)))).alias("t"))
+    """``term, cf, df``; the NULL term counts the texts themselves.
+
+    Sorting the terms of a text puts copies side by side: the first of them
+    counts for ``df``, each of them for ``cf``.
+    """
+    rows = listed.withColumn("_sorted", F.expr("array_sort(terms)")).select(F.expr(
+        "explode(concat(transform(_sorted, (t, i) -> struct(t AS term, 1 AS cf, "
+        "int(i = 0 OR t != _sorted[greatest(i - 1, 0)]) AS df)), "
+        "array(struct(cast(NULL AS string) AS term, 0 AS cf, 1 AS df))))").alias("t"))
     return rows.groupBy("t.term").agg(F.sum("t.cf").alias("cf"), F.sum("t.df").alias("df"))
 
 
-@dataclass(frozen=True)
 class TfIdf:
     """A fitted vocabulary with smooth inverse document frequencies."""
 
-    terms: list[str]
-    idf: list[float]
+    def __init__(self, terms: list[str], idf: list[float]) -> None:
+        self.terms = terms
+        self.idf = idf
+        self._stages: list | None = None
 
     @staticmethod
     def fit(history: DataFrame, size: int = VOCABULARY_SIZE,
@@ -103,22 +100,27 @@ class TfIdf:
         return TfIdf([r["term"] for r in rows],
                      [math.log((1 + n) / (1 + r["df"])) + 1 for r in rows])
 
+    def stages(self) -> list:
+        """Count, weigh, normalise: row-local transformers around the vocabulary."""
+        if self._stages is None:
+            self._stages = [
+                CountVectorizerModel.from_vocabulary(self.terms, "_terms", "_tf"),
+                ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf",
+                                   outputCol="_tfidf"),
+                Normalizer(p=2.0, inputCol="_tfidf", outputCol="_unit")]
+        return self._stages
+
     def vectors(self, df: DataFrame, text_col: str = "message_text",
                 stop_words: list[str] | None = None) -> DataFrame:
         """Add ``term_ids`` and ``weights``: the unit vector of the text, row by row."""
-        staged = with_terms(df, text_col, "_terms", stop_words)
+        out = with_terms(df, text_col, "_terms", stop_words)
         if not self.terms:
-            return staged.drop("_terms").withColumns({
-                "term_ids": F.array().cast("array<int>"),
-                "weights": F.array().cast("array<double>")})
-        for stage in [
-            CountVectorizerModel.from_vocabulary(self.terms, "_terms", "_tf"),
-            ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf",
-                               outputCol="_tfidf"),
-            Normalizer(p=2.0, inputCol="_tfidf", outputCol="_unit"),
-        ]:
-            staged = stage.transform(staged)
-        return (staged.withColumn("_v", F.unwrap_udt("_unit"))
+            return out.drop("_terms").withColumns({
+                "term_ids": F.expr("cast(array() AS array<int>)"),
+                "weights": F.expr("cast(array() AS array<double>)")})
+        for stage in self.stages():
+            out = stage.transform(out)
+        return (out.withColumn("_v", F.unwrap_udt("_unit"))
                 .withColumns({"term_ids": F.col("_v.indices"), "weights": F.col("_v.values")})
                 .drop("_terms", "_tf", "_tfidf", "_unit", "_v"))
 
@@ -140,52 +142,48 @@ def term_weights(df: DataFrame, model: TfIdf, spark: SparkSession,
 SCOPES = {"sender": "sender_user_id", "group": "group_id", "business": "business_id"}
 
 
-def _scope_array(kinds: dict[str, str]) -> Column:
+def _scopes_of_row() -> Column:
     """Every scope a row belongs to, as structs; missing ids belong to none."""
-    return F.array_compact(F.array(
-        F.struct(F.lit("user").alias("kind"), F.lit("").alias("id")),
-        *[F.when(F.col(c).isNotNull() & (F.col(c) != ""),
-                 F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id")))
-          for kind, c in kinds.items()]))
+    named = ", ".join(
+        f"if({filled(c)} != '', struct('{kind}' AS kind, {c} AS id), NULL)"
+        for kind, c in SCOPES.items())
+    return F.expr(f"explode(array_compact(array(struct('user' AS kind, '' AS id), {named})))")
 
 
 def scope_sizes(history: DataFrame) -> DataFrame:
     """Rows and time range of every scope of every user, by partial aggregation."""
-    member = history.select("user_id", "created_at", F.explode(_scope_array(SCOPES)).alias("s"))
+    member = history.select("user_id", "created_at", _scopes_of_row().alias("s"))
     return member.groupBy("user_id", F.col("s.kind").alias("kind"), F.col("s.id").alias("id")).agg(
         F.count(F.lit(1)).alias("scope_rows"),
         F.max("created_at").alias("newest"), F.min("created_at").alias("oldest"))
 
 
-def scoped_messages(messages: DataFrame, history: DataFrame) -> DataFrame:
-    """``message_id`` with the chosen scope ``user_id, kind, id`` and its rows.
+def scoped_messages(messages: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``message_id`` with the chosen scope ``user_id, kind, id, scope_rows``.
 
-    Sender first, then group, then business.  A narrower scope is also tried
-    when the scope chosen so far is the user's whole history.
+    ``sizes`` is a stored table from ``scope_sizes``.  Sender first, then group,
+    then business.  A narrower scope is also tried when the scope chosen so far
+    is the user's whole history.
     """
-    sizes = scope_sizes(history).select("user_id", "kind", "id", "scope_rows")
-    asked = messages.select("message_id", "user_id", F.explode(_scope_array(SCOPES)).alias("s")
-                            ).select("message_id", "user_id", "s.*")
+    asked = messages.select("message_id", "user_id", _scopes_of_row().alias("s")).select(
+        "message_id", "user_id", "s.*")
     # sizes of the (at most four) scopes of a message, side by side
-    hot = hot_keys(messages, ["user_id"])
-    wide = (lookup(asked, sizes, ["user_id", "kind", "id"], "message_id", hot, ["user_id"],
-                   how="inner")
+    wide = (asked.join(sizes.select("user_id", "kind", "id", "scope_rows"),
+                       ["user_id", "kind", "id"])
             .groupBy("message_id", "user_id").agg(*[
-                F.max(F.when(F.col("kind") == kind, F.struct("scope_rows", "id"))).alias(kind)
+                F.expr(f"max(if(kind = '{kind}', struct(scope_rows, id), NULL))").alias(kind)
                 for kind in ["user", *SCOPES]]))
-
-    def choose(current: Column, kind: str, first: bool) -> Column:
-        whole = F.lit(True) if first else current["scope_rows"] == F.col("user.scope_rows")
-        option = F.struct(F.lit(kind).alias("kind"), F.col(kind)["id"].alias("id"),
-                          F.col(kind)["scope_rows"].alias("scope_rows"))
-        return F.when(whole & F.col(kind).isNotNull(), option).otherwise(current)
-
-    staged = wide.withColumn("_scope", F.struct(
-        F.lit("user").alias("kind"), F.lit("").alias("id"),
-        F.col("user.scope_rows").alias("scope_rows")))
+    chosen = "'user'"
     for position, kind in enumerate(SCOPES):
-        staged = staged.withColumn("_scope", choose(F.col("_scope"), kind, position == 0))
-    return staged.select("message_id", "user_id", "_scope.*")
+        size = case([(f"{chosen} = '{k}'", f"{k}.scope_rows") for k in ["user", *SCOPES]])
+        whole = "true" if position == 0 else f"{size} = user.scope_rows"
+        wide = wide.withColumn(f"_after_{kind}", F.expr(
+            f"if({kind} IS NOT NULL AND {whole}, '{kind}', {chosen})"))
+        chosen = f"_after_{kind}"
+    picked = case([(f"{chosen} = '{k}'", k) for k in ["user", *SCOPES]])
+    return wide.withColumn("_scope", F.expr(picked)).select(
+        "message_id", "user_id", F.col(chosen).alias("kind"), F.col("_scope.id").alias("id"),
+        F.col("_scope.scope_rows").alias("scope_rows"))
 
 
 # --- retrieval -------------------------------------------------------------
@@ -213,34 +211,33 @@ def top_evidence(messages: DataFrame, history: DataFrame, model: TfIdf, k: int =
     ``point_in_time`` admits only history older than the message; then nothing
     is merged by vector, as each message sees other rows.
     """
-    usable = messages.where(F.length(text_or_empty(F.col("message_text"))) >= MIN_TEXT)
-    scoped = scoped_messages(usable, history)
     scope = ["user_id", "kind", "id"]
-    text = usable.select("message_id", "created_at", "message_text")
+    usable = messages.where(f"length({filled('message_text')}) >= {MIN_TEXT}")
+    sizes = staged(scope_sizes(history), "scope-sizes")
+    scoped = staged(scoped_messages(usable, sizes), "message-scopes")
+    # per scope in use: how many messages ask, how many rows answer, time range
+    used = staged(scoped.groupBy(*scope).agg(F.count(F.lit(1)).alias(LEFT_ROWS)).join(
+        sizes.withColumnRenamed("scope_rows", RIGHT_ROWS), scope), "scopes-in-use")
     # a row without a known term scores its recency boost at most, below 0.2
-    asked = (model.vectors(scoped.join(text, "message_id")).where(F.size("term_ids") > 0)
+    asked = (model.vectors(scoped.join(usable.select("message_id", "created_at", "message_text"),
+                                       "message_id"))
+             .where(F.size("term_ids") > 0)
              .select("message_id", *scope, "term_ids", "weights",
                      F.unix_micros(F.col("created_at").cast("timestamp")).alias("asked_at")))
-
-    # per scope in use: how many messages ask, how many rows answer, time range
-    used = (scoped.groupBy(*scope).agg(F.count(F.lit(1)).alias(LEFT_ROWS))
-            .join(scope_sizes(history).withColumnRenamed("scope_rows", RIGHT_ROWS), scope))
-    asked = with_group_sizes(asked, used, scope, "message_id").withColumn(
-        "scope_key", _scope_key()).drop(*scope)
-    member = (model.vectors(history.select(
+    asked = with_group_sizes(asked, used, scope).withColumn("scope_key", _scope_key()).drop(*scope)
+    candidates = (model.vectors(history.select(
         "message_id", "user_id", "created_at", "message_text", *SCOPES.values()))
         .where(F.size("term_ids") > 0)
         .select("message_id", "user_id", "created_at", "term_ids", "weights",
-                F.explode(_scope_array(SCOPES)).alias("s"))
-        .select("message_id", "user_id", "created_at", "term_ids", "weights", "s.*"))
-    candidates = (lookup(member, used, scope, "message_id", hot_keys(history, ["user_id"]),
-                         ["user_id"], how="inner")
-                  .withColumn("boost", recency_boost(
-                      F.col("created_at"), F.col("newest"), F.col("oldest")))
-                  .withColumn("scope_key", _scope_key())
-                  .select("scope_key", F.col("message_id").alias("evidence_id"),
-                          F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"),
-                          "boost", "term_ids", "weights", LEFT_ROWS, RIGHT_ROWS))
+                _scopes_of_row().alias("s"))
+        .select("message_id", "user_id", "created_at", "term_ids", "weights", "s.*")
+        .join(used, scope)
+        .withColumn("boost", recency_boost(
+            F.col("created_at"), F.col("newest"), F.col("oldest")))
+        .withColumn("scope_key", _scope_key())
+        .select("scope_key", F.col("message_id").alias("evidence_id"),
+                F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"),
+                "boost", "term_ids", "weights", LEFT_ROWS, RIGHT_ROWS))
     if point_in_time:
         queries = asked.withColumn("query_id", F.col("message_id"))
         owners = None
@@ -352,11 +349,10 @@ def evidence_lists(messages: DataFrame, top: DataFrame) -> DataFrame:
 
 # --- topic similarity ------------------------------------------------------
 
-def parse_evidence(col: Column) -> Column:
+def parse_evidence(ids: str) -> Column:
     """Ids of a ';' list; none, None and the empty text give an empty list."""
-    ids = F.transform(F.split(col, ";"), lambda x: F.trim(x))
-    return F.when(F.coalesce(col, F.lit("")).isin("", "none", "None"),
-                  F.array().cast("array<string>")).otherwise(ids)
+    return F.expr(f"if({filled(ids)} IN ('', 'none', 'None'), cast(array() AS array<string>), "
+                  f"transform(split({ids}, ';'), x -> trim(x)))")
 
 
 def topic_similarity(messages: DataFrame, evidence: DataFrame, history: DataFrame,
@@ -368,13 +364,13 @@ def topic_similarity(messages: DataFrame, evidence: DataFrame, history: DataFram
     """
     pairs = evidence.select(
         "message_id", F.explode(F.array_distinct(
-            parse_evidence(F.col("evidence_message_ids")))).alias("evidence_id"))
+            parse_evidence("evidence_message_ids"))).alias("evidence_id"))
     past = model.vectors(history.select(
         F.col("message_id").alias("evidence_id"), "message_text")).select(
             "evidence_id", F.map_from_arrays("term_ids", "weights").alias("_past"))
     own = model.vectors(messages.select("message_id", "message_text")).select(
         "message_id", F.arrays_zip("term_ids", "weights").alias("_own"))
-    cosine = F.aggregate("_own", F.lit(0.0), lambda acc, z: acc + z["weights"] * F.coalesce(
-        F.try_element_at(F.col("_past"), z["term_ids"]), F.lit(0.0)))
+    cosine = F.expr("aggregate(_own, 0.0D, (acc, z) -> acc + z.weights "
+                    "* coalesce(try_element_at(_past, z.term_ids), 0.0D))")
     return (pairs.join(past, "evidence_id").join(own, "message_id")
             .groupBy("message_id").agg(F.avg(cosine).alias("topic_similarity")))

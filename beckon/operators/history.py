@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beckon import lexicons as L
-from beckon.functions.match import UNICODE, text_or_empty
+from beckon.functions.match import UNICODE, filled, quoted
 from beckon.operators.blocks import LEFT_ROWS, RIGHT_ROWS, block_pairs, with_group_sizes
 from beckon.operators.joins import hot_keys, lookup
+from beckon.session import staged
 
 BUSINESS_SENDER = "business"
 COMMON_WORDS = 3
@@ -165,17 +166,17 @@ def category_features(reactions: DataFrame, history: DataFrame) -> DataFrame:
 
 # --- similar dismissals ----------------------------------------------------
 
-def word_set(text: Column) -> Column:
+def word_set(text: str) -> Column:
     """Different lower-case words of a text."""
-    return F.array_distinct(F.regexp_extract_all(
-        F.lower(text_or_empty(text)), F.lit(UNICODE + r"\w+"), F.lit(0)))
+    return F.expr(f"array_distinct(regexp_extract_all(lower({filled(text)}), "
+                  f"{quoted(UNICODE + r'\w+')}, 0))")
 
 
 def dismissed_texts(reactions: DataFrame, history: DataFrame) -> DataFrame:
     """Word sets of the texts each user dismissed, copies merged into a weight."""
     dismissed = reactions.where(F.col("notification_dismissed") == 1).select(
         "message_id", "user_id")
-    words = history.select("message_id", F.array_sort(word_set(F.col("message_text")))
+    words = history.select("message_id", F.array_sort(word_set("message_text"))
                            .alias("words"))
     return (dismissed.join(words, "message_id")
             .where(F.size("words") >= COMMON_WORDS)
@@ -191,14 +192,14 @@ def similar_dismissals(messages: DataFrame, reactions: DataFrame, history: DataF
     Messages and dismissed texts of one user meet block by block; a task sees
     two blocks of bounded size and returns one row per message, never pairs.
     """
-    sizes = (messages.groupBy("user_id").agg(F.count(F.lit(1)).alias(LEFT_ROWS)).join(
+    sizes = staged(messages.groupBy("user_id").agg(F.count(F.lit(1)).alias(LEFT_ROWS)).join(
         reactions.where(F.col("notification_dismissed") == 1).groupBy("user_id").agg(
-            F.count(F.lit(1)).alias(RIGHT_ROWS)), "user_id"))
-    asked = messages.select("message_id", "user_id", word_set(F.col("message_text"))
+            F.count(F.lit(1)).alias(RIGHT_ROWS)), "user_id"), "dismissal-sizes")
+    asked = messages.select("message_id", "user_id", word_set("message_text")
                             .alias("words")).where(F.size("words") >= COMMON_WORDS)
     counted = block_pairs(
-        with_group_sizes(asked, sizes, ["user_id"], "message_id"),
-        with_group_sizes(dismissed_texts(reactions, history), sizes, ["user_id"], "text_key"),
+        with_group_sizes(asked, sizes, ["user_id"]),
+        with_group_sizes(dismissed_texts(reactions, history), sizes, ["user_id"]),
         key="user_id", left_id="message_id", right_id="text_key", block_rows=block_rows,
         function=_count_overlaps,
         schema=T.StructType([T.StructField("message_id", T.StringType()),
@@ -252,6 +253,38 @@ FEATURE_BLOCKS = {
 }
 
 
+def join_features(df: DataFrame, tables: HistoryTables, blocks: list[str],
+                  hot: DataFrame | None = None) -> DataFrame:
+    """Left join the keyed feature blocks onto rows that carry the keys.
+
+    Works on a stream as well, since every right side is static.
+    """
+    def add(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        return lookup(left, right, on, salt_by="message_id", hot=hot, hot_on=["user_id"])
+
+    out = df
+    if "sender" in blocks:
+        out = add(out.withColumn("sender_key", sender_key(F.col("sender_user_id"))),
+                  sender_features(sender_stats(tables.reactions, tables.history)),
+                  ["user_id", "sender_key"]).drop("sender_key")
+    if "user" in blocks:
+        out = add(out, user_features(user_stats(tables.reactions, tables.daily)), ["user_id"])
+    if "category" in blocks:
+        out = add(out, category_features(tables.reactions, tables.history),
+                  ["user_id", "conversation_type"])
+    if "business" in blocks:
+        out = add(out, business_features(tables.business_history), ["user_id", "business_id"])
+    if "group" in blocks:
+        out = add(out, group_features(tables.group_members), ["user_id", "group_id"])
+    return out
+
+
+def feature_columns(blocks: list[str]) -> list[Column]:
+    """The columns of the blocks in model order, 0 where nothing was found."""
+    return [_zero(name) for block in FEATURE_BLOCKS if block in blocks
+            for name in FEATURE_BLOCKS[block]]
+
+
 def history_features(messages: DataFrame, tables: HistoryTables,
                      blocks: list[str] | None = None,
                      topic: DataFrame | None = None,
@@ -260,30 +293,14 @@ def history_features(messages: DataFrame, tables: HistoryTables,
 
     Only key columns travel through the joins, never the text.  Users with a
     very large share of the messages are found once and salted in every
-    lookup, because each key starts with the user.
+    lookup, because each key starts with the user.  ``topic`` holds
+    ``message_id, topic_similarity``; without it that feature is 0.
     """
     chosen = list(FEATURE_BLOCKS) if blocks is None else blocks
-    keys = messages.select(
-        "message_id", "user_id", sender_key(F.col("sender_user_id")).alias("sender_key"),
-        "group_id", "business_id", "conversation_type")
+    keys = messages.select("message_id", "user_id", "sender_user_id", "group_id",
+                           "business_id", "conversation_type")
     hot = hot_keys(keys, ["user_id"]) if split_hot_users else None
-
-    def add(df: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        return lookup(df, right, on, salt_by="message_id", hot=hot, hot_on=["user_id"])
-
-    out = keys
-    if "sender" in chosen:
-        out = add(out, sender_features(sender_stats(tables.reactions, tables.history)),
-                  ["user_id", "sender_key"])
-    if "user" in chosen:
-        out = add(out, user_features(user_stats(tables.reactions, tables.daily)), ["user_id"])
-    if "category" in chosen:
-        out = add(out, category_features(tables.reactions, tables.history),
-                  ["user_id", "conversation_type"])
-    if "business" in chosen:
-        out = add(out, business_features(tables.business_history), ["user_id", "business_id"])
-    if "group" in chosen:
-        out = add(out, group_features(tables.group_members), ["user_id", "group_id"])
+    out = join_features(keys, tables, chosen, hot)
     if "dismissals" in chosen:
         out = out.join(similar_dismissals(messages, tables.reactions, tables.history),
                        "message_id", "left")
@@ -292,6 +309,4 @@ def history_features(messages: DataFrame, tables: HistoryTables,
             out = out.withColumn("topic_similarity", F.lit(0.0))
         else:
             out = out.join(topic, "message_id", "left")
-    return out.select("message_id", *[
-        _zero(name) for block in FEATURE_BLOCKS if block in chosen
-        for name in FEATURE_BLOCKS[block]])
+    return out.select("message_id", *feature_columns(chosen))

@@ -7,32 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# a key below this many rows is never split
+# a key up to this many rows is never split
 HOT_ROWS = 200_000
 # at most this many keys can each hold more than 1/1000 of the rows
 MAX_HOT_KEYS = 1_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Heaviest keys with the number of salts each needs; 1000 rows at most.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The heaviest keys with the number of salts each needs, or None.
 
-    Keys outside the first thousand hold less than a thousandth of the rows
-    each, so the limit leaves no hot key behind and bounds the broadcast.
-    Counting is a partial aggregation, so a hot key shuffles one row per task.
+    Counts rows per key by partial aggregation, so a hot key shuffles one row
+    per task, and brings back the heaviest keys, 1000 at most.  Keys outside
+    the first thousand hold less than a thousandth of the rows each: the limit
+    leaves no hot key behind and bounds what is broadcast.
     """
-    present = F.lit(True)
-    for key in keys:
-        present = present & F.col(key).isNotNull()
+    present = " AND ".join(f"{key} IS NOT NULL" for key in keys)
     counted = df.where(present).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     return hot_among(counted, keys, "_rows", hot_rows)
 
 
 def hot_among(counted: DataFrame, keys: Sequence[str], rows: str,
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+              hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """The hot keys of a table that already holds row counts per key."""
-    return (counted.where(F.col(rows) > hot_rows)
-            .orderBy(F.desc(rows), *keys).limit(MAX_HOT_KEYS)
-            .select(*keys, F.ceil(F.col(rows) / hot_rows).cast("int").alias("_salts")))
+    top = (counted.where(F.col(rows) > hot_rows)
+           .orderBy(F.desc(rows), *keys).limit(MAX_HOT_KEYS)
+           .select(*keys, F.ceil(F.col(rows) / hot_rows).cast("int").alias("_salts")))
+    found = top.collect()
+    return top.sparkSession.createDataFrame(found, top.schema) if found else None
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: str,
@@ -40,21 +41,18 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: str,
            how: str = "left") -> DataFrame:
     """``left JOIN right USING (keys)`` with ``right`` unique per key.
 
-    Without ``hot`` this is a plain join: Spark broadcasts a small right side
-    and AQE splits skewed partitions when both sides come from a scan.  With
-    ``hot`` (from ``hot_keys``) rows of hot keys are spread over salts and the
-    matching right rows are repeated once per salt, which also covers right
-    sides that are aggregates, where AQE cannot split.
+    Without ``hot`` this is a plain join: Spark broadcasts a right side that it
+    knows to be small and AQE splits skewed partitions when both sides come
+    from a scan.  With ``hot`` (from ``hot_keys``) rows of hot keys are spread
+    over salts and the matching right rows are repeated once per salt, which
+    also covers right sides that are aggregates, where AQE cannot split.
     """
     if hot is None:
         return left.join(right, list(keys), how)
     on = list(hot_on or keys)
     small = F.broadcast(hot)
-    salted_left = left.join(small, on, "left").withColumn(
-        "_salt", F.when(F.col("_salts").isNotNull(),
-                        F.pmod(F.xxhash64(salt_by), F.col("_salts"))).otherwise(F.lit(0))
-        .cast("int")).drop("_salts")
-    salted_right = right.join(small, on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    ).drop("_salts")
+    salted_left = left.join(small, on, "left").withColumn("_salt", F.expr(
+        f"if(_salts IS NULL, 0, int(pmod(xxhash64({salt_by}), _salts)))")).drop("_salts")
+    salted_right = right.join(small, on, "left").withColumn("_salt", F.expr(
+        "explode(sequence(0, coalesce(_salts, 1) - 1))")).drop("_salts")
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")

@@ -5,37 +5,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beckon.functions.match import UNICODE, case, strip, text_or_empty
+from beckon.functions.match import UNICODE, case, filled, mapped, quoted, stripped
 
 SNIPPET_LENGTH = 80
 
 
-def snippet(text: Column) -> Column:
+def snippet(text: str) -> str:
     """Text on one line, cut at the last blank within 80 characters."""
-    line = strip(F.regexp_replace(text, UNICODE + r"\s+", " "))
-    head = F.regexp_replace(F.substring(line, 1, SNIPPET_LENGTH), " [^ ]*$", "")
-    return case([
-        (text == "", F.lit("(media message)")),
-        (F.length(line) <= SNIPPET_LENGTH, line),
-    ], F.concat(head, F.lit("...")))
+    line = stripped(f"regexp_replace({text}, {quoted(UNICODE + r'\s+')}, ' ')")
+    head = f"regexp_replace(substring({line}, 1, {SNIPPET_LENGTH}), ' [^ ]*$', '')"
+    return case([(f"{text} = ''", "'(media message)'"),
+                 (f"length({line}) <= {SNIPPET_LENGTH}", line)], f"concat({head}, '...')")
 
 
-def sender_context(df: DataFrame) -> Column:
+def sender_context(admin: str) -> str:
     """Where the message came from, as a clause that starts with a blank."""
-    conversation = text_or_empty(F.col("conversation_type"))
-    sender = text_or_empty(F.col("sender_user_id"))
-    admin = F.col("is_group_admin") > 0 if "is_group_admin" in df.columns else F.lit(False)
     return case([
-        (conversation == "business", F.lit(" from business account")),
-        ((conversation == "group") & admin, F.lit(" from group admin")),
-        (conversation == "group", F.lit(" in group chat")),
-        (sender != "", F.concat(F.lit(" from "), sender)),
-    ], F.lit(""))
+        ("conversation_type = 'business'", "' from business account'"),
+        (f"conversation_type = 'group' AND {admin}", "' from group admin'"),
+        ("conversation_type = 'group'", "' in group chat'"),
+        (f"{filled('sender_user_id')} != ''", "concat(' from ', sender_user_id)"),
+    ], "''")
 
 
-def percent(rate: Column) -> Column:
+def percent(rate: str) -> str:
     """Whole percent, ties to even."""
-    return F.concat(F.bround(rate * 100, 0).cast("int").cast("string"), F.lit("%"))
+    return f"concat(string(int(bround({rate} * 100, 0))), '%')"
+
+
+# --- fixed values: reason templates, in order of precedence ----------------
+# name: (condition, opening, whether a snippet of the message follows)
+# {type}, {forwarded} and {rate} stand for values of the row
+NOTIFY = {
+    "notify_time_urgent": ("has_specific_time AND {type} = 'urgent'",
+                           "Time-critical message requiring immediate action", True),
+    "notify_time": ("has_specific_time", "Time-sensitive update with deadline", True),
+    "notify_mention": ("has_at_mention AND has_question",
+                       "Direct mention requesting response", True),
+    "notify_payment": ("{type} = 'payment'", "Payment notification requiring attention", True),
+    "notify_urgent": ("{type} = 'urgent'", "High-priority urgent message", True),
+    "notify_event": ("{type} = 'event'", "Event or schedule update needing action", True),
+    "notify_business": ("{type} = 'business_update'", "Important business update", True),
+    "notify_trusted": ("sender_trust_score > 0.7D",
+                       "Message from trusted sender requiring attention", True),
+    "notify_default": ("true", "High-priority {type} message", True),
+}
+MUTE = {
+    "mute_scam_words": (
+        "scam_keyword_count >= 2",
+        "Scam/phishing pattern detected with suspicious verification request", False),
+    "mute_chain": ("{forwarded} > 5",
+                   "Chain content forwarded {forwarded} times — repetitive low-value message",
+                   False),
+    "mute_forwarded": ("{forwarded} > 0",
+                       "Forwarded {forwarded} times with no personal context", True),
+    "mute_scam": ("{type} = 'scam'",
+                  "Potential scam or router-manipulation attempt blocked", False),
+    "mute_spam": ("{type} = 'spam'", "Aggressive promotional spam filtered", True),
+    "mute_promotion_dismissed": (
+        "{type} = 'promotion' AND category_dismiss_rate > 0.5D",
+        "Promotional message from sender user typically dismisses ({rate} dismiss rate)", False),
+    "mute_promotion": ("{type} = 'promotion'",
+                       "Promotional content filtered as low priority", True),
+    "mute_low_trust": ("sender_trust_score < 0.2D",
+                       "Low-trust sender with no positive interaction history", True),
+    "mute_default": ("true", "Low-value content muted", True),
+}
+DIGEST = {
+    "digest_calm": ("has_negation_of_urgency",
+                    "Sender explicitly indicated non-urgent — safe for later review", True),
+    "digest_greeting": ("has_greeting", "Casual greeting with no action required", True),
+    "digest_business": ("{type} = 'business_update'",
+                        "Non-urgent business update for later review", True),
+    "digest_event": ("{type} = 'event'", "Event information without immediate deadline", True),
+    "digest_forward": ("{type} = 'forward'", "Forwarded content useful for later", True),
+    "digest_trusted": ("{type} = 'personal' AND sender_trust_score > 0.7D",
+                       "Trusted sender update — useful but no action needed now", True),
+    "digest_personal": ("{type} = 'personal'",
+                        "Personal message with no urgent action required", True),
+    "digest_promotion": (
+        "{type} = 'promotion'",
+        "Promotional content from opted-in source — review when convenient", True),
+    "digest_default": ("true", "Non-urgent update for later review", True),
+}
+TEMPLATES = {"notify": NOTIFY, "mute": MUTE, "digest": DIGEST}
 
 
 def with_reason(df: DataFrame, action_col: str = "action", type_col: str = "message_type",
@@ -45,92 +98,33 @@ def with_reason(df: DataFrame, action_col: str = "action", type_col: str = "mess
     Uses text features, ``sender_trust_score``, ``category_dismiss_rate`` and
     ``is_group_admin`` of the same row.
     """
-    kind = F.col(type_col)
-    sender, snip = F.col("_sender"), F.col("_snippet")
-    forwarded = F.coalesce(F.col("forwarded_count"), F.lit(0))
-    trust = F.col("sender_trust_score")
-    dismissed = F.col("category_dismiss_rate")
-
-    # template: (condition, text before the sender clause, snippet follows)
-    notify = [
-        ("notify_time_urgent", F.col("has_specific_time") & (kind == "urgent"),
-         "Time-critical message requiring immediate action", True),
-        ("notify_time", F.col("has_specific_time"), "Time-sensitive update with deadline", True),
-        ("notify_mention", F.col("has_at_mention") & F.col("has_question"),
-         "Direct mention requesting response", True),
-        ("notify_payment", kind == "payment", "Payment notification requiring attention", True),
-        ("notify_urgent", kind == "urgent", "High-priority urgent message", True),
-        ("notify_event", kind == "event", "Event or schedule update needing action", True),
-        ("notify_business", kind == "business_update", "Important business update", True),
-        ("notify_trusted", trust > 0.7, "Message from trusted sender requiring attention", True),
-        ("notify_default", F.lit(True),
-         F.concat(F.lit("High-priority "), kind, F.lit(" message")), True),
-    ]
-    mute = [
-        ("mute_scam_words", F.col("scam_keyword_count") >= 2,
-         "Scam/phishing pattern detected with suspicious verification request", False),
-        ("mute_chain", forwarded > 5, F.concat(
-            F.lit("Chain content forwarded "), forwarded.cast("string"),
-            F.lit(" times — repetitive low-value message")), False),
-        ("mute_forwarded", forwarded > 0, F.concat(
-            F.lit("Forwarded "), forwarded.cast("string"),
-            F.lit(" times with no personal context")), True),
-        ("mute_scam", kind == "scam",
-         "Potential scam or router-manipulation attempt blocked", False),
-        ("mute_spam", kind == "spam", "Aggressive promotional spam filtered", True),
-        ("mute_promotion_dismissed", (kind == "promotion") & (dismissed > 0.5), F.concat(
-            F.lit("Promotional message from sender user typically dismisses ("),
-            percent(dismissed), F.lit(" dismiss rate)")), False),
-        ("mute_promotion", kind == "promotion",
-         "Promotional content filtered as low priority", True),
-        ("mute_low_trust", trust < 0.2,
-         "Low-trust sender with no positive interaction history", True),
-        ("mute_default", F.lit(True), "Low-value content muted", True),
-    ]
-    digest = [
-        ("digest_calm", F.col("has_negation_of_urgency"),
-         "Sender explicitly indicated non-urgent — safe for later review", True),
-        ("digest_greeting", F.col("has_greeting"),
-         "Casual greeting with no action required", True),
-        ("digest_business", kind == "business_update",
-         "Non-urgent business update for later review", True),
-        ("digest_event", kind == "event", "Event information without immediate deadline", True),
-        ("digest_forward", kind == "forward", "Forwarded content useful for later", True),
-        ("digest_trusted", (kind == "personal") & (trust > 0.7),
-         "Trusted sender update — useful but no action needed now", True),
-        ("digest_personal", kind == "personal",
-         "Personal message with no urgent action required", True),
-        ("digest_promotion", kind == "promotion",
-         "Promotional content from opted-in source — review when convenient", True),
-        ("digest_default", F.lit(True), "Non-urgent update for later review", True),
-    ]
-
-    def choose(templates) -> Column:
-        return case([(cond, F.lit(name)) for name, cond, _, _ in templates])
-
-    action = F.col(action_col)
-    template = case([
-        (action == "notify", choose(notify)),
-        (action == "mute", choose(mute)),
-        (action == "digest", choose(digest)),
-    ], F.lit("other"))
-
-    def words(opening) -> Column:
-        return F.lit(opening) if isinstance(opening, str) else opening
-
-    chosen = F.col("reason_template")
-    text = case([
-        (chosen == name, F.concat(words(opening), sender, F.lit(": "), snip) if quoted
-         else F.concat(words(opening), sender))
-        for name, _, opening, quoted in notify + mute + digest
-    ], F.concat(F.lit("Classified as "), kind, F.lit(" with "),
-                F.format_string("%.2f", F.col(confidence_col)), F.lit(" confidence")))
-    staged = df.withColumns({
-        "_snippet": snippet(text_or_empty(F.col("message_text"))),
-        "_sender": sender_context(df),
-        "reason_template": template,
-    })
-    return staged.withColumn(out_col, text).drop("_snippet", "_sender")
+    forwarded = "coalesce(forwarded_count, 0)"
+    values = {"type": type_col, "forwarded": f"string({forwarded})",
+              "rate": percent("category_dismiss_rate")}
+
+    def opening(words: str) -> str:
+        text = quoted(words)
+        for name, value in values.items():
+            text = text.replace("{%s}" % name, f"', {value}, '")
+        return f"concat({text})"
+
+    def choose(templates: dict) -> str:
+        return case([(condition.format(type=type_col, forwarded=forwarded), quoted(name))
+                     for name, (condition, _, _) in templates.items()])
+
+    template = case([(f"{action_col} = {quoted(action)}", choose(templates))
+                     for action, templates in TEMPLATES.items()], "'other'")
+    texts = {name: f"concat({opening(words)}, _sender" + (", ': ', _snippet)" if cited else ")")
+             for templates in TEMPLATES.values()
+             for name, (_, words, cited) in templates.items()}
+    texts["other"] = (f"concat('Classified as ', {type_col}, ' with ', "
+                      f"format_string('%.2f', bround({confidence_col}, 2)), ' confidence')")
+    admin = "is_group_admin > 0" if "is_group_admin" in df.columns else "false"
+    return df.withColumns({
+        "_snippet": F.expr(snippet(filled("message_text"))),
+        "_sender": F.expr(sender_context(admin)),
+        "reason_template": F.expr(template),
+    }).withColumn(out_col, F.expr(mapped("reason_template", texts))).drop("_snippet", "_sender")
 
 
 def smoothed_confidence(probability: Column) -> Column:

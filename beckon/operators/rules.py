@@ -6,14 +6,13 @@ small CASEs map the rule to its action, type, reason and confidence.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beckon import lexicons as L
 from beckon.functions.match import (
-    any_of, case, distinct_words, has_word, matches, strip, text_or_empty,
+    any_of, case, distinct_words, either, filled, has_word, mapped, matches, quoted, stripped,
 )
-from beckon.operators.joins import lookup
 
 GUARD_REASON = ("Blocked by security guardrail: prompt injection or "
                 "router-manipulation attempt detected.")
@@ -22,65 +21,71 @@ GUARD_CONFIDENCE = 0.99
 
 def with_guard(df: DataFrame, text_col: str = "message_text") -> DataFrame:
     """Add ``is_safe``: false when the text tries to steer the router."""
-    lowered = F.lower(text_or_empty(F.col(text_col)))
-    return df.withColumn("_guard_text", lowered).withColumn(
-        "is_safe", ~any_of(F.col("_guard_text"), L.GUARD_PHRASES)).drop("_guard_text")
+    return (df.withColumn("_guard_text", F.expr(f"lower({filled(text_col)})"))
+            .withColumn("is_safe", F.expr(f"NOT {any_of('_guard_text', L.GUARD_PHRASES)}"))
+            .drop("_guard_text"))
 
 
 # --- business risk ---------------------------------------------------------
 
 def business_risk(accounts: DataFrame) -> DataFrame:
     """One row per account: ``business_id, high_risk_business``."""
-    official = F.lower(strip(text_or_empty(F.col("official_domain"))))
-    used = F.lower(strip(text_or_empty(F.col("domain_used_by_sender"))))
-    mismatch = (official != "") & (used != "") & (official != used)
-    number = lambda name: F.coalesce(F.col(name), F.lit(0))
-    risky = (number("user_reports_30d") >= 15) | (
-        (number("verified") == 0) & mismatch & (number("account_age_days") < 90))
-    return accounts.select("business_id", risky.alias("high_risk_business"))
+    official = f"lower({stripped(filled('official_domain'))})"
+    used = f"lower({stripped(filled('domain_used_by_sender'))})"
+    risky = (f"coalesce(user_reports_30d, 0) >= 15 OR (coalesce(verified, 0) = 0 "
+             f"AND {official} != '' AND {used} != '' AND {official} != {used} "
+             f"AND coalesce(account_age_days, 0) < 90)")
+    return accounts.select("business_id", F.expr(risky).alias("high_risk_business"))
 
 
 def with_business_risk(messages: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Left lookup of the account risk; unknown accounts are not risky."""
-    found = lookup(messages, business_risk(accounts), ["business_id"], salt_by="message_id")
-    return found.withColumn(
-        "high_risk_business", F.coalesce(F.col("high_risk_business"), F.lit(False)))
+    """Left lookup of the account risk; unknown accounts are not risky.
+
+    Both sides come from scans: Spark broadcasts the accounts when they are
+    small, else AQE splits the partition of an account with very many messages.
+    """
+    return messages.join(business_risk(accounts), "business_id", "left").withColumn(
+        "high_risk_business", F.coalesce("high_risk_business", F.lit(False)))
 
 
-# --- predicates ------------------------------------------------------------
+# --- predicates, as SQL texts over a lower-cased text ----------------------
 
-def has_time_reference(low: Column) -> Column:
+def has_time_reference(low: str) -> str:
     """A clock time, a number of minutes, 'by 3' and the like."""
-    return matches(low, "(?:" + "|".join(L.RULE_TIME_PATTERNS) + ")")
+    return matches(low, either(L.RULE_TIME_PATTERNS))
 
 
-def is_scam(low: Column, conversation_type: Column, word_hits: Column) -> Column:
-    """Enough different scam words, or fewer with a link or pressure."""
-    linked = matches(low, L.RULE_SCAM_LINK)
-    pressed = has_word(low, L.RULE_SCAM_PRESSURE)
-    asks = has_word(low, L.RULE_SCAM_VERIFY)
-    return (word_hits >= 3) | ((word_hits >= 2) & (
-        pressed | linked | ((conversation_type == "personal") & asks)))
+def scam_word_hits(low: str) -> str:
+    """Number of different listed words and phrases present."""
+    phrases = " + ".join(f"int({has_word(low, [p])})" for p in L.RULE_SCAM_PHRASES)
+    return f"({distinct_words(low, L.RULE_SCAM_WORDS)} + {phrases})"
 
 
-def scam_word_hits(low: Column) -> Column:
-    """Number of different listed words and phrases present."""
-    phrases = sum((has_word(low, [p]).cast("int") for p in L.RULE_SCAM_PHRASES), F.lit(0))
-    return distinct_words(low, L.RULE_SCAM_WORDS) + phrases
+def is_scam(low: str, conversation: str, word_hits: str) -> str:
+    """Enough different scam words, or fewer with a link or pressure."""
+    return (f"({word_hits} >= 3 OR ({word_hits} >= 2 AND ("
+            f"{has_word(low, L.RULE_SCAM_PRESSURE)} OR {matches(low, L.RULE_SCAM_LINK)} OR "
+            f"({conversation} = 'personal' AND {has_word(low, L.RULE_SCAM_VERIFY)}))))")
 
 
-def is_spam(raw: Column, caps_text: Column) -> Column:
+def is_spam(raw: str, caps_text: str) -> str:
     """Aggressive marketing phrases, or mostly capital letters."""
-    upper = F.upper(raw)
-    letters = F.length(F.regexp_replace(caps_text, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(caps_text, r"[^\p{Lu}]", ""))
-    shouting = (F.length(caps_text) > 20) & (letters > 0) & (capitals / letters > 0.4)
-    percent = matches(upper, L.RULE_SPAM_PERCENT, needs=["%"])
-    return any_of(upper, L.RULE_SPAM_PHRASES) | percent | shouting
+    upper = f"upper({raw})"
+    letters = f"length(regexp_replace({caps_text}, {quoted('[^\\p{L}]')}, ''))"
+    capitals = f"length(regexp_replace({caps_text}, {quoted('[^\\p{Lu}]')}, ''))"
+    return (f"({any_of(upper, L.RULE_SPAM_PHRASES)} "
+            f"OR {matches(upper, L.RULE_SPAM_PERCENT, needs=['%'])} "
+            f"OR (length({caps_text}) > 20 AND {capitals} > 0.4D * {letters}))")
 
 
+def is_urgent(low: str, conversation: str, calm: str, timed: str) -> str:
+    """A time reference with urgency, and no calming phrase."""
+    return (f"(NOT {calm} AND {timed} AND ({any_of(low, L.RULE_URGENT_PARTS)} OR "
+            f"({conversation} = 'group' AND {any_of(low, L.RULE_TIME_CONTEXT)})))")
+
+
+# --- fixed values: rule -> action, type, confidence, reason ----------------
 RULE_OUTPUT = {
-    # rule: (action, message type, confidence, reason)
     "R0": ("mute", "scam", 0.92,
            "High-risk business account: unverified/lookalike domain with high user "
            "reports - likely phishing"),
@@ -106,9 +111,9 @@ RULE_OUTPUT = {
 }
 
 
-def forward_confidence(count: Column) -> Column:
+def forward_confidence(count: str) -> str:
     """Confidence grows in steps with the number of forwards."""
-    return case([(count >= 10, F.lit(0.85)), (count >= 5, F.lit(0.83))], F.lit(0.81))
+    return case([(f"{count} >= 10", "0.85D"), (f"{count} >= 5", "0.83D")], "0.81D")
 
 
 def with_rules(df: DataFrame, caps_on_raw_text: bool = True) -> DataFrame:
@@ -118,58 +123,52 @@ def with_rules(df: DataFrame, caps_on_raw_text: bool = True) -> DataFrame:
     NULL when no rule holds.  ``caps_on_raw_text=False`` tests capitals on the
     lower-cased text, so that the test never holds.
     """
-    low, raw = F.col("_rule_low"), F.col("_rule_raw")
-    conversation = F.coalesce(F.col("conversation_type"), F.lit(""))
-    forwarded = F.coalesce(F.col("forwarded_count"), F.lit(0))
-    calm, timed, urgent = F.col("_calm"), F.col("_timed"), F.col("_urgent")
-
-    staged = df.withColumns({
-        "_rule_raw": text_or_empty(F.col("message_text")),
-        "_rule_low": F.lower(text_or_empty(F.col("message_text"))),
-    }).withColumns({
-        "_calm": any_of(low, L.RULE_CALM),
-        "_timed": has_time_reference(low),
-    }).withColumn("_urgent", ~calm & timed & (
-        any_of(low, L.RULE_URGENT_PARTS)
-        | ((conversation == "group") & any_of(low, L.RULE_TIME_CONTEXT))))
-
-    business_deal = (conversation == "business") & any_of(low, L.RULE_TRANSACTIONAL)
-    logistics = timed & ~any_of(low, L.RULE_SELLER) & any_of(low, L.RULE_LOGISTICS)
+    low, raw, group = "_rule_low", "_rule_raw", "conversation_type"
+    forwarded = "coalesce(forwarded_count, 0)"
+    deal = f"({group} <=> 'business' AND {any_of(low, L.RULE_TRANSACTIONAL)})"
+    logistics = (f"_timed AND NOT {any_of(low, L.RULE_SELLER)} "
+                 f"AND {any_of(low, L.RULE_LOGISTICS)}")
     rule = case([
-        ((conversation == "business") & F.col("high_risk_business"), F.lit("R0")),
-        ((forwarded >= 5) & ~urgent, F.lit("R1a")),
-        ((forwarded >= 2) & ~business_deal & ~urgent, F.lit("R1b")),
-        ((forwarded == 1) & any_of(low, L.RULE_CHAIN), F.lit("R1c")),
-        (low.contains("?") & matches(low, L.USER_MENTION, needs=["@u_"]), F.lit("R2")),
-        (urgent, F.lit("R3")),
-        (matches(low, "(?:" + "|".join(L.RULE_INJECTION_PATTERNS) + ")"), F.lit("R4")),
-        (is_scam(low, conversation, scam_word_hits(low)), F.lit("R5")),
-        (is_spam(raw, raw if caps_on_raw_text else low), F.lit("R6")),
-        (calm, F.lit("R7")),
-        ((conversation == "group") & logistics, F.lit("R8")),
+        (f"{group} = 'business' AND high_risk_business", "'R0'"),
+        (f"{forwarded} >= 5 AND NOT _urgent", "'R1a'"),
+        (f"{forwarded} >= 2 AND NOT {deal} AND NOT _urgent", "'R1b'"),
+        (f"{forwarded} = 1 AND {any_of(low, L.RULE_CHAIN)}", "'R1c'"),
+        (f"contains({low}, '?') AND {matches(low, L.USER_MENTION, needs=['@u_'])}", "'R2'"),
+        ("_urgent", "'R3'"),
+        (matches(low, either(L.RULE_INJECTION_PATTERNS)), "'R4'"),
+        (is_scam(low, group, scam_word_hits(low)), "'R5'"),
+        (is_spam(raw, raw if caps_on_raw_text else low), "'R6'"),
+        ("_calm", "'R7'"),
+        (f"{group} = 'group' AND {logistics}", "'R8'"),
     ])
 
-    def output(position: int, kind: str) -> Column:
-        return case([(F.col("rule_id") == rule_id, F.lit(row[position]).cast(kind))
-                     for rule_id, row in RULE_OUTPUT.items()])
+    def output(position: int) -> str:
+        return mapped("rule_id", {
+            rule_id: quoted(row[position]) if isinstance(row[position], str)
+            else f"{row[position]}D"
+            for rule_id, row in RULE_OUTPUT.items() if row[position] is not None})
 
-    is_forward = F.col("rule_id").isin("R1a", "R1b")
-    reason = F.when(is_forward, F.concat(
-        F.lit("Message forwarded "), forwarded.cast("string"), F.lit(" times - "),
-        output(3, "string"))).otherwise(output(3, "string"))
-    confidence = F.when(is_forward, forward_confidence(forwarded)).otherwise(output(2, "double"))
-    return staged.withColumn("rule_id", rule).withColumns({
-        "rule_action": output(0, "string"),
-        "rule_type": output(1, "string"),
-        "rule_confidence": confidence,
-        "rule_reason": reason,
-    }).drop("_rule_raw", "_rule_low", "_calm", "_timed", "_urgent")
+    forward_rule = "rule_id IN ('R1a', 'R1b')"
+    return df.withColumns({
+        raw: F.expr(filled("message_text")), low: F.expr(f"lower({filled('message_text')})"),
+    }).withColumns({
+        "_calm": F.expr(any_of(low, L.RULE_CALM)), "_timed": F.expr(has_time_reference(low)),
+    }).withColumn("_urgent", F.expr(is_urgent(low, f"coalesce({group}, '')", "_calm", "_timed"))
+                  ).withColumn("rule_id", F.expr(rule)).withColumns({
+        "rule_action": F.expr(output(0)),
+        "rule_type": F.expr(output(1)),
+        "rule_confidence": F.expr(
+            f"if({forward_rule}, {forward_confidence(forwarded)}, {output(2)})"),
+        "rule_reason": F.expr(
+            f"if({forward_rule}, concat('Message forwarded ', string({forwarded}), ' times - ', "
+            f"{output(3)}), {output(3)})"),
+    }).drop(raw, low, "_calm", "_timed", "_urgent")
 
 
 def rule_matches(messages: DataFrame, accounts: DataFrame) -> DataFrame:
     """Only the messages that some rule decides, in the output layout."""
     ruled = with_rules(with_business_risk(messages, accounts))
-    return ruled.where(F.col("rule_id").isNotNull()).select(
+    return ruled.where("rule_id IS NOT NULL").select(
         "message_id", F.col("rule_action").alias("action"),
         F.col("rule_type").alias("message_type"), F.col("rule_reason").alias("reason"),
         F.col("rule_confidence").alias("confidence"),
@@ -183,5 +182,3 @@ def rule_coverage(messages: DataFrame, accounts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("messages"),
         F.count("rule_id").alias("matched"),
         F.avg(F.col("rule_id").isNotNull().cast("double")).alias("coverage"))
-
-

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from beckon import lexicons as L
 from beckon.functions.match import (
-    any_of, case, has_word, hits, matches, strip, text_or_empty,
+    any_of, case, either, filled, has_word, hits, matches, stripped,
 )
 
-IMAGE_COLUMNS = ["image_extracted_text", "image_category"]
-
 
 def with_message_type(df: DataFrame, action_col: str, out_col: str = "message_type") -> DataFrame:
     """Add the inferred type.
@@ -19,65 +17,52 @@ def with_message_type(df: DataFrame, action_col: str, out_col: str = "message_ty
     Needs the text features ``at_mention_with_question`` and
     ``has_specific_time``.  Image columns are optional.
     """
-    image = {c: (F.col(c) if c in df.columns else F.lit(None).cast("string"))
-             for c in IMAGE_COLUMNS}
-    action = F.col(action_col)
-    own = text_or_empty(F.col("message_text"))
-    ocr = text_or_empty(image["image_extracted_text"])
-    ocr_usable = ~F.lower(strip(ocr)).isin("", "none")
-    text = F.when((strip(own) == "") & ocr_usable, ocr).otherwise(own)
-    low = F.col("_type_low")
-    conversation = F.lower(text_or_empty(F.col("conversation_type")))
-    category = text_or_empty(image["image_category"])
-
-    staged = df.withColumns({
-        "_type_low": F.lower(text),
-        "_type_blank": strip(text) == "",
-    }).withColumn("_type_scam", (hits(low, L.TYPE_SCAM) >= 2) | any_of(low, L.TYPE_SCAM_ALWAYS))
+    def image(name: str) -> str:
+        return filled(name) if name in df.columns else "''"
 
-    scam = F.col("_type_scam")
-    mention = F.col("at_mention_with_question") & ~any_of(low, L.TYPE_MENTION_CASUAL)
-    payment = (any_of(low, L.TYPE_PAYMENT) & ~any_of(low, L.TYPE_PAYMENT_ADVISORY)
-               & ~low.contains("?") & ~low.contains("@u_"))
+    action, low = action_col, "_type_low"
+    own, ocr = filled("message_text"), image("image_extracted_text")
+    text = (f"if({stripped(own)} = '' AND lower({stripped(ocr)}) NOT IN ('', 'none'), "
+            f"{ocr}, {own})")
+    conversation = f"lower({filled('conversation_type')})"
+    category = image("image_category")
     # a percent sign is no word character: the entry needs one right after it
-    percent = matches(low, r"\b(?:" + "|".join(L.TYPE_PROMOTION_PERCENT) + r")\b",
+    percent = matches(low, r"\b" + either(L.TYPE_PROMOTION_PERCENT) + r"\b",
                       needs=L.TYPE_PROMOTION_PERCENT)
-    promotion = ~any_of(low, L.TYPE_PROMOTION_SAFETY) & (
-        has_word(low, L.TYPE_PROMOTION_WORDS) | percent)
-    event = any_of(low, L.TYPE_EVENT) | (
-        (conversation != "business") & any_of(low, L.TYPE_EVENT_NOT_BUSINESS))
-    urgent = (action == "notify") & ~any_of(low, L.TYPE_URGENT_CASUAL) & (
-        F.col("has_specific_time") | any_of(low, L.TYPE_URGENT))
-    spam = (action == "mute") & any_of(low, L.TYPE_SPAM)
-
     kind = case([
-        (F.col("_type_blank"), case(
-            [(action == "mute", F.lit("spam")), (action == "notify", F.lit("urgent"))],
-            F.lit("unknown"))),
-        ((category == "urgent") & (action == "notify"), F.lit("urgent")),
-        ((category == "promotional") & action.isin("mute", "digest"), F.lit("promotion")),
-        (scam, F.lit("scam")),
-        (any_of(low, L.TYPE_INJECTION), F.lit("scam")),
-        (mention, F.lit("urgent")),
-        (any_of(low, L.TYPE_CALM), F.lit("personal")),
-        (any_of(low, L.TYPE_UNKNOWN_SENDER), F.lit("unknown")),
-        (payment, F.lit("payment")),
-        (any_of(low, L.TYPE_GREETING), F.lit("greeting")),
-        (promotion, F.lit("promotion")),
-        (event, F.lit("event")),
-        (urgent, F.lit("urgent")),
-        (F.coalesce(F.col("forwarded_count"), F.lit(0)) > 0, F.lit("forward")),
-        ((conversation == "business") & any_of(low, L.TYPE_BUSINESS_UPDATE),
-         F.lit("business_update")),
-        (spam, F.lit("spam")),
-        (conversation == "personal", F.lit("personal")),
-        ((action == "digest") & (conversation == "group"), F.lit("personal")),
-        (action == "notify", F.lit("personal")),
-    ], F.lit("business_update"))
-    return staged.withColumn(out_col, kind).drop("_type_low", "_type_blank", "_type_scam")
+        ("_type_blank", case([(f"{action} = 'mute'", "'spam'"),
+                              (f"{action} = 'notify'", "'urgent'")], "'unknown'")),
+        (f"{category} = 'urgent' AND {action} = 'notify'", "'urgent'"),
+        (f"{category} = 'promotional' AND {action} IN ('mute', 'digest')", "'promotion'"),
+        (f"{hits(low, L.TYPE_SCAM)} >= 2 OR {any_of(low, L.TYPE_SCAM_ALWAYS)}", "'scam'"),
+        (any_of(low, L.TYPE_INJECTION), "'scam'"),
+        (f"at_mention_with_question AND NOT {any_of(low, L.TYPE_MENTION_CASUAL)}", "'urgent'"),
+        (any_of(low, L.TYPE_CALM), "'personal'"),
+        (any_of(low, L.TYPE_UNKNOWN_SENDER), "'unknown'"),
+        (f"{any_of(low, L.TYPE_PAYMENT)} AND NOT {any_of(low, L.TYPE_PAYMENT_ADVISORY)} "
+         f"AND NOT {any_of(low, ['?', '@u_'])}", "'payment'"),
+        (any_of(low, L.TYPE_GREETING), "'greeting'"),
+        (f"NOT {any_of(low, L.TYPE_PROMOTION_SAFETY)} "
+         f"AND ({has_word(low, L.TYPE_PROMOTION_WORDS)} OR {percent})", "'promotion'"),
+        (f"{any_of(low, L.TYPE_EVENT)} OR ({conversation} != 'business' "
+         f"AND {any_of(low, L.TYPE_EVENT_NOT_BUSINESS)})", "'event'"),
+        (f"{action} = 'notify' AND NOT {any_of(low, L.TYPE_URGENT_CASUAL)} "
+         f"AND (has_specific_time OR {any_of(low, L.TYPE_URGENT)})", "'urgent'"),
+        ("coalesce(forwarded_count, 0) > 0", "'forward'"),
+        (f"{conversation} = 'business' AND {any_of(low, L.TYPE_BUSINESS_UPDATE)}",
+         "'business_update'"),
+        (f"{action} = 'mute' AND {any_of(low, L.TYPE_SPAM)}", "'spam'"),
+        (f"{conversation} = 'personal'", "'personal'"),
+        (f"{action} = 'digest' AND {conversation} = 'group'", "'personal'"),
+        (f"{action} = 'notify'", "'personal'"),
+    ], "'business_update'")
+    return df.withColumn("_type_text", F.expr(text)).withColumns({
+        low: F.expr("lower(_type_text)"),
+        "_type_blank": F.expr(f"{stripped('_type_text')} = ''"),
+    }).withColumn(out_col, F.expr(kind)).drop("_type_text", low, "_type_blank")
 
 
 def with_rule_type_kept(df: DataFrame, type_col: str = "message_type") -> DataFrame:
     """A scam found by a rule stays a scam whatever the text suggests."""
-    return df.withColumn(type_col, F.when(F.col("rule_type") == "scam", F.lit("scam"))
-                         .otherwise(F.col(type_col)))
+    return df.withColumn(type_col, F.expr(
+        f"if(rule_type <=> 'scam', 'scam', {type_col})"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beckon import lexicons as L
-from beckon.functions.match import any_of, case, text_or_empty
+from beckon.functions.match import any_of, case, filled, quoted, quoted_list
 
 # templates that themselves speak of scam, spam, forwards, promotions, payments
 TEMPLATE_SIGNAL = {
@@ -16,6 +16,14 @@ TEMPLATE_SIGNAL = {
     "promotion": ["mute_promotion_dismissed", "mute_promotion", "digest_promotion"],
     "payment": ["notify_payment"],
 }
+# --- fixed values: types that a signal leaves alone ------------------------
+KEPT_TYPES = {
+    "scam": ["scam", "spam"],
+    "spam": ["spam", "promotion", "scam"],
+    "forward": ["scam", "spam", "forward", "greeting", "promotion", "payment"],
+    "promotion": ["promotion", "spam", "scam"],
+    "payment": ["payment", "scam", "spam", "promotion", "urgent", "event", "business_update"],
+}
 REVIEW_BELOW = 0.60
 FALLBACK_REASON = "Fallback: Output validation failed after 3 retries."
 
@@ -28,53 +36,34 @@ def with_verification(df: DataFrame, signal: str = "reason") -> DataFrame:
     words of a message cannot flip its own type.
     """
     if signal == "reason":
-        low = F.col("_reason_low")
-        found = {
-            "scam": any_of(low, L.VERIFY_SCAM),
-            "spam": any_of(low, L.VERIFY_SPAM),
-            "forward": any_of(low, L.VERIFY_FORWARD),
-            "promotion": any_of(low, L.VERIFY_PROMOTION),
-            "payment": low.contains(L.VERIFY_PAYMENT),
-        }
+        words = {"scam": L.VERIFY_SCAM, "spam": L.VERIFY_SPAM, "forward": L.VERIFY_FORWARD,
+                 "promotion": L.VERIFY_PROMOTION, "payment": [L.VERIFY_PAYMENT]}
+        found = {kind: any_of("_reason_low", phrases) for kind, phrases in words.items()}
     elif signal == "template":
-        found = {kind: F.col("reason_template").isin(names)
+        found = {kind: f"reason_template IN {quoted_list(names)}"
                  for kind, names in TEMPLATE_SIGNAL.items()}
     else:
         raise ValueError("signal must be 'reason' or 'template'")
 
-    kept = {
-        "scam": ["scam", "spam"],
-        "spam": ["spam", "promotion", "scam"],
-        "forward": ["scam", "spam", "forward", "greeting", "promotion", "payment"],
-        "promotion": ["promotion", "spam", "scam"],
-        "payment": ["payment", "scam", "spam", "promotion", "urgent", "event",
-                    "business_update"],
-    }
-    kind = F.col("message_type")
     # only the first signal found may change the type
-    fixed = case([(found[name], F.when(~kind.isin(kept[name]), F.lit(name)))
-                  for name in ["scam", "spam", "forward", "promotion", "payment"]])
-    staged = df.withColumn("_reason_low", F.lower(text_or_empty(F.col("reason")))).withColumns({
-        "_type_before": kind, "_type_fix": fixed, "_action_before": F.col("action"),
-    }).withColumn("message_type", F.coalesce(F.col("_type_fix"), F.col("message_type")))
-    staged = staged.withColumn("action", F.when(
-        F.col("message_type").isin("scam", "spam"), F.lit("mute")).otherwise(F.col("action")))
-    staged = staged.withColumn("corrections", F.array_compact(F.array(
-        F.when(F.col("_type_fix").isNotNull(), F.concat(
-            F.lit("type:"), F.col("_type_before"), F.lit("->"), F.col("_type_fix"),
-            F.lit("(reason_match)"))),
-        F.when(F.col("action") != F.col("_action_before"), F.concat(
-            F.lit("action:"), F.col("_action_before"), F.lit("->mute(scam_type_safety)"))))))
-    trace = F.concat(
-        F.col("message_id"), F.lit(" | action="), F.col("action"),
-        F.lit(" | type="), F.col("message_type"),
-        F.lit(" | conf="), F.format_string("%.3f", F.col("confidence")),
-        F.lit(" | evidence="),
-        F.when(F.col("evidence_message_ids") != "none", F.lit("yes")).otherwise(F.lit("no")),
-        F.when(F.size("corrections") > 0, F.concat(
-            F.lit(" | fixes="), F.concat_ws(",", F.col("corrections")))).otherwise(F.lit("")))
-    return staged.withColumn("trace", trace).drop(
-        "_reason_low", "_type_before", "_type_fix", "_action_before")
+    fix = case([(test, f"if(message_type NOT IN {quoted_list(KEPT_TYPES[kind])}, "
+                       f"{quoted(kind)}, NULL)") for kind, test in found.items()])
+    unsafe = "coalesce(_type_fix, message_type) IN ('scam', 'spam') AND action != 'mute'"
+    corrections = (
+        "array_compact(array("
+        "concat('type:', message_type, '->', _type_fix, '(reason_match)'), "
+        f"if({unsafe}, concat('action:', action, '->mute(scam_type_safety)'), NULL)))")
+    trace = (
+        "concat(message_id, ' | action=', action, ' | type=', message_type, "
+        "' | conf=', format_string('%.3f', bround(confidence, 3)), "
+        "' | evidence=', if(evidence_message_ids != 'none', 'yes', 'no'), "
+        "if(size(corrections) > 0, concat(' | fixes=', concat_ws(',', corrections)), ''))")
+    return (df.withColumn("_reason_low", F.expr(f"lower({filled('reason')})"))
+            .withColumn("_type_fix", F.expr(fix))
+            .withColumn("corrections", F.expr(corrections))
+            .withColumns({"action": F.expr(f"if({unsafe}, 'mute', action)"),
+                          "message_type": F.expr("coalesce(_type_fix, message_type)")})
+            .withColumn("trace", F.expr(trace)).drop("_reason_low", "_type_fix"))
 
 
 def trace_summary(verified: DataFrame) -> DataFrame:
@@ -89,25 +78,20 @@ def with_review_flag(df: DataFrame) -> DataFrame:
     return df.withColumn("needs_review", F.col("confidence") < REVIEW_BELOW)
 
 
-def review_queue(df: DataFrame) -> DataFrame:
-    """The low-confidence decisions, unchanged, for a reviewer."""
-    return with_review_flag(df).where("needs_review").drop("needs_review")
-
-
 def with_validation(df: DataFrame) -> DataFrame:
     """Replace rows that break the output contract by the fallback; add ``is_valid``."""
-    valid = (F.col("action").isin(L.ACTIONS) & F.col("message_type").isin(L.MESSAGE_TYPES)
-             & F.col("reason").isNotNull() & F.col("evidence_message_ids").isNotNull()
-             & F.col("message_id").isNotNull()
-             & F.col("confidence").between(0.0, 1.0) & ~F.isnan("confidence"))
-    ok = F.col("is_valid")
+    valid = (f"coalesce(action IN {quoted_list(L.ACTIONS)} "
+             f"AND message_type IN {quoted_list(L.MESSAGE_TYPES)} "
+             "AND message_id IS NOT NULL AND reason IS NOT NULL "
+             "AND evidence_message_ids IS NOT NULL "
+             "AND confidence BETWEEN 0 AND 1 AND NOT isnan(confidence), false)")
     fallback = {
-        "message_id": F.coalesce(F.col("message_id"), F.lit("unknown")),
-        "action": F.when(ok, F.col("action")).otherwise(F.lit("mute")),
-        "message_type": F.when(ok, F.col("message_type")).otherwise(F.lit("unknown")),
-        "reason": F.when(ok, F.col("reason")).otherwise(F.lit(FALLBACK_REASON)),
-        "confidence": F.when(ok, F.col("confidence")).otherwise(F.lit(0.0)),
-        "evidence_message_ids": F.when(ok, F.col("evidence_message_ids"))
-        .otherwise(F.lit("none")),
+        "message_id": "coalesce(message_id, 'unknown')",
+        "action": "if(is_valid, action, 'mute')",
+        "message_type": "if(is_valid, message_type, 'unknown')",
+        "reason": f"if(is_valid, reason, {quoted(FALLBACK_REASON)})",
+        "confidence": "if(is_valid, confidence, 0.0D)",
+        "evidence_message_ids": "if(is_valid, evidence_message_ids, 'none')",
     }
-    return df.withColumn("is_valid", F.coalesce(valid, F.lit(False))).withColumns(fallback)
+    return df.withColumn("is_valid", F.expr(valid)).withColumns(
+        {name: F.expr(text) for name, text in fallback.items()})

@@ -154,19 +154,12 @@ MESSAGE_COLUMNS = [
 ]
 
 
-EVENT_COLUMNS = ["event_id", "event_type", "value", "k", "tail"]
-
-
 def all_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Message columns plus the event columns they come from."""
     return messages_from_events(read_spread(spark, sf_dir, "events", "event_id"),
                                 read(spark, sf_dir, "conversations"))
 
 
-def is_history(created: Column) -> Column:
-    return created < F.lit(CUT).cast("timestamp")
-
-
 def reactions_from(past: DataFrame) -> DataFrame:
     """One reaction row per past message."""
     kind, k = F.col("event_type"), F.col("k")
@@ -316,14 +309,15 @@ class Traffic:
     relations: DataFrame
     images: DataFrame
     voice_notes: DataFrame
+    root: str
 
     @property
     def history(self) -> DataFrame:
-        return self.messages.where("is_history")
+        return self.messages.where(F.col("period") == "history")
 
     @property
     def incoming(self) -> DataFrame:
-        return self.messages.where("NOT is_history")
+        return self.messages.where(F.col("period") == "incoming")
 
     @property
     def history_tables(self) -> HistoryTables:
@@ -331,7 +325,7 @@ class Traffic:
                              self.members)
 
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str], Traffic] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Traffic:
@@ -345,9 +339,10 @@ def tables(spark: SparkSession, sf_dir: str) -> Traffic:
     if key not in _written:
         root = scratch_path(spark, "traffic")
         messages = all_messages(spark, sf_dir).withColumn(
-            "is_history", is_history(F.col("created_at")))
-        messages.write.partitionBy("is_history").parquet(f"{root}/messages")
-        past = spark.read.parquet(f"{root}/messages").where("is_history")
+            "period", F.when(F.col("created_at") < F.lit(CUT).cast("timestamp"),
+                             F.lit("history")).otherwise(F.lit("incoming")))
+        messages.write.partitionBy("period").parquet(f"{root}/messages")
+        past = spark.read.parquet(f"{root}/messages").where("period = 'history'")
         for name, df in {
             "reactions": reactions_from(past), "daily": daily_from(past),
             "accounts": business_accounts(spark, sf_dir),
@@ -356,8 +351,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Traffic:
             "images": images(spark, sf_dir), "voice_notes": voice_notes(spark, sf_dir),
         }.items():
             df.write.parquet(f"{root}/{name}")
-        _written[key] = root
-    root = _written[key]
-    return Traffic(**{name: spark.read.parquet(f"{root}/{name}") for name in [
-        "messages", "reactions", "daily", "accounts", "members", "relations", "images",
-        "voice_notes"]})
+        _written[key] = Traffic(**{name: spark.read.parquet(f"{root}/{name}") for name in [
+            "messages", "reactions", "daily", "accounts", "members", "relations", "images",
+            "voice_notes"]}, root=root)
+    return _written[key]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "beckon", cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -40,3 +40,16 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
             _local_scratch = tempfile.TemporaryDirectory(prefix="beckon-")
         shared = _local_scratch.name
     return f"{shared.rstrip('/')}/beckon/{purpose}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows, written to scratch space and read back.
+
+    Cuts the lineage of a narrow table that a plan needs several times: it is
+    computed once, survives lost executors, its size is known to the join
+    planner, and AQE can split a skewed join on it.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from beckon.functions.match import text_or_empty
 
 ANALYSIS = ("struct<urgency:string,category:string,has_deadline:boolean,"
             "extracted_text:string,reason:string>")
@@ -51,7 +50,7 @@ def parse_responses(df: DataFrame, response_col: str) -> DataFrame:
     Adds ``urgency, category, has_deadline, extracted_text, reason`` and
     ``parsed``.  Plain text is kept as ``extracted_text``.
     """
-    raw = text_or_empty(F.col(response_col))
+    raw = F.coalesce(response_col, F.lit(""))
     parsed = F.from_json(_object_text(raw), RESPONSE,
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     field = lambda name: F.col(f"_json.{name}")
@@ -66,8 +65,8 @@ def parse_responses(df: DataFrame, response_col: str) -> DataFrame:
         "category": F.when(ok, F.lower(F.coalesce(field("category"), F.lit("unknown"))))
         .otherwise(F.lit("unknown")),
         "has_deadline": F.when(ok, truthy).otherwise(F.lit(False)),
-        "extracted_text": F.when(ok, text_or_empty(field("extracted_text"))).otherwise(raw),
-        "reason": F.when(ok, text_or_empty(field("reason"))).otherwise(F.lit(RAW_REASON)),
+        "extracted_text": F.when(ok, F.coalesce(field("extracted_text"), F.lit(""))).otherwise(raw),
+        "reason": F.when(ok, F.coalesce(field("reason"), F.lit(""))).otherwise(F.lit(RAW_REASON)),
     }).drop("_json")
 
 
