@@ -88,7 +88,7 @@ HISTORY_SQL = {
         "user_total_opens": "us.total_opens", "user_total_replies": "us.total_replies",
         "user_reply_rate": "us.reply_rate",
         "user_notification_load": "us.avg_daily_notifications"}),
-    "dismissals": ("LEFT JOIN similar sd ON sd.message_id = i.message_id", {
+    "dismissals": ("LEFT JOIN alike sd ON sd.message_id = i.message_id", {
         "similar_dismissals": "sd.n"}),
     "category": ("LEFT JOIN category c ON c.user_id = i.user_id AND "
                  "c.conversation_type = i.conversation_type", {
@@ -126,7 +126,7 @@ for name, block in {"sender_trust": "sender", "user_engagement": "user",
     columns, joins = history_select([block])
     ORACLES[name] = sql(f"SELECT i.message_id, {columns} FROM incoming i {joins}",
                         "incoming", "history", *NEEDS[block],
-                        extra={"similar": SIMILAR} if block == "dismissals" else None)
+                        extra={"alike": SIMILAR} if block == "dismissals" else None)
 
 # --- evidence --------------------------------------------------------------
 TERMS = {
@@ -383,7 +383,7 @@ ORACLES["feature_matrix"] = sql(
     f"SELECT i.message_id, {_text_doubles}, {_columns} FROM incoming i "
     f"JOIN feat f ON f.message_id = i.message_id {_joins}",
     "incoming", "history", "sender_stats", "user_stats", "category", "relations", "members",
-    extra={**EVIDENCE, "similar": SIMILAR,
+    extra={**EVIDENCE, "alike": SIMILAR,
            "feat": text_features("incoming", "message_id", "message_text")})
 ORACLES["label_index"] = sql(
     "SELECT true_action AS action, (dense_rank() OVER (ORDER BY true_action) - 1)::DOUBLE AS "

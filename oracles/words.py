@@ -123,7 +123,7 @@ def text_features(source: str, key: str, text: str) -> str:
       len(regexp_extract_all(low, '(?:(?:^|{NOT_W})fwd:|forwarded\\s+message|share\\s+with|'
         || 'please\\s+share|forward\\s+to)')) AS forward_indicator_count
     FROM (SELECT *, lower(t) AS low, {strip('t')} AS st
-          FROM (SELECT *, coalesce({text}, '') AS t FROM {source})))))"""
+          FROM (SELECT *, coalesce({text}, '') AS t FROM {source}))))"""
 
 
 def tokens_nonblank(col: str) -> str:
