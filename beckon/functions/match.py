@@ -3,10 +3,11 @@
 Each helper takes and returns the text of a Spark SQL expression; callers wrap
 the result in ``F.expr``.  A list of thirty phrases is one parsed expression
 instead of a hundred Column calls, so plans are built quickly, and Catalyst
-sees ordinary built-in functions.  Phrase lists become OR-ed ``contains`` calls
-(a byte scan, cheaper than a regex alternation).  Patterns are compiled once
-per task and, where a pattern cannot match without a known literal, guarded by
-``contains`` so that most rows skip the regex.
+sees ordinary built-in functions.  Short phrase lists become OR-ed ``contains``
+calls; the many lists of an operator share one pass over the text, see
+``PhraseSet``.  Patterns are compiled once per task and, where a pattern cannot
+match without a known literal, guarded by a test for that literal so that most
+rows skip the regex.
 """
 
 from __future__ import annotations
@@ -48,20 +49,83 @@ def any_of(expr: str, phrases: Sequence[str]) -> str:
     return "(" + " OR ".join(f"contains({expr}, {quoted(p)})" for p in phrases) + ")"
 
 
-def hits(expr: str, phrases: Sequence[str]) -> str:
-    """Number of list entries found; a repeated entry counts once per listing."""
-    return "(" + " + ".join(f"int(contains({expr}, {quoted(p)}))" for p in phrases) + ")"
+class PhraseSet:
+    """Many phrase lists tested with one pass over a text.
 
+    A lookahead pattern in the shape of a prefix tree reports, at each position
+    of the text, the longest listed phrase that starts there.  A phrase occurs
+    as a substring exactly when it, or a longer phrase that begins with it, is
+    among those reports, so list tests become look-ups in a short array.
+    """
 
-def matches(expr: str, pattern: str, nocase: bool = False, needs: Sequence[str] = (),
-            lowered: str | None = None) -> str:
-    """Pattern search, skipped when none of the ``needs`` literals is present.
-
-    ``needs`` are looked up in ``lowered`` (default: the expression itself).
+    def __init__(self, column: str, *lists: Sequence[str]) -> None:
+        self.column = column
+        self.phrases = sorted({p for phrases in lists for p in phrases})
+
+    def found(self, expr: str) -> str:
+        """The array to store in ``column`` for a text."""
+        pattern = f"(?=({_prefix_tree(self.phrases)}))"
+        return f"array_distinct(regexp_extract_all({expr}, {quoted(pattern)}, 1))"
+
+    def _reports(self, phrases: Sequence[str]) -> list[str]:
+        unknown = set(phrases) - set(self.phrases)
+        if unknown:
+            raise ValueError(f"phrases not in the set: {sorted(unknown)}")
+        return [q for q in self.phrases if q.startswith(tuple(phrases))]
+
+    def any_of(self, phrases: Sequence[str]) -> str:
+        """True when at least one phrase occurs as a substring."""
+        reports = self._reports(phrases)
+        if len(reports) == 1:
+            return f"array_contains({self.column}, {quoted(reports[0])})"
+        return f"arrays_overlap({self.column}, array{quoted_list(reports)})"
+
+    def hits(self, phrases: Sequence[str]) -> str:
+        """Number of list entries found; a repeated entry counts once per listing."""
+        return "(" + " + ".join(f"int({self.any_of([p])})" for p in phrases) + ")"
+
+
+def _prefix_tree(phrases: Sequence[str]) -> str:
+    """A pattern for the longest of the phrases, branching letter by letter."""
+    root: dict = {}
+    for phrase in phrases:
+        node = root
+        for letter in phrase:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def branches(node: dict) -> list[str]:
+        return [re.escape(letter) + pattern(child)
+                for letter, child in sorted(node.items()) if letter]
+
+    def pattern(node: dict) -> str:
+        options = branches(node)
+        if not options:
+            return ""
+        if len(options) == 1 and "" not in node:
+            return options[0]
+        return "(?:" + "|".join(options) + ")" + ("?" if "" in node else "")
+
+    # the first letter is narrowed down in two steps
+    letters, options = sorted(root), branches(root)
+    groups = []
+    for at in range(0, len(letters), 5):
+        start = "".join(re.escape(c) for c in letters[at:at + 5])
+        groups.append(f"(?=[{start}])(?:{'|'.join(options[at:at + 5])})")
+    return "|".join(groups)
+
+
+def matches(expr: str, pattern: str, nocase: bool = False, needs: str | Sequence[str] = ()) -> str:
+    """Pattern search, skipped when it cannot succeed.
+
+    ``needs`` is a cheap test that must hold, or literals of which one must be
+    present in the expression.
     """
     flags = UNICODE_NOCASE if nocase else UNICODE
     test = f"rlike({expr}, {quoted(flags + pattern)})"
-    return f"({any_of(lowered or expr, needs)} AND {test})" if needs else test
+    if not needs:
+        return test
+    return f"({needs if isinstance(needs, str) else any_of(expr, needs)} AND {test})"
 
 
 def count_matches(expr: str, pattern: str, nocase: bool = False) -> str:

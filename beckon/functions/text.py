@@ -7,15 +7,40 @@ from pyspark.sql import functions as F
 
 from beckon import lexicons as L
 from beckon.functions.match import (
-    UNICODE, any_of, bounded, count_matches, count_substring, filled, matches, quoted,
+    UNICODE, PhraseSet, bounded, count_matches, count_substring, filled, matches, quoted,
     stripped,
 )
 
-_T, _LOW, _STRIPPED = "_text", "_lowered", "_stripped"
+_T, _LOW, _STRIPPED, _SEEN = "_text", "_lowered", "_stripped", "_seen"
 
+# literals without which a pattern cannot match
+NEEDS = {
+    "url": ["http://", "https://"],
+    "minutes": ["min"],
+    "hours": ["hour", "hr"],
+    "today": ["today"],
+    "now": ["now"],
+    "deadline": ["before", "by", "deadline", "due"],
+    "negation": ["need", "pressure", "whenever", "rush", "urgent", "dramatic", "time",
+                 "convenience"],
+    "injection": ["ignore", "disregard", "forget", "override", "instruction"],
+    "same_day": ["tonight", "today", "this"],
+    "flexible": ["when", "rush", "convenience"],
+    "frustration": ["work", "broken", "issue", "problem", "error", "fail", "can't", "stuck"],
+    "gratitude": ["thank", "appreciate", "grateful", "thx", "ty"],
+    "greeting": ["good", "hello", "hi", "hey", "greetings"],
+    "forwarded": ["fwd:", "forward", "share"],
+}
+SEEN = PhraseSet(_SEEN, *NEEDS.values(), L.URGENCY_WORDS, L.SCAM_WORDS, L.SCAM_PHRASES,
+                 L.SPECIFIC_TIME_PARTS, L.VAGUE_TIME_PARTS)
 
-def _flag(pattern: str, needs: list[str] | None = None) -> str:
-    return matches(_T, pattern, nocase=True, needs=needs or (), lowered=_LOW)
+
+def _flag(pattern: str, need: str) -> str:
+    return matches(_T, pattern, nocase=True, needs=SEEN.any_of(NEEDS[need]))
+
+
+def _count_if(test: str, count: str) -> str:
+    return f"if({test}, {count}, 0)"
 
 
 def _base() -> dict[str, str]:
@@ -24,46 +49,40 @@ def _base() -> dict[str, str]:
               f"piece -> {stripped('piece')} != '')")
     urgency = count_matches(_T, bounded(L.URGENCY_WORDS), nocase=True)
     scam_words = count_matches(_T, bounded(L.SCAM_WORDS), nocase=True)
-    scam_phrases = " + ".join(count_substring(_LOW, p) for p in L.SCAM_PHRASES)
-    forwards = count_matches(_T, L.FORWARDED, nocase=True)
-    links = ["http://", "https://"]
+    scam_phrases = " + ".join(
+        _count_if(SEEN.any_of([p]), count_substring(_LOW, p)) for p in L.SCAM_PHRASES)
     return {
         "has_at_mention": f"contains({_T}, '@')",
         "has_question": f"contains({_T}, '?')",
         "char_count": f"bigint(length({_STRIPPED}))",
         "word_count": count_matches(_T, r"\S+"),
         "sentence_count": f"bigint(if({_STRIPPED} = '', 0, greatest(size({pieces}), 1)))",
-        "has_url": _flag(L.URL, links),
+        "has_url": _flag(L.URL, "url"),
         "has_phone": matches(_T, L.PHONE),
         "has_email": matches(_T, L.EMAIL, needs=["@"]),
         "_clock": matches(_T, L.CLOCK_TIME, needs=[":"]),
-        "_minutes": _flag(L.MINUTES, ["min"]),
-        "_hours": _flag(L.HOURS, ["hour", "hr"]),
-        "has_today": matches(_LOW, bounded(["today"]), needs=["today"]),
-        "has_now": matches(_LOW, bounded(["now"]), needs=["now"]),
-        "has_deadline": _flag(L.DEADLINE, ["before", "by", "deadline", "due"]),
-        "urgency_keyword_count": f"if({any_of(_LOW, L.URGENCY_WORDS)}, {urgency}, 0)",
-        "has_negation_of_urgency": _flag(L.URGENCY_NEGATION, [
-            "need", "pressure", "whenever", "rush", "urgent", "dramatic", "time",
-            "convenience"]),
+        "_minutes": _flag(L.MINUTES, "minutes"),
+        "_hours": _flag(L.HOURS, "hours"),
+        "has_today": matches(_LOW, bounded(["today"]), needs=SEEN.any_of(NEEDS["today"])),
+        "has_now": matches(_LOW, bounded(["now"]), needs=SEEN.any_of(NEEDS["now"])),
+        "has_deadline": _flag(L.DEADLINE, "deadline"),
+        "urgency_keyword_count": _count_if(SEEN.any_of(L.URGENCY_WORDS), urgency),
+        "has_negation_of_urgency": _flag(L.URGENCY_NEGATION, "negation"),
         "scam_keyword_count":
-            f"if({any_of(_LOW, L.SCAM_WORDS)}, {scam_words}, 0) + {scam_phrases}",
-        "has_instruction_injection": _flag(L.INJECTION, [
-            "ignore", "disregard", "forget", "override", "instruction"]),
+            f"{_count_if(SEEN.any_of(L.SCAM_WORDS), scam_words)} + {scam_phrases}",
+        "has_instruction_injection": _flag(L.INJECTION, "injection"),
         "_caps_words": count_matches(_T, L.CAPS_WORD),
         "has_excessive_punctuation": matches(_T, L.LOUD_PUNCTUATION),
-        "has_suspicious_link":
-            f"{any_of(_LOW, links)} AND ({_flag(L.SHORT_LINK)} OR {_flag(L.RISKY_LINK)})",
-        "_time_part": any_of(_LOW, L.SPECIFIC_TIME_PARTS),
-        "_vague_part": any_of(_LOW, L.VAGUE_TIME_PARTS),
-        "same_day_indicator": _flag(L.SAME_DAY, ["tonight", "today", "this"]),
-        "flexible_timing": _flag(L.FLEXIBLE, ["when", "rush", "convenience"]),
-        "has_frustration": _flag(L.FRUSTRATION, [
-            "work", "broken", "issue", "problem", "error", "fail", "can't", "stuck"]),
-        "has_gratitude": _flag(L.GRATITUDE, ["thank", "appreciate", "grateful", "thx", "ty"]),
-        "has_greeting": _flag(L.GREETING),
-        "forward_indicator_count":
-            f"if({any_of(_LOW, ['fwd:', 'forward', 'share'])}, {forwards}, 0)",
+        "has_suspicious_link": f"({_flag(L.SHORT_LINK, 'url')} OR {_flag(L.RISKY_LINK, 'url')})",
+        "_time_part": SEEN.any_of(L.SPECIFIC_TIME_PARTS),
+        "_vague_part": SEEN.any_of(L.VAGUE_TIME_PARTS),
+        "same_day_indicator": _flag(L.SAME_DAY, "same_day"),
+        "flexible_timing": _flag(L.FLEXIBLE, "flexible"),
+        "has_frustration": _flag(L.FRUSTRATION, "frustration"),
+        "has_gratitude": _flag(L.GRATITUDE, "gratitude"),
+        "has_greeting": _flag(L.GREETING, "greeting"),
+        "forward_indicator_count": _count_if(
+            SEEN.any_of(NEEDS["forwarded"]), count_matches(_T, L.FORWARDED, nocase=True)),
     }
 
 
@@ -91,12 +110,13 @@ def with_text_features(df: DataFrame, text_col: str = "message_text",
                        features: list[str] | None = None) -> DataFrame:
     """Add text features; only those asked for are computed.
 
-    The plan is three projections over the input and stays in one stage.
+    The plan is four projections over the input and stays in one stage.
     Catalyst drops the expressions of features that are not selected.
     """
     wanted = L.TEXT_FEATURES if features is None else features
     raw = filled(f"`{text_col}`")
     staged = df.withColumns(_columns({
         _T: raw, _LOW: f"lower({raw})", _STRIPPED: stripped(raw)}))
+    staged = staged.withColumn(_SEEN, F.expr(SEEN.found(_LOW)))
     staged = staged.withColumns(_columns(_base())).withColumns(_columns(_derived()))
     return staged.select(*df.columns, *wanted)

@@ -11,19 +11,22 @@ from pyspark.sql import functions as F
 
 from beckon import lexicons as L
 from beckon.functions.match import (
-    any_of, case, distinct_words, either, filled, has_word, mapped, matches, quoted, stripped,
+    PhraseSet, any_of, case, distinct_words, either, filled, has_word, mapped, matches, quoted,
+    stripped,
 )
 
 GUARD_REASON = ("Blocked by security guardrail: prompt injection or "
                 "router-manipulation attempt detected.")
 GUARD_CONFIDENCE = 0.99
+GUARD = PhraseSet("_guard_seen", L.GUARD_PHRASES)
+SEEN = PhraseSet("_rule_seen", L.RULE_CALM, L.RULE_URGENT_PARTS, L.RULE_TIME_CONTEXT,
+                 L.RULE_TRANSACTIONAL, L.RULE_CHAIN, L.RULE_SELLER, L.RULE_LOGISTICS)
 
 
 def with_guard(df: DataFrame, text_col: str = "message_text") -> DataFrame:
     """Add ``is_safe``: false when the text tries to steer the router."""
-    return (df.withColumn("_guard_text", F.expr(f"lower({filled(text_col)})"))
-            .withColumn("is_safe", F.expr(f"NOT {any_of('_guard_text', L.GUARD_PHRASES)}"))
-            .drop("_guard_text"))
+    seen = GUARD.found(f"lower({filled(text_col)})")
+    return df.withColumn("is_safe", F.expr(f"size({seen}) = 0"))
 
 
 # --- business risk ---------------------------------------------------------
@@ -78,12 +81,6 @@ def is_spam(raw: str, caps_text: str) -> str:
             f"OR (length({caps_text}) > 20 AND {capitals} > 0.4D * {letters}))")
 
 
-def is_urgent(low: str, conversation: str, calm: str, timed: str) -> str:
-    """A time reference with urgency, and no calming phrase."""
-    return (f"(NOT {calm} AND {timed} AND ({any_of(low, L.RULE_URGENT_PARTS)} OR "
-            f"({conversation} = 'group' AND {any_of(low, L.RULE_TIME_CONTEXT)})))")
-
-
 # --- fixed values: rule -> action, type, confidence, reason ----------------
 RULE_OUTPUT = {
     "R0": ("mute", "scam", 0.92,
@@ -125,14 +122,16 @@ def with_rules(df: DataFrame, caps_on_raw_text: bool = True) -> DataFrame:
     """
     low, raw, group = "_rule_low", "_rule_raw", "conversation_type"
     forwarded = "coalesce(forwarded_count, 0)"
-    deal = f"({group} <=> 'business' AND {any_of(low, L.RULE_TRANSACTIONAL)})"
-    logistics = (f"_timed AND NOT {any_of(low, L.RULE_SELLER)} "
-                 f"AND {any_of(low, L.RULE_LOGISTICS)}")
+    deal = f"({group} <=> 'business' AND {SEEN.any_of(L.RULE_TRANSACTIONAL)})"
+    logistics = (f"_timed AND NOT {SEEN.any_of(L.RULE_SELLER)} "
+                 f"AND {SEEN.any_of(L.RULE_LOGISTICS)}")
+    urgent = (f"NOT _calm AND _timed AND ({SEEN.any_of(L.RULE_URGENT_PARTS)} OR "
+              f"({group} <=> 'group' AND {SEEN.any_of(L.RULE_TIME_CONTEXT)}))")
     rule = case([
         (f"{group} = 'business' AND high_risk_business", "'R0'"),
         (f"{forwarded} >= 5 AND NOT _urgent", "'R1a'"),
         (f"{forwarded} >= 2 AND NOT {deal} AND NOT _urgent", "'R1b'"),
-        (f"{forwarded} = 1 AND {any_of(low, L.RULE_CHAIN)}", "'R1c'"),
+        (f"{forwarded} = 1 AND {SEEN.any_of(L.RULE_CHAIN)}", "'R1c'"),
         (f"contains({low}, '?') AND {matches(low, L.USER_MENTION, needs=['@u_'])}", "'R2'"),
         ("_urgent", "'R3'"),
         (matches(low, either(L.RULE_INJECTION_PATTERNS)), "'R4'"),
@@ -151,10 +150,9 @@ def with_rules(df: DataFrame, caps_on_raw_text: bool = True) -> DataFrame:
     forward_rule = "rule_id IN ('R1a', 'R1b')"
     return df.withColumns({
         raw: F.expr(filled("message_text")), low: F.expr(f"lower({filled('message_text')})"),
-    }).withColumns({
-        "_calm": F.expr(any_of(low, L.RULE_CALM)), "_timed": F.expr(has_time_reference(low)),
-    }).withColumn("_urgent", F.expr(is_urgent(low, f"coalesce({group}, '')", "_calm", "_timed"))
-                  ).withColumn("rule_id", F.expr(rule)).withColumns({
+    }).withColumn(SEEN.column, F.expr(SEEN.found(low))).withColumns({
+        "_calm": F.expr(SEEN.any_of(L.RULE_CALM)), "_timed": F.expr(has_time_reference(low)),
+    }).withColumn("_urgent", F.expr(urgent)).withColumn("rule_id", F.expr(rule)).withColumns({
         "rule_action": F.expr(output(0)),
         "rule_type": F.expr(output(1)),
         "rule_confidence": F.expr(
@@ -162,7 +160,7 @@ def with_rules(df: DataFrame, caps_on_raw_text: bool = True) -> DataFrame:
         "rule_reason": F.expr(
             f"if({forward_rule}, concat('Message forwarded ', string({forwarded}), ' times - ', "
             f"{output(3)}), {output(3)})"),
-    }).drop(raw, low, "_calm", "_timed", "_urgent")
+    }).drop(raw, low, SEEN.column, "_calm", "_timed", "_urgent")
 
 
 def rule_matches(messages: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -7,9 +7,16 @@ from pyspark.sql import functions as F
 
 from beckon import lexicons as L
 from beckon.functions.match import (
-    any_of, case, either, filled, has_word, hits, matches, stripped,
+    PhraseSet, bounded, case, either, filled, matches, stripped,
 )
 
+SEEN = PhraseSet(
+    "_type_seen", L.TYPE_SCAM, L.TYPE_SCAM_ALWAYS, L.TYPE_INJECTION, L.TYPE_MENTION_CASUAL,
+    L.TYPE_CALM, L.TYPE_UNKNOWN_SENDER, L.TYPE_PAYMENT, L.TYPE_PAYMENT_ADVISORY,
+    L.TYPE_GREETING, L.TYPE_PROMOTION_SAFETY, L.TYPE_PROMOTION_WORDS, L.TYPE_PROMOTION_PERCENT,
+    L.TYPE_EVENT, L.TYPE_EVENT_NOT_BUSINESS, L.TYPE_URGENT_CASUAL, L.TYPE_URGENT,
+    L.TYPE_BUSINESS_UPDATE, L.TYPE_SPAM, ["?", "@u_"])
+
 
 def with_message_type(df: DataFrame, action_col: str, out_col: str = "message_type") -> DataFrame:
     """Add the inferred type.
@@ -28,30 +35,32 @@ def with_message_type(df: DataFrame, action_col: str, out_col: str = "message_ty
     category = image("image_category")
     # a percent sign is no word character: the entry needs one right after it
     percent = matches(low, r"\b" + either(L.TYPE_PROMOTION_PERCENT) + r"\b",
-                      needs=L.TYPE_PROMOTION_PERCENT)
+                      needs=SEEN.any_of(L.TYPE_PROMOTION_PERCENT))
+    promoted = matches(low, bounded(L.TYPE_PROMOTION_WORDS),
+                       needs=SEEN.any_of(L.TYPE_PROMOTION_WORDS))
     kind = case([
         ("_type_blank", case([(f"{action} = 'mute'", "'spam'"),
                               (f"{action} = 'notify'", "'urgent'")], "'unknown'")),
         (f"{category} = 'urgent' AND {action} = 'notify'", "'urgent'"),
         (f"{category} = 'promotional' AND {action} IN ('mute', 'digest')", "'promotion'"),
-        (f"{hits(low, L.TYPE_SCAM)} >= 2 OR {any_of(low, L.TYPE_SCAM_ALWAYS)}", "'scam'"),
-        (any_of(low, L.TYPE_INJECTION), "'scam'"),
-        (f"at_mention_with_question AND NOT {any_of(low, L.TYPE_MENTION_CASUAL)}", "'urgent'"),
-        (any_of(low, L.TYPE_CALM), "'personal'"),
-        (any_of(low, L.TYPE_UNKNOWN_SENDER), "'unknown'"),
-        (f"{any_of(low, L.TYPE_PAYMENT)} AND NOT {any_of(low, L.TYPE_PAYMENT_ADVISORY)} "
-         f"AND NOT {any_of(low, ['?', '@u_'])}", "'payment'"),
-        (any_of(low, L.TYPE_GREETING), "'greeting'"),
-        (f"NOT {any_of(low, L.TYPE_PROMOTION_SAFETY)} "
-         f"AND ({has_word(low, L.TYPE_PROMOTION_WORDS)} OR {percent})", "'promotion'"),
-        (f"{any_of(low, L.TYPE_EVENT)} OR ({conversation} != 'business' "
-         f"AND {any_of(low, L.TYPE_EVENT_NOT_BUSINESS)})", "'event'"),
-        (f"{action} = 'notify' AND NOT {any_of(low, L.TYPE_URGENT_CASUAL)} "
-         f"AND (has_specific_time OR {any_of(low, L.TYPE_URGENT)})", "'urgent'"),
+        (f"{SEEN.hits(L.TYPE_SCAM)} >= 2 OR {SEEN.any_of(L.TYPE_SCAM_ALWAYS)}", "'scam'"),
+        (SEEN.any_of(L.TYPE_INJECTION), "'scam'"),
+        (f"at_mention_with_question AND NOT {SEEN.any_of(L.TYPE_MENTION_CASUAL)}", "'urgent'"),
+        (SEEN.any_of(L.TYPE_CALM), "'personal'"),
+        (SEEN.any_of(L.TYPE_UNKNOWN_SENDER), "'unknown'"),
+        (f"{SEEN.any_of(L.TYPE_PAYMENT)} AND NOT {SEEN.any_of(L.TYPE_PAYMENT_ADVISORY)} "
+         f"AND NOT {SEEN.any_of(['?', '@u_'])}", "'payment'"),
+        (SEEN.any_of(L.TYPE_GREETING), "'greeting'"),
+        (f"NOT {SEEN.any_of(L.TYPE_PROMOTION_SAFETY)} "
+         f"AND ({promoted} OR {percent})", "'promotion'"),
+        (f"{SEEN.any_of(L.TYPE_EVENT)} OR ({conversation} != 'business' "
+         f"AND {SEEN.any_of(L.TYPE_EVENT_NOT_BUSINESS)})", "'event'"),
+        (f"{action} = 'notify' AND NOT {SEEN.any_of(L.TYPE_URGENT_CASUAL)} "
+         f"AND (has_specific_time OR {SEEN.any_of(L.TYPE_URGENT)})", "'urgent'"),
         ("coalesce(forwarded_count, 0) > 0", "'forward'"),
-        (f"{conversation} = 'business' AND {any_of(low, L.TYPE_BUSINESS_UPDATE)}",
+        (f"{conversation} = 'business' AND {SEEN.any_of(L.TYPE_BUSINESS_UPDATE)}",
          "'business_update'"),
-        (f"{action} = 'mute' AND {any_of(low, L.TYPE_SPAM)}", "'spam'"),
+        (f"{action} = 'mute' AND {SEEN.any_of(L.TYPE_SPAM)}", "'spam'"),
         (f"{conversation} = 'personal'", "'personal'"),
         (f"{action} = 'digest' AND {conversation} = 'group'", "'personal'"),
         (f"{action} = 'notify'", "'personal'"),
@@ -59,7 +68,8 @@ def with_message_type(df: DataFrame, action_col: str, out_col: str = "message_ty
     return df.withColumn("_type_text", F.expr(text)).withColumns({
         low: F.expr("lower(_type_text)"),
         "_type_blank": F.expr(f"{stripped('_type_text')} = ''"),
-    }).withColumn(out_col, F.expr(kind)).drop("_type_text", low, "_type_blank")
+    }).withColumn(SEEN.column, F.expr(SEEN.found(low))).withColumn(
+        out_col, F.expr(kind)).drop("_type_text", low, "_type_blank", SEEN.column)
 
 
 def with_rule_type_kept(df: DataFrame, type_col: str = "message_type") -> DataFrame:

@@ -234,7 +234,7 @@ def evidence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = traffic.tables(spark, sf_dir)
     top = ev.top_evidence(t.incoming, t.history, ev.TfIdf.fit(t.history))
     return top.select("message_id", F.col("rank").cast("long").alias("rank"), "evidence_id",
-                      F.round("score", 4).alias("score"))
+                      "score")
 
 
 @query
@@ -556,10 +556,18 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.stratified_split(traffic.truth(t.messages), "true_action", "message_id")
 
 
+_models: dict[tuple[str, str], tuple] = {}
+
+
 def _fitted(spark: SparkSession, sf_dir: str, rounds: int = 10):
-    rows = ml.stratified_split(_labelled(spark, sf_dir), "action", "doc_id").persist()
-    fitted = ml.train(rows.where("NOT is_test"), L.TEXT_FEATURES, rounds=rounds, depth=4)
-    return fitted, rows
+    """A model and its labelled rows, trained once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _models:
+        rows = staged(ml.stratified_split(_labelled(spark, sf_dir), "action", "doc_id"),
+                      "labelled")
+        _models[key] = (ml.train(rows.where("NOT is_test"), L.TEXT_FEATURES, rounds=rounds,
+                                 depth=4), rows)
+    return _models[key]
 
 
 @query

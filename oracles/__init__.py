@@ -80,8 +80,8 @@ HISTORY_SQL = {
                    "sender_dismiss_rate": "ss.dismissed / ss.message_count",
                    "sender_report_count": "ss.reported",
                    "sender_trust_score":
-                       "2 * ss.replied / ss.message_count + ss.opened / ss.message_count "
-                       "- 3 * ss.dismissed / ss.message_count - 10.0 * ss.reported"}),
+                       "ss.replied / ss.message_count * 2.0 + ss.opened / ss.message_count "
+                       "- ss.dismissed / ss.message_count * 3.0 - ss.reported * 10.0"}),
     "topic": ("LEFT JOIN topic t ON t.message_id = i.message_id", {
         "topic_similarity": "t.topic_similarity"}),
     "user": ("LEFT JOIN user_stats us ON us.user_id = i.user_id", {
@@ -203,7 +203,7 @@ ORACLES["evidence_scope"] = sql(
     "n_s WHEN 'group' THEN n_g WHEN 'business' THEN n_b ELSE n_u END AS scope_rows FROM scopes",
     "incoming", "history", extra=SCOPE)
 ORACLES["evidence_topk"] = sql(
-    "SELECT message_id, rank, evidence_id, round(score, 4) AS score FROM best",
+    "SELECT message_id, rank, evidence_id, score FROM best",
     "incoming", "history", extra=EVIDENCE)
 ORACLES["evidence_list"] = sql("SELECT * FROM lists", "incoming", "history", extra=EVIDENCE)
 ORACLES["topic_similarity"] = sql(

@@ -134,8 +134,8 @@ def decided(source: str, scored: bool) -> dict[str, str]:
             coalesce(rule_action, {pick}'digest') AS action,
             coalesce(rule_confidence, least(greatest({probability}, 0.5), 0.95))::DOUBLE
               AS confidence,
-            coalesce(2 * ss.replied / ss.message_count + ss.opened / ss.message_count
-              - 3 * ss.dismissed / ss.message_count - 10.0 * ss.reported, 0.0) AS trust,
+            coalesce(ss.replied / ss.message_count * 2.0 + ss.opened / ss.message_count
+              - ss.dismissed / ss.message_count * 3.0 - ss.reported * 10.0, 0.0) AS trust,
             coalesce(c.category_dismiss_rate, 0.0) AS dismissed_rate,
             coalesce(g.is_group_admin, 0.0) AS admin,
             NULL::VARCHAR AS image_category, t AS tt, low AS tl,
