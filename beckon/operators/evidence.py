@@ -25,7 +25,7 @@ from beckon.functions.match import UNICODE, case, filled, quoted, quoted_list
 from beckon.operators.blocks import (
     LEFT_ROWS, RIGHT_ROWS, block_pairs, list_column, with_group_sizes,
 )
-from beckon.session import staged
+from beckon.session import staged, where_computed
 
 VOCABULARY_SIZE = 500
 TOP_K = 3
@@ -219,15 +219,14 @@ def top_evidence(messages: DataFrame, history: DataFrame, model: TfIdf, k: int =
     used = staged(scoped.groupBy(*scope).agg(F.count(F.lit(1)).alias(LEFT_ROWS)).join(
         sizes.withColumnRenamed("scope_rows", RIGHT_ROWS), scope), "scopes-in-use")
     # a row without a known term scores its recency boost at most, below 0.2
-    asked = (model.vectors(scoped.join(usable.select("message_id", "created_at", "message_text"),
-                                       "message_id"))
-             .where(F.size("term_ids") > 0)
-             .select("message_id", *scope, "term_ids", "weights",
+    asked = (where_computed(model.vectors(scoped.join(
+        usable.select("message_id", "created_at", "message_text"), "message_id")),
+        "size(term_ids) > 0").select("message_id", *scope, "term_ids", "weights",
                      F.unix_micros(F.col("created_at").cast("timestamp")).alias("asked_at")))
     asked = with_group_sizes(asked, used, scope).withColumn("scope_key", _scope_key()).drop(*scope)
-    candidates = (model.vectors(history.select(
-        "message_id", "user_id", "created_at", "message_text", *SCOPES.values()))
-        .where(F.size("term_ids") > 0)
+    candidates = (where_computed(model.vectors(history.select(
+        "message_id", "user_id", "created_at", "message_text", *SCOPES.values())),
+        "size(term_ids) > 0")
         .select("message_id", "user_id", "created_at", "term_ids", "weights",
                 _scopes_of_row().alias("s"))
         .select("message_id", "user_id", "created_at", "term_ids", "weights", "s.*")

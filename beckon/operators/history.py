@@ -12,7 +12,7 @@ from beckon import lexicons as L
 from beckon.functions.match import UNICODE, filled, quoted
 from beckon.operators.blocks import LEFT_ROWS, RIGHT_ROWS, block_pairs, with_group_sizes
 from beckon.operators.joins import hot_keys, lookup
-from beckon.session import staged
+from beckon.session import staged, where_computed
 
 BUSINESS_SENDER = "business"
 COMMON_WORDS = 3
@@ -178,8 +178,8 @@ def dismissed_texts(reactions: DataFrame, history: DataFrame) -> DataFrame:
         "message_id", "user_id")
     words = history.select("message_id", F.array_sort(word_set("message_text"))
                            .alias("words"))
-    return (dismissed.join(words, "message_id")
-            .where(F.size("words") >= COMMON_WORDS)
+    return (where_computed(dismissed.join(words, "message_id"),
+                           f"size(words) >= {COMMON_WORDS}")
             .withColumn("text_key", F.sha2(F.concat_ws(" ", "words"), 256))
             .groupBy("user_id", "text_key")
             .agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("copies")))
@@ -195,8 +195,8 @@ def similar_dismissals(messages: DataFrame, reactions: DataFrame, history: DataF
     sizes = staged(messages.groupBy("user_id").agg(F.count(F.lit(1)).alias(LEFT_ROWS)).join(
         reactions.where(F.col("notification_dismissed") == 1).groupBy("user_id").agg(
             F.count(F.lit(1)).alias(RIGHT_ROWS)), "user_id"), "dismissal-sizes")
-    asked = messages.select("message_id", "user_id", word_set("message_text")
-                            .alias("words")).where(F.size("words") >= COMMON_WORDS)
+    asked = where_computed(messages.select("message_id", "user_id", word_set("message_text")
+                                           .alias("words")), f"size(words) >= {COMMON_WORDS}")
     counted = block_pairs(
         with_group_sizes(asked, sizes, ["user_id"]),
         with_group_sizes(dismissed_texts(reactions, history), sizes, ["user_id"]),

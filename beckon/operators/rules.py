@@ -14,6 +14,7 @@ from beckon.functions.match import (
     PhraseSet, any_of, case, distinct_words, either, filled, has_word, mapped, matches, quoted,
     stripped,
 )
+from beckon.session import where_computed
 
 GUARD_REASON = ("Blocked by security guardrail: prompt injection or "
                 "router-manipulation attempt detected.")
@@ -166,7 +167,7 @@ def with_rules(df: DataFrame, caps_on_raw_text: bool = True) -> DataFrame:
 def rule_matches(messages: DataFrame, accounts: DataFrame) -> DataFrame:
     """Only the messages that some rule decides, in the output layout."""
     ruled = with_rules(with_business_risk(messages, accounts))
-    return ruled.where("rule_id IS NOT NULL").select(
+    return where_computed(ruled, "rule_id IS NOT NULL").select(
         "message_id", F.col("rule_action").alias("action"),
         F.col("rule_type").alias("message_type"), F.col("rule_reason").alias("reason"),
         F.col("rule_confidence").alias("confidence"),

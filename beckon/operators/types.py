@@ -19,26 +19,42 @@ SEEN = PhraseSet(
 
 
 def with_message_type(df: DataFrame, action_col: str, out_col: str = "message_type") -> DataFrame:
-    """Add the inferred type.
+    """Add the inferred type for the action in a column."""
+    return with_message_types(df, {out_col: action_col})
+
+
+def with_message_types(df: DataFrame, actions: dict[str, str]) -> DataFrame:
+    """Add one type column per entry of ``actions`` (column name: action as SQL text).
 
     Needs the text features ``at_mention_with_question`` and
-    ``has_specific_time``.  Image columns are optional.
+    ``has_specific_time``.  Image columns are optional.  The text is scanned
+    once for all entries.
     """
     def image(name: str) -> str:
         return filled(name) if name in df.columns else "''"
 
-    action, low = action_col, "_type_low"
     own, ocr = filled("message_text"), image("image_extracted_text")
     text = (f"if({stripped(own)} = '' AND lower({stripped(ocr)}) NOT IN ('', 'none'), "
             f"{ocr}, {own})")
+    staged = df.withColumn("_type_text", F.expr(text)).withColumns({
+        "_type_low": F.expr("lower(_type_text)"),
+        "_type_blank": F.expr(f"{stripped('_type_text')} = ''"),
+    }).withColumn(SEEN.column, F.expr(SEEN.found("_type_low")))
+    return staged.withColumns({
+        name: F.expr(_kind(action, image("image_category"))) for name, action in actions.items()
+    }).drop("_type_text", "_type_low", "_type_blank", SEEN.column)
+
+
+def _kind(action: str, category: str) -> str:
+    """The ordered steps of the inference as a CASE."""
+    low = "_type_low"
     conversation = f"lower({filled('conversation_type')})"
-    category = image("image_category")
     # a percent sign is no word character: the entry needs one right after it
     percent = matches(low, r"\b" + either(L.TYPE_PROMOTION_PERCENT) + r"\b",
                       needs=SEEN.any_of(L.TYPE_PROMOTION_PERCENT))
     promoted = matches(low, bounded(L.TYPE_PROMOTION_WORDS),
                        needs=SEEN.any_of(L.TYPE_PROMOTION_WORDS))
-    kind = case([
+    return case([
         ("_type_blank", case([(f"{action} = 'mute'", "'spam'"),
                               (f"{action} = 'notify'", "'urgent'")], "'unknown'")),
         (f"{category} = 'urgent' AND {action} = 'notify'", "'urgent'"),
@@ -65,11 +81,6 @@ def with_message_type(df: DataFrame, action_col: str, out_col: str = "message_ty
         (f"{action} = 'digest' AND {conversation} = 'group'", "'personal'"),
         (f"{action} = 'notify'", "'personal'"),
     ], "'business_update'")
-    return df.withColumn("_type_text", F.expr(text)).withColumns({
-        low: F.expr("lower(_type_text)"),
-        "_type_blank": F.expr(f"{stripped('_type_text')} = ''"),
-    }).withColumn(SEEN.column, F.expr(SEEN.found(low))).withColumn(
-        out_col, F.expr(kind)).drop("_type_text", low, "_type_blank", SEEN.column)
 
 
 def with_rule_type_kept(df: DataFrame, type_col: str = "message_type") -> DataFrame:

@@ -17,7 +17,7 @@ from beckon.operators import model as ml
 from beckon.operators import reasons, reports, rules, types, verify
 from beckon.operators.consistency import enforce_consistency
 from beckon.plans import routing, traffic
-from beckon.session import scratch_path, staged
+from beckon.session import scratch_path, staged, where_computed
 from beckon.sources import artefacts
 from beckon.sources.tables import read_table, write_predictions
 from beckon.streaming import streams
@@ -347,10 +347,9 @@ def message_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Type of each enriched message under each possible action."""
     enriched = with_text_features(_enriched(traffic.tables(spark, sf_dir)), features=[
         "at_mention_with_question", "has_specific_time"])
-    for action in L.ACTIONS:
-        enriched = types.with_message_type(
-            enriched.withColumn("_action", F.lit(action)), "_action", f"type_if_{action}")
-    return enriched.select("message_id", *[f"type_if_{a}" for a in L.ACTIONS])
+    return types.with_message_types(enriched, {
+        f"type_if_{a}": f"'{a}'" for a in L.ACTIONS}).select(
+            "message_id", *[f"type_if_{a}" for a in L.ACTIONS])
 
 
 def _decided(t: traffic.Traffic) -> DataFrame:
@@ -405,7 +404,7 @@ def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages whose confidence calls for a review."""
-    return _checked(traffic.tables(spark, sf_dir)).where("needs_review").select(*OUT)
+    return where_computed(_checked(traffic.tables(spark, sf_dir)), "needs_review").select(*OUT)
 
 
 @query

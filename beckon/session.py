@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(name: str = "beckon", cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -53,3 +54,14 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_path(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def where_computed(df: DataFrame, condition: str) -> DataFrame:
+    """Filter on columns that are costly to compute, without computing them twice.
+
+    The optimizer moves a filter below the projections by repeating their
+    expressions inside it.  A row number is not deterministic, so a filter that
+    mentions one stays above, where the columns are ready.
+    """
+    return df.withColumn("_at", F.monotonically_increasing_id()).where(
+        f"({condition}) AND _at >= 0").drop("_at")
