@@ -70,14 +70,15 @@ def vocabulary(history: DataFrame, size: int = VOCABULARY_SIZE,
 def _counted_terms(listed: DataFrame) -> DataFrame:
     """``term, cf, df``; the NULL term counts the texts themselves.
 
-    Sorting the terms of a text puts copies side by side: the first of them
-    counts for ``df``, each of them for ``cf``.
+    Each text gives its terms, its different terms and one NULL term.
     """
-    rows = listed.withColumn("_sorted", F.expr("array_sort(terms)")).select(F.expr(
-        "explode(concat(transform(_sorted, (t, i) -> struct(t AS term, 1 AS cf, "
-        "int(i = 0 OR t != _sorted[greatest(i - 1, 0)]) AS df)), "
-        "array(struct(cast(NULL AS string) AS term, 0 AS cf, 1 AS df))))").alias("t"))
-    return rows.groupBy("t.term").agg(F.sum("t.cf").alias("cf"), F.sum("t.df").alias("df"))
+    parts = listed.select(F.expr(
+        "explode(array(struct(0 AS part, terms AS terms), "
+        "struct(1 AS part, array_distinct(terms) AS terms), "
+        "struct(2 AS part, array(cast(NULL AS string)) AS terms)))").alias("p"))
+    rows = parts.select("p.part", F.explode("p.terms").alias("term"))
+    return rows.groupBy("term").agg(F.count_if(F.col("part") == 0).alias("cf"),
+                                    F.count_if(F.col("part") > 0).alias("df"))
 
 
 class TfIdf:

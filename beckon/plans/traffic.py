@@ -229,7 +229,8 @@ def business_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     relation = F.lit(None).cast("string")
     for priority, name in RELATIONS.items():
         relation = F.when(F.col("priority") == priority, F.lit(name)).otherwise(relation)
-    return (read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
+    return (read_spread(spark, sf_dir, "lineitem", "l_orderkey").select(
+                "l_orderkey", "l_suppkey", "l_returnflag")
             .join(orders, "l_orderkey")
             .groupBy("o_custkey", "l_suppkey").agg(
                 F.min("o_orderpriority").alias("priority"),
