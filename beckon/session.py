@@ -16,8 +16,6 @@ def local_session(name: str = "beckon", cores: str = "8", partitions: int = 8) -
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        # small local files: let their bytes, not their number, set the partitions
-        .config("spark.sql.files.openCostInBytes", str(256 * 1024))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
