@@ -5,8 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beckon.llm import language, mixing, quality
-from beckon.llm.common import fold, read
+from beckon.llm import language, mixing, packing, quality, toxicity
+from beckon.llm.common import bounded_sample, fold, read
+
+
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled rows of four folds of five."""
+    docs = read(spark, sf_dir).select("doc_id", "text")
+    # The labels of the sample are bounded, so their broadcast is.
+    labels = (read(spark, sf_dir, "labels").where(
+        (fold(F.col("doc_id"), 5) != 0) & F.col("toxic").isNotNull()).select("doc_id", "toxic"))
+    labels = bounded_sample(labels, toxicity.FIT_ROWS, F.struct("doc_id", "toxic"))
+    model = toxicity.fit(docs.join(F.broadcast(labels), "doc_id"))
+    found = toxicity.score_texts(docs, model)
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence of at most 4096 tokens."""
+    docs = read(spark, sf_dir).select("doc_id", "text")
+    return packing.pack(docs, vocabulary_path(), 4096)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +54,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.BASE, "n_common_words", "kept")
 
 
-QUERIES = {q.__name__: q for q in (op8_language_id, op9_source_mix, op10_quality_rules)}
+QUERIES = {q.__name__: q for q in (op3_toxicity, op4_best_fit_packing, op8_language_id, op9_source_mix, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
