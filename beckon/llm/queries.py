@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beckon.llm import language, mixing, packing, quality, toxicity
-from beckon.llm.common import bounded_sample, fold, read
+from beckon.llm import language, mixing, packing, quality, sharding, topk, toxicity
+from beckon.llm.common import bounded_sample, fold, read, text_crc32
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -16,6 +16,20 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard and slot; the law is that of equal row counts."""
+    placed = sharding.shard(read(spark, sf_dir).select("doc_id", "text"), 16)
+    return placed.select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        text_crc32(F.col("text")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best candidates of every query vector."""
+    return topk.top_k(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labelled rows of four folds of five."""
     docs = read(spark, sf_dir).select("doc_id", "text")
@@ -54,5 +68,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.BASE, "n_common_words", "kept")
 
 
-QUERIES = {q.__name__: q for q in (op3_toxicity, op4_best_fit_packing, op8_language_id, op9_source_mix, op10_quality_rules)}
+QUERIES = {q.__name__: q for q in (
+    op1_uniform_shards, op2_exact_top_k, op3_toxicity, op4_best_fit_packing, op8_language_id,
+    op9_source_mix, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

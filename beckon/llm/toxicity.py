@@ -1,7 +1,8 @@
 """Toxic passages as maximal scoring segments.
 
 Token scores are log-odds of toxic against other labelled texts with an informative
-Dirichlet prior.  A linear scan finds every maximal scoring segment of a text; an
+Dirichlet prior, counted by the texts that hold a word or a word's beginning, so that
+one text full of a word proves little and inflected forms count together.  A linear scan finds every maximal scoring segment of a text; an
 extreme-value law, fitted on the texts that are not toxic, says how often chance
 gives such segments in a text of that length, and the segments' evidence is summed.
 """
@@ -27,8 +28,10 @@ FIT_ROWS = 20_000
 TOKENS, LEAST_Z = 20_000, 4.0
 #: What a token without evidence costs a segment.
 DRIFT = 0.25
-#: Weight of the prior in tokens.
-PRIOR = 10_000.0
+#: Lengths of the word beginnings that count as tokens too, longest first.
+STEMS = (6, 5, 4)
+#: The prior: so much in proportion to a token's share of all, and so much for each.
+PRIOR, FLOOR = 500.0, 0.5
 RESULTS = ("score", "predicted", "passages")
 
 
@@ -36,7 +39,7 @@ RESULTS = ("score", "predicted", "passages")
 class Model:
     """Token scores and the calibration of segment scores."""
 
-    scores: dict[str, float] = field(default_factory=dict)
+    scores: dict[str, float] = field(default_factory=dict)  # a beginning ends in "*"
     rate: float = 1.0      # lambda of the extreme-value law
     scale: float = 0.1     # K of the extreme-value law
     centre: float = 1.0    # evidence at which the score is 1/2
@@ -82,10 +85,10 @@ def evidence(text: str | None, model: Model) -> tuple[float, list[tuple[int, int
     sums of the r best); the best r counts.  0 without a segment.
     """
     words = TOKEN.findall(text.lower()) if text else []
-    if not words or model.scores.keys().isdisjoint(words):
+    known = {w: s for w in set(words) if (s := _own_score(w, model.scores)) is not None}
+    if not any(s > 0 for s in known.values()):
         return 0.0, [], len(words)
-    get = model.scores.get
-    hits = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
+    hits = [(i, s) for i, s in enumerate(map(known.get, words)) if s is not None]
     found = segments(hits)
     chance = math.log(max(1.0, model.scale * len(words)))
     best = total = 0.0
@@ -95,18 +98,27 @@ def evidence(text: str | None, model: Model) -> tuple[float, list[tuple[int, int
     return best, found, len(words)
 
 
-def token_scores(counts: list[tuple[str, int, int]], toxic: int, other: int,
-                 tokens: int, least_z: float = LEAST_Z) -> list[tuple[str, float, float]]:
-    """``(token, score, z)`` for counts ``(token, in toxic, in other)`` and their totals."""
-    result = []
-    for token, a, b in counts:
-        prior = PRIOR * (a + b) / (toxic + other)
-        one, two = a + prior, b + prior
-        odds = math.log(one / (toxic + PRIOR - one)) - math.log(two / (other + PRIOR - two))
-        z = odds / math.sqrt(1 / one + 1 / two)
-        if abs(z) >= least_z:
-            result.append((token, odds - DRIFT, z))
-    return sorted(result, key=lambda r: (-abs(r[2]), r[0]))[:tokens]
+def tokens_of(text: str) -> set[str]:
+    """A text's distinct words and, ending in ``*``, their beginnings."""
+    words = set(TOKEN.findall(text.lower()))
+    return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
+
+
+def _own_score(word: str, scores: dict[str, float]) -> float | None:
+    """Score of a word, else of its longest known beginning."""
+    score = scores.get(word)
+    for k in STEMS:
+        if score is None and len(word) > k:
+            score = scores.get(word[:k] + "*")
+    return score
+
+
+def log_odds(toxic: int, other: int, n_toxic: int, n_other: int) -> tuple[float, float]:
+    """Log-odds of a token and its z, for its counts and those of all tokens."""
+    prior = FLOOR + PRIOR * (toxic + other) / (n_toxic + n_other)
+    one, two = toxic + prior, other + prior
+    odds = math.log(one / (n_toxic + PRIOR - one)) - math.log(two / (n_other + PRIOR - two))
+    return odds, odds / math.sqrt(1 / one + 1 / two)
 
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS, tokens: int = TOKENS) -> Model:
@@ -124,7 +136,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, tokens: int = TOKENS) -> Mode
         for batch in batches:
             for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
                 mine = both[1 if toxic == 1 else 0]
-                for w in TOKEN.findall(text.lower()):
+                for w in tokens_of(text):
                     mine[w] = mine.get(w, 0) + 1
         for toxic, mine in enumerate(both):
             yield pa.RecordBatch.from_arrays(
@@ -137,15 +149,15 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, tokens: int = TOKENS) -> Mode
     a, b = counts.agg(F.sum("a"), F.sum("b")).first()
     if not a or not b:
         return Model()
-    prior = F.lit(PRIOR) * (F.col("a") + F.col("b")) / F.lit(float(a + b))
+    prior = F.lit(FLOOR) + F.lit(PRIOR) * (F.col("a") + F.col("b")) / F.lit(float(a + b))
     one, two = F.col("a") + prior, F.col("b") + prior
     z = (F.log(one / (F.lit(a + PRIOR) - one)) - F.log(two / (F.lit(b + PRIOR) - two))) / F.sqrt(1 / one + 1 / two)
-    top = counts.withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "token").limit(tokens)
-    best = token_scores([(r.token, r.a, r.b) for r in top.collect()], a, b, tokens)
-    model = Model({t: s for t, s, _ in best})
+    top = counts.withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(
+        F.desc(F.abs("z")), "token").limit(tokens).collect()
+    model = Model({r.token: log_odds(r.a, r.b, a, b)[0] - DRIFT for r in top})
     if not any(s > 0 for s in model.scores.values()):
         return model
-    chances = {r.token: (r.b + PRIOR * (r.a + r.b) / (a + b)) / (b + PRIOR) for r in top.collect()}
+    chances = {r.token: (r.b + FLOOR) / (b + PRIOR) for r in top}
     model.rate = _rate([(chances[t], s) for t, s in model.scores.items()])
     _calibrate(model, sample)
     return model
@@ -166,7 +178,8 @@ def _rate(scored: list[tuple[float, float]]) -> float:
 
 def _calibrate(model: Model, sample: DataFrame) -> None:
     """K from segments in texts that are not toxic; then the evidence that best parts the classes."""
-    level = sorted(s for s in model.scores.values() if s > 0)[0]
+    positive = sorted(s for s in model.scores.values() if s > 0)
+    level = positive[len(positive) // 2]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
