@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beckon.llm import language, mixing, packing, quality, sharding, topk, toxicity
+from beckon.llm import language, mixing, ngram_join, packing, quality, sharding, topk, toxicity
 from beckon.llm.common import bounded_sample, fold, read, text_crc32
 
 
@@ -48,6 +48,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary_path(), 4096)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and its component."""
+    found = ngram_join.join_components(read(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows of two folds of three."""
     docs = read(spark, sf_dir)
@@ -69,6 +75,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_uniform_shards, op2_exact_top_k, op3_toxicity, op4_best_fit_packing, op8_language_id,
-    op9_source_mix, op10_quality_rules)}
+    op1_uniform_shards, op2_exact_top_k, op3_toxicity, op4_best_fit_packing, op6_ngram_jaccard,
+    op8_language_id, op9_source_mix, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
