@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beckon.llm import sharing
 from beckon.llm.common import parts_for, stored, without
 from beckon.llm.components import connected_components
 
@@ -136,12 +137,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _partnered(docs: DataFrame, order: Order, buckets: int) -> DataFrame:
-    """``key``: sets that share ``least_shared`` of their prefix with other sets.
-
-    Entries (shingle, set) go to buckets of shingles, packed.  A shingle that several
-    sets of a batch share counts for them at once and goes on as one entry with set 0,
-    so a bucket gets one entry a shingle and batch at most.
-    """
+    """``key, shared``: how much of a set's prefix other sets have in theirs."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,55 +151,12 @@ def _partnered(docs: DataFrame, order: Order, buckets: int) -> DataFrame:
                     continue
                 keys = np.array(list(sets), np.int64)
                 prefixes = [order.prefix(t) for t in sets.values()]
-                sizes = [len(p) for p in prefixes]
-                tokens = np.concatenate(prefixes)
-                own = np.repeat(np.arange(len(keys)), sizes)
-                found, first, back, many = np.unique(
-                    tokens, return_index=True, return_inverse=True, return_counts=True)
-                local = np.bincount(own[many[back] > 1], minlength=len(keys))
-                who = np.where(many > 1, 0, keys[own[first]])
-                place = (found.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                turn = np.argsort(place, kind="stable")
-                cuts = np.searchsorted(place[turn], np.arange(buckets + 1))
-                rows, blobs = [], []
-                for b in range(buckets):
-                    part = turn[cuts[b]:cuts[b + 1]]
-                    if len(part):
-                        rows.append(b)
-                        blobs.append(np.stack((found[part], who[part])).tobytes())
-                got = local > 0
-                rows.append(int(keys[0] % buckets))
-                blobs.append(np.stack((keys[got], local[got])).tobytes())
-                kinds = [0] * (len(rows) - 1) + [1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())],
-                    ["bucket", "kind", "entries"])
-
-    def meet(bucket: pa.Table) -> pa.Table:
-        parts = {k: [np.frombuffer(x.as_py(), np.int64).reshape(2, -1)
-                     for x, y in zip(bucket["entries"], bucket["kind"].to_pylist()) if y == k] for k in (0, 1)}
-        keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if parts[0]:
-            tokens, who = np.concatenate(parts[0], axis=1)
-            turn = np.lexsort((who, tokens))
-            tokens, who = tokens[turn], who[turn]
-            new = np.ones(len(tokens), bool)
-            new[1:] = (tokens[1:] != tokens[:-1]) | (who[1:] != who[:-1])
-            tokens, who = tokens[new], who[new]
-            starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-            many = np.repeat(np.diff(np.append(starts, len(tokens))), np.diff(np.append(starts, len(tokens))))
-            mine, n = np.unique(who[(many > 1) & (who != 0)], return_counts=True)
-            keys.append(mine)
-            counts.append(n)
-        for a, b in parts[1]:
-            keys.append(a)
-            counts.append(b)
-        return pa.table([pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts).astype(np.int64))],
-                        ["key", "shared"])
-
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, kind int, entries binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "key long, shared long").groupBy(
-        "key").agg(F.sum("shared").alias("shared"))
+                own = np.repeat(np.arange(len(keys)), [len(p) for p in prefixes])
+                yield sharing.pack(keys, np.concatenate(prefixes), own, buckets)
+
+    return (docs.select("text").mapInArrow(deal, sharing.PACKED).groupBy("bucket")
+            .applyInArrow(sharing.meet, "key long, shared long")
+            .groupBy("key").agg(F.sum("shared").alias("shared")))
 
 
 def _linked_groups(sets: DataFrame, order: Order) -> tuple[DataFrame, DataFrame]:

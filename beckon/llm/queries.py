@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beckon.llm import language, mixing, ngram_join, packing, quality, sharding, topk, toxicity
+from beckon.llm import language, mixing, ngram_join, packing, quality, sharding, substring, topk, toxicity
 from beckon.llm.common import bounded_sample, fold, read, text_crc32
 
 
@@ -54,6 +54,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is removed of it, and a digest of what is left."""
+    cleaned = substring.remove_repeats(read(spark, sf_dir).select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows of two folds of three."""
     docs = read(spark, sf_dir)
@@ -76,5 +82,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     op1_uniform_shards, op2_exact_top_k, op3_toxicity, op4_best_fit_packing, op6_ngram_jaccard,
-    op8_language_id, op9_source_mix, op10_quality_rules)}
+    op7_repeated_bytes, op8_language_id, op9_source_mix, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
