@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beckon.llm import language, mixing, ngram_join, packing, quality, sharding, substring, topk, toxicity
+from beckon.llm import language, line_dedup, mixing, ngram_join, packing, quality, sharding, substring, topk, toxicity
 from beckon.llm.common import bounded_sample, fold, read, text_crc32
 
 
@@ -48,6 +48,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary_path(), 4096)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of lines and the places of those that go."""
+    found = line_dedup.dedup_lines(read(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"),
+                        F.array_join(F.transform("removed_lines", lambda x: x.cast("string")), ",").alias("removed_lines"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its shingle set and its component."""
     found = ngram_join.join_components(read(spark, sf_dir).select("doc_id", "text"))
@@ -81,6 +88,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_uniform_shards, op2_exact_top_k, op3_toxicity, op4_best_fit_packing, op6_ngram_jaccard,
+    op1_uniform_shards, op2_exact_top_k, op3_toxicity, op4_best_fit_packing,
+    op5_line_dedup, op6_ngram_jaccard,
     op7_repeated_bytes, op8_language_id, op9_source_mix, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

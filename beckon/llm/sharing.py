@@ -49,7 +49,7 @@ def meet(bucket: pa.Table) -> pa.Table:
         sizes = np.diff(np.append(starts, len(tokens)))
         # Copies of a set in several batches do not share with each other.
         low, high = np.minimum.reduceat(who, starts), np.maximum.reduceat(who, starts)
-        several = np.repeat((low != high) | (low == 0), sizes) & (who != 0)
+        several = np.repeat(low != high, sizes) & (who != 0)
         # A shared entry of one batch alone has no single entries beside it.
         mine, n = np.unique(who[several], return_counts=True)
         keys.append(mine)
