@@ -90,11 +90,11 @@ def quality_rules(docs: DataFrame, share: float = 0.05, least: int = 20,
     text has no words and fails.  Repeated rows are judged alike.  Input columns
     named like a result are replaced.  Writes the small table of common lines at once.
     """
-    lines = stored(common_lines(docs, share, least), "common-lines")
+    lines = stored(common_lines(docs, share, least), "common-lines").toDF("__host", "__keys")
     df = base_counts(without(docs, RESULTS)).join(
-        lines, F.col("source").eqNullSafe(F.col("host")), "left").drop("host")
-    df = df.withColumn("__common", F.when(F.col("lines").isNotNull(), F.filter(
-        F.split("text", "\n"), lambda x: F.array_contains("lines", line_key(x)) & F.regexp_like(x, F.lit(WORD)))))
+        lines, F.col("source").eqNullSafe(F.col("__host")), "left").drop("__host")
+    df = df.withColumn("__common", F.when(F.col("__keys").isNotNull(), F.filter(
+        F.split("text", "\n"), lambda x: F.array_contains("__keys", line_key(x)) & F.regexp_like(x, F.lit(WORD)))))
     return (
         df.withColumn("n_common_words", F.coalesce(
             F.aggregate("__common", F.lit(0), lambda s, x: s + F.regexp_count(x, F.lit(WORD))),
@@ -103,4 +103,4 @@ def quality_rules(docs: DataFrame, share: float = 0.05, least: int = 20,
             F.split("text", "\n"), lambda x: ~F.array_contains("__common", x)), "\n")).otherwise(F.col("text")))
         .withColumn("kept", ~F.col("base_failed") & (
             F.col("n_words") - F.col("n_common_words") >= F.col("n_words") * F.lit(min_left)))
-        .drop("lines", "__common"))
+        .drop("__keys", "__common"))

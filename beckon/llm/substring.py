@@ -303,10 +303,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # Digests of whole texts come before the join, so that it moves texts only if they are asked for.
     docs = (docs.withColumn("__c", F.xxhash64(text)).withColumn("n_bytes", F.octet_length(text).cast("long"))
             .withColumn("__sha", F.sha2(text.cast("binary"), 256)))
+    cuts = cuts.toDF("__of", "__removed", "__spans", "__kept")
     return (
-        docs.join(cuts, F.col("__c") == F.col("c"), "left")
-        .withColumn("n_removed", F.coalesce("removed", F.lit(0)).cast("long"))
-        .withColumn("n_spans", F.when(F.col("removed") > 0, F.size("spans")).otherwise(0).cast("long"))
-        .withColumn("kept_sha256", F.coalesce("sha", "__sha"))
-        .withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start: bigint, bytes: bigint>>")))
-        .drop("__c", "__sha", "c", "removed", "sha"))
+        docs.join(cuts, F.col("__c") == F.col("__of"), "left")
+        .withColumn("n_removed", F.coalesce("__removed", F.lit(0)).cast("long"))
+        .withColumn("n_spans", F.when(F.col("__removed") > 0, F.size("__spans")).otherwise(0).cast("long"))
+        .withColumn("kept_sha256", F.coalesce("__kept", "__sha"))
+        .withColumn("spans", F.coalesce("__spans", F.array().cast("array<struct<start: bigint, bytes: bigint>>")))
+        .drop("__c", "__sha", "__of", "__removed", "__spans", "__kept"))
