@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,18 +25,22 @@ def identity_key() -> Column:
     return F.expr(f"sha2(concat_ws('|', {parts}, {text}), 256)")
 
 
-def enforce_consistency(decided: DataFrame) -> DataFrame:
+def enforce_consistency(decided: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Within equal messages copy the decision of the most confident row.
 
+    Runs jobs at once: decisions and keys are stored.
+
     Ties go to the earliest row (``created_at``, then ``message_id``).  The
     decisions are written once, without texts, as they are read twice.  The
     best row is found by partial aggregation, not by sorting the group, and is
     joined back only for keys with several rows; very frequent keys are salted,
-    so a group of copies of any size is spread over tasks.  The message text is
-    not part of the result.
+    so a group of copies of any size is spread over tasks.  The
+    result holds ``message_id``, ``created_at``, the decision and the columns ``keep``.
+    An identity key may come along as ``_key``.
     """
-    keyed = staged(decided.withColumn("_key", identity_key()).drop("message_text"),
-                   "decisions")
+    narrow = ["message_id", "created_at", *DECISION, *keep, "_key"]
+    keyed = decided if "_key" in decided.columns else decided.withColumn("_key", identity_key())
+    keyed = staged(keyed.select(*narrow), "decisions")
     best = (keyed.groupBy("_key").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.min_by(F.struct(*DECISION),

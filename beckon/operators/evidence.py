@@ -84,9 +84,11 @@ def _counted_terms(listed: DataFrame) -> DataFrame:
 class TfIdf:
     """A fitted vocabulary with smooth inverse document frequencies."""
 
-    def __init__(self, terms: list[str], idf: list[float]) -> None:
+    def __init__(self, terms: list[str], idf: list[float],
+                 stop_words: list[str] | None = None) -> None:
         self.terms = terms
         self.idf = idf
+        self.stop_words = stop_words
         self._stages: list | None = None
 
     @staticmethod
@@ -99,7 +101,7 @@ class TfIdf:
         n = rows[0]["df"] if rows else 0
         rows = sorted(rows[1:], key=lambda r: r["term"])
         return TfIdf([r["term"] for r in rows],
-                     [math.log((1 + n) / (1 + r["df"])) + 1 for r in rows])
+                     [math.log((1 + n) / (1 + r["df"])) + 1 for r in rows], stop_words)
 
     def stages(self) -> list:
         """Count, weigh, normalise: row-local transformers around the vocabulary."""
@@ -111,10 +113,12 @@ class TfIdf:
                 Normalizer(p=2.0, inputCol="_tfidf", outputCol="_unit")]
         return self._stages
 
-    def vectors(self, df: DataFrame, text_col: str = "message_text",
-                stop_words: list[str] | None = None) -> DataFrame:
-        """Add ``term_ids`` and ``weights``: the unit vector of the text, row by row."""
-        out = with_terms(df, text_col, "_terms", stop_words)
+    def vectors(self, df: DataFrame, text_col: str = "message_text") -> DataFrame:
+        """Add ``term_ids`` and ``weights``: the unit vector of the text, row by row.
+
+        Words are stopped by the list that the vocabulary was fitted with.
+        """
+        out = with_terms(df, text_col, "_terms", self.stop_words)
         if not self.terms:
             return out.drop("_terms").withColumns({
                 "term_ids": F.expr("cast(array() AS array<int>)"),

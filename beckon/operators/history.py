@@ -52,8 +52,7 @@ def sender_stats(reactions: DataFrame, history: DataFrame) -> DataFrame:
         return F.count_if(F.col(column) == 1).alias(name)
 
     return (reactions_with_sender(reactions, history)
-            .groupBy("user_id", F.coalesce("sender_user_id", F.lit(BUSINESS_SENDER))
-                     .alias("sender_key"))
+            .groupBy("user_id", sender_key(F.col("sender_user_id")).alias("sender_key"))
             .agg(F.count(F.lit(1)).alias("message_count"),
                  ones("message_opened", "opened"), ones("message_replied", "replied"),
                  ones("notification_dismissed", "dismissed"),

@@ -7,19 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beckon.session import staged
+
 # a key up to this many rows is never split
 HOT_ROWS = 200_000
-# at most this many keys can each hold more than 1/1000 of the rows
-MAX_HOT_KEYS = 1_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The heaviest keys with the number of salts each needs, or None.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """All keys with more than ``hot_rows`` rows, with the number of salts each needs.
 
-    Counts rows per key by partial aggregation, so a hot key shuffles one row
-    per task, and brings back the heaviest keys, 1000 at most.  Keys outside
-    the first thousand hold less than a thousandth of the rows each: the limit
-    leaves no hot key behind and bounds what is broadcast.
+    Counts rows per key by partial aggregation, so a hot key shuffles one row per
+    task.  The result is a stored table: its size is known to the join planner, which
+    decides on a broadcast, and nothing comes to the driver.  Runs a job at once.
     """
     present = " AND ".join(f"{key} IS NOT NULL" for key in keys)
     counted = df.where(present).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
@@ -27,13 +26,10 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
 
 
 def hot_among(counted: DataFrame, keys: Sequence[str], rows: str,
-              hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The hot keys of a table that already holds row counts per key."""
-    top = (counted.where(F.col(rows) > hot_rows)
-           .orderBy(F.desc(rows), *keys).limit(MAX_HOT_KEYS)
-           .select(*keys, F.ceil(F.col(rows) / hot_rows).cast("int").alias("_salts")))
-    found = top.collect()
-    return top.sparkSession.createDataFrame(found, top.schema) if found else None
+              hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The hot keys of a table that already holds row counts per key, stored."""
+    return staged(counted.where(F.col(rows) > hot_rows).select(
+        *keys, F.ceil(F.col(rows) / hot_rows).cast("int").alias("_salts")), "hot-keys")
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: str,
@@ -50,9 +46,8 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: str,
     if hot is None:
         return left.join(right, list(keys), how)
     on = list(hot_on or keys)
-    small = F.broadcast(hot)
-    salted_left = left.join(small, on, "left").withColumn("_salt", F.expr(
+    salted_left = left.join(hot, on, "left").withColumn("_salt", F.expr(
         f"if(_salts IS NULL, 0, int(pmod(xxhash64({salt_by}), _salts)))")).drop("_salts")
-    salted_right = right.join(small, on, "left").withColumn("_salt", F.expr(
+    salted_right = right.join(hot, on, "left").withColumn("_salt", F.expr(
         "explode(sequence(0, coalesce(_salts, 1) - 1))")).drop("_salts")
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")

@@ -33,22 +33,36 @@ def with_guard(df: DataFrame, text_col: str = "message_text") -> DataFrame:
 # --- business risk ---------------------------------------------------------
 
 def business_risk(accounts: DataFrame) -> DataFrame:
-    """One row per account: ``business_id, high_risk_business``."""
+    """One row per account: ``business_id, high_risk_business``.
+
+    Of an account that occurs several times the greatest row counts, so a message
+    meets one row at most.
+    """
     official = f"lower({stripped(filled('official_domain'))})"
     used = f"lower({stripped(filled('domain_used_by_sender'))})"
     risky = (f"coalesce(user_reports_30d, 0) >= 15 OR (coalesce(verified, 0) = 0 "
              f"AND {official} != '' AND {used} != '' AND {official} != {used} "
              f"AND coalesce(account_age_days, 0) < 90)")
-    return accounts.select("business_id", F.expr(risky).alias("high_risk_business"))
+    fields = F.struct("account_age_days", "user_reports_30d", "verified", "official_domain",
+                      "domain_used_by_sender")
+    one = accounts.where("business_id IS NOT NULL").groupBy("business_id").agg(F.max(fields).alias("_a"))
+    return one.select("business_id", "_a.*").select(
+        "business_id", F.expr(risky).alias("high_risk_business"))
 
 
 def with_business_risk(messages: DataFrame, accounts: DataFrame) -> DataFrame:
     """Left lookup of the account risk; unknown accounts are not risky.
 
-    Both sides come from scans: Spark broadcasts the accounts when they are
-    small, else AQE splits the partition of an account with very many messages.
+    Messages without a business, most of them, would all meet on the NULL key: they
+    get a key of their own instead, which no account has and which spreads them.
     """
-    return messages.join(business_risk(accounts), "business_id", "left").withColumn(
+    risk = business_risk(accounts).select(
+        F.col("business_id").alias("_id"), F.lit(0).cast("long").alias("_none"), "high_risk_business")
+    keyed = messages.withColumns({
+        "_id": F.coalesce("business_id", F.lit("")),
+        "_none": F.when(F.col("business_id").isNull(), F.pmod(
+            F.xxhash64("message_id"), F.lit(1 << 32)) + 1).otherwise(F.lit(0)).cast("long")})
+    return keyed.join(risk, ["_id", "_none"], "left").drop("_id", "_none").withColumn(
         "high_risk_business", F.coalesce("high_risk_business", F.lit(False)))
 
 

@@ -73,6 +73,11 @@ def trace_summary(verified: DataFrame) -> DataFrame:
         F.count_if(F.size("corrections") > 0).alias("corrected"))
 
 
+def corrected_messages(verified: DataFrame) -> DataFrame:
+    """The messages that the verifier corrected, with corrections and trace line."""
+    return verified.where(F.size("corrections") > 0).select("message_id", "corrections", "trace")
+
+
 def with_review_flag(df: DataFrame) -> DataFrame:
     """Add ``needs_review``; review leaves the decision itself unchanged."""
     return df.withColumn("needs_review", F.col("confidence") < REVIEW_BELOW)

@@ -15,7 +15,7 @@ from beckon.operators import evidence as ev
 from beckon.operators import history as hist
 from beckon.operators import model as ml
 from beckon.operators import reasons, reports, rules, types, verify
-from beckon.operators.consistency import enforce_consistency
+from beckon.operators.consistency import enforce_consistency, identity_key
 from beckon.plans import routing, traffic
 from beckon.session import scratch_path, staged, where_computed
 from beckon.sources import artefacts
@@ -45,21 +45,21 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 @query
 def text_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure of each document: mentions, lengths, links, phones, mails."""
-    docs = traffic.read_spread(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    docs = traffic.read(spark, sf_dir, "documents").select("doc_id", "text")
     return with_text_features(docs, "text", L.TEXT_FEATURES[:9]).drop("text")
 
 
 @query
 def document_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 28 features of each document."""
-    docs = traffic.read_spread(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    docs = traffic.read(spark, sf_dir, "documents").select("doc_id", "text")
     return _rounded(with_text_features(docs, "text").drop("text"))
 
 
 @query
 def conversation_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 28 features of each conversation turn."""
-    turns = traffic.read_spread(spark, sf_dir, "conversations", "conv_id").select(
+    turns = traffic.read(spark, sf_dir, "conversations").select(
         "conv_id", "turn", "text")
     return _rounded(with_text_features(turns, "text").drop("text"))
 
@@ -84,7 +84,7 @@ def keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def spam_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of documents per language, source and spam score."""
-    docs = traffic.read_spread(spark, sf_dir, "documents", "doc_id").select(
+    docs = traffic.read(spark, sf_dir, "documents").select(
         "lang", "source", "text")
     scored = with_text_features(docs, "text", ["spam_pattern_score", "caps_word_ratio"])
     return _rounded(scored.groupBy(
@@ -316,7 +316,7 @@ def parsed_model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text", "{}", "()"))).when(i % 3 == 0, F.concat(
             F.lit("```json\n"), answer, F.lit("\n```"))).when(
                 i % 3 == 1, F.concat(F.lit("Here it is: "), answer)).otherwise(answer)
-    docs = traffic.read_spread(spark, sf_dir, "documents", "doc_id").select(
+    docs = traffic.read(spark, sf_dir, "documents").select(
         "doc_id", response.alias("response"))
     return artefacts.parse_responses(docs, "response").drop("response")
 
@@ -330,7 +330,7 @@ def table_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns written and read back as CSV predictions."""
-    turns = traffic.read_spread(spark, sf_dir, "conversations", "conv_id")
+    turns = traffic.read(spark, sf_dir, "conversations")
     path = scratch_path(spark, "csv")
     write_predictions(turns.select(
         F.concat_ws("_", F.lit("message"), "conv_id", "turn").alias("message_id"),
@@ -374,10 +374,38 @@ def calibrated_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         "needs_review")
 
 
+_routed: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _arrived(t: traffic.Traffic) -> DataFrame:
+    """Incoming messages with transcripts as text and image analyses as columns."""
+    media = t.incoming.where("media_type IS NOT NULL")
+    return en.enrich(t.incoming, artefacts.transcripts(traffic.transcript_json(media)),
+                     artefacts.analyses(traffic.analysis_json(media)))
+
+
 def _checked(t: traffic.Traffic, signal: str = "reason") -> DataFrame:
-    """Decisions of incoming messages after guard, verifier and validation."""
-    return routing.route(t.incoming, t.accounts, t.history_tables, None,
-                         traffic.scored(t.incoming), signal, consistent=False)
+    """Decisions of incoming messages after evidence, guard, verifier and validation.
+
+    The whole router on enriched messages, stored once per application and folder.
+    """
+    key = (t.spark_application, t.root, signal)
+    if key not in _routed:
+        arrived = _arrived(t)
+        _routed[key] = staged(routing.route(
+            arrived, t.accounts, t.history_tables, ev.TfIdf.fit(t.history),
+            traffic.scored(t.incoming), signal, consistent=False).select(
+                *OUT, "needs_review", "corrections", "trace", "is_safe", "created_at",
+                identity_key().alias("_key")), "checked")
+    return _routed[key]
+
+
+def _final(t: traffic.Traffic) -> DataFrame:
+    """The checked decisions with equal messages made equal, stored likewise."""
+    key = (t.spark_application, t.root, "final")
+    if key not in _routed:
+        _routed[key] = staged(enforce_consistency(_checked(t)).select(*OUT), "final")
+    return _routed[key]
 
 
 @query
@@ -401,6 +429,13 @@ def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.trace_summary(_checked(traffic.tables(spark, sf_dir)))
 
 
+@query
+def corrected_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages corrected, with their corrections."""
+    return verify.corrected_messages(_checked(traffic.tables(spark, sf_dir))).withColumn(
+        "corrections", F.array_join("corrections", ","))
+
+
 @query
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages whose confidence calls for a review."""
@@ -428,24 +463,28 @@ def validated_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def route_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The router on all incoming messages: guard, rules, model scores, evidence, checks."""
     t = traffic.tables(spark, sf_dir)
-    return routing.route(t.incoming, t.accounts, t.history_tables, ev.TfIdf.fit(t.history),
+    arrived = _arrived(t)
+    return routing.route(arrived, t.accounts, t.history_tables, ev.TfIdf.fit(t.history),
                          traffic.scored(t.incoming)).select(*OUT)
 
 
 @query
 def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal messages get the decision of the most confident of them."""
-    t = traffic.tables(spark, sf_dir)
-    # fewer distinct texts and recipients, so that equal messages occur
-    folded = t.messages.select(
-        "message_id", "created_at", "user_id", F.lit(None).cast("string").alias("sender_user_id"),
-        "conversation_type", "media_type", "forwarded_count",
-        F.concat(F.lit(" Note "), (F.col("k") % 5).cast("string"), F.lit("\n"))
-        .alias("message_text"),
-        F.col("event_type").alias("action"), F.col("conversation_type").alias("message_type"),
-        F.round("value", 0).alias("confidence"), F.col("message_id").alias("reason"),
-        F.lit("none").alias("evidence_message_ids"))
-    return enforce_consistency(folded).select(*OUT)
+    messages = traffic.tables(spark, sf_dir).messages
+    # every third message is delivered again, an hour later and with another decision
+    again = F.expr("explode(if(event_id % 3 = 0, array(0, 1), array(0)))").alias("again")
+    twice = messages.select("*", again)
+    named = F.concat("message_id", F.col("again").cast("string"))
+    delivered = twice.select(
+        named.alias("message_id"), F.expr("created_at + make_interval(0, 0, 0, 0, again)")
+        .alias("created_at"), "user_id", "sender_user_id", "conversation_type", "media_type",
+        "forwarded_count", "message_text",
+        F.expr("if(again = 0, event_type, conversation_type)").alias("action"),
+        F.col("conversation_type").alias("message_type"),
+        ((F.col("event_id") + F.col("again") * 3) % 5).cast("double").alias("confidence"),
+        named.alias("reason"), F.lit("none").alias("evidence_message_ids"))
+    return enforce_consistency(delivered).select(*OUT)
 
 
 # --- reports ---------------------------------------------------------------
@@ -453,23 +492,30 @@ def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def action_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and share of each action."""
-    return _rounded(reports.distribution(_checked(traffic.tables(spark, sf_dir)), "action"))
+    return _rounded(reports.distribution(_final(traffic.tables(spark, sf_dir)), "action"))
 
 
 @query
 def message_type_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most frequent types."""
-    return _rounded(reports.top_types(_checked(traffic.tables(spark, sf_dir))))
+    return _rounded(reports.top_types(_final(traffic.tables(spark, sf_dir))))
 
 
 @query
 def confidence_by_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence range of each action."""
-    return _rounded(reports.confidence_by_action(_checked(traffic.tables(spark, sf_dir))))
+    return _rounded(reports.confidence_by_action(_final(traffic.tables(spark, sf_dir))))
 
 
 def _with_truth(t: traffic.Traffic) -> DataFrame:
-    return reports.with_truth(_checked(t), traffic.truth(t.incoming))
+    return reports.with_truth(_final(t), traffic.truth(t.incoming))
+
+
+@query
+def type_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of types equal to what the conversation calls for, and the acceptance gate."""
+    t = traffic.tables(spark, sf_dir)
+    return _rounded(reports.type_accuracy(_final(t).join(traffic.true_type(t.incoming), "message_id")))
 
 
 @query
@@ -517,7 +563,7 @@ def misclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations of the output contract; all messages against the incoming decisions."""
     t = traffic.tables(spark, sf_dir)
-    return reports.contract_checks(t.messages, _checked(t))
+    return reports.contract_checks(t.messages, _final(t))
 
 
 # --- model -----------------------------------------------------------------
@@ -531,7 +577,7 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with text features: toxic is mute, good is notify."""
-    docs = traffic.read_spread(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    docs = traffic.read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = traffic.read(spark, sf_dir, "labels").select(
         "doc_id", F.when(F.col("toxic") == 1, F.lit("mute")).when(
             F.col("quality") == 1, F.lit("notify")).otherwise(F.lit("digest")).alias("action"))
@@ -573,7 +619,7 @@ def _fitted(spark: SparkSession, sf_dir: str, rounds: int = 10):
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees on labelled documents: probabilities of all documents."""
     fitted, _ = _fitted(spark, sf_dir)
-    docs = traffic.read_spread(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    docs = traffic.read(spark, sf_dir, "documents").select("doc_id", "text")
     numbers = ml.as_numbers(with_text_features(docs, "text"), L.TEXT_FEATURES, ["doc_id"])
     return ml.score(fitted, numbers, ["doc_id"])
 

@@ -85,10 +85,12 @@ def finish(decided: DataFrame, signal: str = "reason") -> DataFrame:
 def route(messages: DataFrame, accounts: DataFrame, tables: hist.HistoryTables,
           model: ev.TfIdf | None = None, scored: DataFrame | None = None,
           signal: str = "reason", consistent: bool = True) -> DataFrame:
-    """Route messages: the message columns plus the decision columns.
+    """Route messages: decision columns, one row per message.
 
-    Evidence is looked up for safe messages only, and not at all without
-    ``model``.
+    ``messages`` may be enriched (transcripts as text, image columns).  Evidence is
+    looked up for safe messages only, and not at all without ``model``.  With
+    ``consistent`` the result holds ``message_id``, ``created_at`` and the decision;
+    else the message columns and all flags too.  Runs jobs at once.
     """
     decided = decide(messages, accounts, tables, scored)
     if model is None:

@@ -30,13 +30,16 @@ _local_scratch: tempfile.TemporaryDirectory | None = None
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A new folder for data written along the way.
 
-    Taken from ``spark.checkpoint.dir``, which every executor can reach.  Only
-    where that is unset, as in local tests, a temporary folder is used, which goes
-    away with the process.
+    Taken from ``spark.checkpoint.dir``, else from the context's checkpoint folder,
+    which every executor can reach.  Where both are unset, a session on one machine
+    (``local`` master) uses a temporary folder, which goes away with the process; any
+    other session raises an error, since executors would write to their own disks.
     """
     global _local_scratch
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if _local_scratch is None:
             _local_scratch = tempfile.TemporaryDirectory(prefix="beckon-")
         shared = _local_scratch.name

@@ -257,7 +257,10 @@ ORACLES["message_type"] = sql(
 DECIDED_NEEDS = ["messages", "incoming", "accounts", "scored", "sender_stats", "category",
                  "members"]
 DECIDED = r.decided("incoming", scored=True)
-CHECKED = {**DECIDED, **r.checked(None)}
+# the whole router: enriched messages, evidence, verifier, consistency
+CHECKED = {**r.ON_ENRICHED, **EVIDENCE, **r.decided("incoming", scored=True, enriched=True),
+           **r.checked("lists")}
+FINAL = {**CHECKED, "consistent_input": "SELECT * FROM checked", "final": r.CONSISTENT}
 ORACLES["reason_texts"] = sql(
     "SELECT message_id, action, message_type, round(confidence, 6) AS confidence, reason "
     "FROM decided", *DECIDED_NEEDS, extra=DECIDED)
@@ -268,7 +271,11 @@ ORACLES["calibrated_confidence"] = sql(
 
 
 def on_checked(select: str, *more: str) -> str:
-    return sql(select, *DECIDED_NEEDS, *more, extra=CHECKED)
+    return sql(select, *DECIDED_NEEDS, "history", *more, extra=CHECKED)
+
+
+def on_final(select: str, *more: str) -> str:
+    return sql(select, *DECIDED_NEEDS, "history", *more, extra=FINAL)
 
 
 ORACLES["verified_output"] = on_checked(
@@ -297,6 +304,8 @@ ORACLES["verified_by_template"] = on_checked(
     "'unknown') THEN 'payment' ELSE message_type END END AS t FROM guarded)")
 ORACLES["trace_summary"] = on_checked(
     "SELECT count(*) AS processed, count(*) FILTER (corrections <> '') AS corrected FROM checked")
+ORACLES["corrected_messages"] = on_checked(
+    "SELECT message_id, corrections, trace FROM checked WHERE corrections <> ''")
 ORACLES["review_queue"] = on_checked(f"SELECT {OUT} FROM checked WHERE needs_review")
 ORACLES["validated_output"] = sql(
     "SELECT message_id, CASE WHEN ok THEN action ELSE 'mute' END AS action, "
@@ -308,16 +317,17 @@ ORACLES["validated_output"] = sql(
     "AND k % 11 <> 0 AND value <= 100 AND value >= 0 AS ok FROM messages)", "messages")
 
 # --- end to end ------------------------------------------------------------
-ORACLES["route_messages"] = sql(
-    "SELECT * FROM routed", *DECIDED_NEEDS, "history",
-    extra={**EVIDENCE, **DECIDED, **r.checked("lists"),
-           "consistent_input": "SELECT * FROM checked", "routed": r.CONSISTENT})
+ORACLES["route_messages"] = on_final("SELECT * FROM final")
+
 ORACLES["consistency"] = sql(
     r.CONSISTENT, "messages", extra={"consistent_input": """
-      SELECT message_id, created_at, user_id, NULL AS sender_user_id, conversation_type,
-        media_type, forwarded_count, 'note ' || (k % 5) AS message_text, event_type AS action,
-        conversation_type AS message_type, round(value, 0) AS confidence, message_id AS reason,
-        'none' AS evidence_message_ids FROM messages"""})
+      SELECT message_id || again AS message_id, created_at + again * INTERVAL 1 HOUR AS created_at,
+        user_id, sender_user_id, conversation_type, media_type, forwarded_count, message_text,
+        CASE again WHEN 0 THEN event_type ELSE conversation_type END AS action,
+        conversation_type AS message_type,
+        ((event_id + again * 3) % 5)::DOUBLE AS confidence, message_id || again AS reason,
+        'none' AS evidence_message_ids FROM messages, (VALUES (0), (1)) v(again)
+      WHERE again = 0 OR event_id % 3 = 0"""})
 
 # --- reports ---------------------------------------------------------------
 
@@ -327,53 +337,58 @@ def share(table: str, column: str) -> str:
             f"{table})::DOUBLE, 6) AS share FROM {table} GROUP BY {column}")
 
 
-ORACLES["action_distribution"] = on_checked(share("checked", "action"))
-ORACLES["message_type_top10"] = on_checked(
-    share("checked", "message_type") + " ORDER BY n DESC, message_type LIMIT 10")
-ORACLES["confidence_by_action"] = on_checked(
+ORACLES["action_distribution"] = on_final(share("final", "action"))
+ORACLES["message_type_top10"] = on_final(
+    share("final", "message_type") + " ORDER BY n DESC, message_type LIMIT 10")
+ORACLES["confidence_by_action"] = on_final(
     "SELECT action, round(avg(confidence), 6) AS mean_confidence, round(min(confidence), 6) AS "
-    "min_confidence, round(max(confidence), 6) AS max_confidence FROM checked GROUP BY action")
+    "min_confidence, round(max(confidence), 6) AS max_confidence FROM final GROUP BY action")
 ORACLES["class_distribution"] = sql(share("truth", "true_action"), "truth")
-ORACLES["action_accuracy"] = on_checked(
+ORACLES["action_accuracy"] = on_final(
     "SELECT count(*) AS n, round(avg((action = true_action)::INT), 6) AS accuracy "
-    "FROM checked JOIN truth USING (message_id)", "truth")
+    "FROM final JOIN truth USING (message_id)", "truth")
 ORACLES["rule_accuracy"] = sql(
     "SELECT count(*) AS n, round(avg((rule_action = true_action)::INT), 6) AS accuracy "
     "FROM ruled JOIN truth USING (message_id) WHERE rule_id IS NOT NULL",
     "messages", "accounts", "truth", extra=RULED)
-ORACLES["confusion_matrix"] = on_checked(
+ORACLES["confusion_matrix"] = on_final(
     "SELECT true_action AS true_class, " + ", ".join(
         f"count(*) FILTER (action = '{c}') AS {c}" for c in L.ACTION_CLASSES)
-    + " FROM checked JOIN truth USING (message_id) GROUP BY true_action", "truth")
+    + " FROM final JOIN truth USING (message_id) GROUP BY true_action", "truth")
 ORACLES["class_report"] = sql(
     "SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, "
     "round(f1, 6) AS f1, support FROM (SELECT * FROM per UNION ALL SELECT 'macro avg', "
     "avg(precision), avg(recall), avg(f1), sum(support)::BIGINT FROM per UNION ALL SELECT "
     "'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / "
     "sum(support), sum(f1 * support) / sum(support), sum(support)::BIGINT FROM per)",
-    *DECIDED_NEEDS, "truth", extra={**CHECKED, "per": """
+    *DECIDED_NEEDS, "history", "truth", extra={**FINAL, "per": """
       SELECT class, tp / pred AS precision, tp / n AS recall,
         2.0 * tp / (pred + n) AS f1, n AS support
       FROM (SELECT c AS class,
           count(*) FILTER (action = c AND true_action = c) AS tp,
           count(*) FILTER (action = c) AS pred, count(*) FILTER (true_action = c) AS n
-        FROM checked JOIN truth USING (message_id),
+        FROM final JOIN truth USING (message_id),
           (VALUES ('digest'), ('mute'), ('notify')) v(c) GROUP BY c)"""})
-ORACLES["misclassified"] = on_checked(
-    "SELECT message_id, action, true_action FROM checked JOIN truth USING (message_id) "
+ORACLES["type_accuracy"] = on_final(
+    "SELECT count(*) AS n, round(avg((message_type = true_type)::INT), 6) AS accuracy, "
+    "avg((message_type = true_type)::INT) >= 0.85 AS accepted FROM final JOIN (SELECT message_id, "
+    "CASE conversation_type WHEN 'business' THEN 'business_update' ELSE 'personal' END AS true_type "
+    "FROM messages) USING (message_id)")
+ORACLES["misclassified"] = on_final(
+    "SELECT message_id, action, true_action FROM final JOIN truth USING (message_id) "
     "WHERE action <> true_action", "truth")
-ORACLES["contract_checks"] = on_checked(
+ORACLES["contract_checks"] = on_final(
     "SELECT 'missing_ids' AS \"check\", count(*) AS violations FROM messages WHERE message_id "
-    "NOT IN (SELECT message_id FROM checked) UNION ALL SELECT 'duplicate_ids', count(*) - "
-    "count(DISTINCT message_id) FROM checked UNION ALL SELECT 'action_domain', count(*) FILTER "
-    f"(action NOT IN ({items(L.ACTIONS)})) FROM checked UNION ALL SELECT 'type_domain', "
-    f"count(*) FILTER (message_type NOT IN ({items(L.MESSAGE_TYPES)})) FROM checked UNION ALL "
-    "SELECT 'confidence_range', count(*) FILTER (confidence < 0 OR confidence > 1) FROM checked "
-    "UNION ALL SELECT 'empty_reason', count(*) FILTER (trim(reason) = '') FROM checked UNION ALL "
+    "NOT IN (SELECT message_id FROM final) UNION ALL SELECT 'duplicate_ids', count(*) - "
+    "count(DISTINCT message_id) FROM final UNION ALL SELECT 'action_domain', count(*) FILTER "
+    f"(action NOT IN ({items(L.ACTIONS)})) FROM final UNION ALL SELECT 'type_domain', "
+    f"count(*) FILTER (message_type NOT IN ({items(L.MESSAGE_TYPES)})) FROM final UNION ALL "
+    "SELECT 'confidence_range', count(*) FILTER (confidence < 0 OR confidence > 1) FROM final "
+    "UNION ALL SELECT 'empty_reason', count(*) FILTER (trim(reason) = '') FROM final UNION ALL "
     "SELECT 'evidence_format', count(*) FILTER (evidence_message_ids <> 'none' AND NOT "
-    "regexp_full_match(evidence_message_ids, 'message_\\d+(;message_\\d+)*')) FROM checked UNION "
+    "regexp_full_match(evidence_message_ids, 'message_\\d+(;message_\\d+)*')) FROM final UNION "
     "ALL SELECT 'unsafe_not_muted', count(*) FILTER (message_type IN ('scam', 'spam') AND action "
-    "<> 'mute') FROM checked")
+    "<> 'mute') FROM final")
 
 # --- model -----------------------------------------------------------------
 _text_doubles = ", ".join(f"round(f.{n}::DOUBLE, 5) AS {n}" for n in L.TEXT_FEATURES)

@@ -12,11 +12,13 @@ CTES = {
       SELECT event_id, event_type, value, k, tail, message_id, user_id, conversation_type,
         CASE WHEN conversation_type <> 'business'
           THEN 'u_' || (u + 1 + event_id % 4) END AS sender_user_id,
-        CASE WHEN conversation_type = 'group' THEN 'g_' || (event_id % 11) END AS group_id,
-        CASE WHEN conversation_type = 'business' THEN 'b_' || k END AS business_id,
+        CASE WHEN conversation_type = 'group' THEN 'g_' || (event_id % (11 * (SELECT count(*) FROM nation))) END AS group_id,
+        CASE WHEN conversation_type = 'business' THEN 'b_' || (event_id * 7 % (SELECT count(*) FROM supplier)) END AS business_id,
         ts AS created_at, media_type,
-        CASE media_type WHEN 'image' THEN 'img_' || (event_id % 2500)
-          WHEN 'voice' THEN 'vn_' || (event_id % 2000) END AS media_id,
+        CASE media_type
+          WHEN 'image' THEN 'img_' || (event_id * 5 % (SELECT count(*) + count(*) // 4 FROM part))
+          WHEN 'voice' THEN 'vn_' || (event_id * 3 % (SELECT count(*) + count(*) // 3 FROM customer))
+          END AS media_id,
         CASE WHEN k < 70 THEN 0 ELSE k % 12 END AS forwarded_count,
         CASE WHEN event_id % 53 = 0
             OR (coalesce(media_type, '') = 'voice' AND event_id % 2 = 0)
@@ -30,8 +32,10 @@ CTES = {
           CASE event_id % 7 WHEN 3 THEN 'image' WHEN 5 THEN 'voice' END AS media_type
         FROM (SELECT * FROM events) e
         JOIN (VALUES {_PHRASES}) p(i, phrase) ON p.i = e.event_id % {len(PHRASES)}
+        LEFT JOIN (SELECT conv_id, max(turn) + 1 AS turns FROM conversations GROUP BY ALL) n
+          ON n.conv_id = e.event_id // 100
         LEFT JOIN conversations c
-          ON c.conv_id = e.event_id // 100 AND c.turn = e.event_id % 6)""",
+          ON c.conv_id = e.event_id // 100 AND c.turn = e.event_id % n.turns)""",
     "messages": "SELECT * REPLACE ('u_' || user_id AS user_id) FROM msg",
     "history": "SELECT * FROM messages WHERE past",
     "incoming": "SELECT * FROM messages WHERE NOT past",
@@ -54,7 +58,7 @@ CTES = {
         CASE WHEN reads > 0 THEN least(replies / reads, 1.0) ELSE 0.0 END::DOUBLE
           AS group_engagement_rate,
         (first % 7 = 0)::INT::DOUBLE AS group_is_muted
-      FROM (SELECT o_custkey, o_orderkey % 11 AS g, min(o_orderkey) AS first, count(*) AS n,
+      FROM (SELECT o_custkey, o_orderkey % (11 * (SELECT count(*) FROM nation)) AS g, min(o_orderkey) AS first, count(*) AS n,
           count(*) FILTER (o_orderstatus <> 'O') AS reads,
           count(*) FILTER (o_orderpriority = '1-URGENT') AS replies
         FROM orders GROUP BY ALL)""",
@@ -94,10 +98,13 @@ CTES = {
 
 
 def sql(body: str, *names: str, extra: dict[str, str] | None = None) -> str:
-    """``body`` with the named tables and whatever they need in front of it."""
+    """``body`` with the named tables and whatever they need in front of it.
+
+    ``extra`` may put other text in place of a table, such as enriched messages.
+    """
     every = {**CTES, **(extra or {})}
     needs = {
-        "messages": ["msg"], "history": ["messages"], "incoming": ["messages"],
+        "messages": ["raw"] if "raw" in every else ["msg"], "raw": ["msg"], "history": ["messages"], "incoming": ["messages"],
         "reactions": ["history"], "sender_stats": ["reactions"], "user_stats": ["reactions"],
         "category": ["reactions"], "scored": ["messages"], "truth": ["messages"],
     }

@@ -111,6 +111,15 @@ ENRICHED = f"""
     CASE WHEN seen THEN k % 2 = 0 END AS image_has_deadline
     FROM (SELECT *, coalesce(media_type, '') = 'image' AND k % 10 <> 9 AS seen FROM messages))"""
 
+#: Tables of the router: incoming messages enriched, past ones as they were.
+ON_ENRICHED = {
+    "raw": "SELECT * REPLACE ('u_' || user_id AS user_id) FROM msg",
+    "messages": f"""
+      SELECT e.* EXCLUDE (message_text), CASE WHEN e.past THEN m.message_text
+        ELSE e.message_text END AS message_text
+      FROM ({ENRICHED.replace('FROM messages', 'FROM raw')}) e JOIN raw m USING (message_id)""",
+}
+
 TEXT_IN_USE = f"""CASE WHEN {strip("coalesce(message_text, '')")} = ''
   AND lower({strip("coalesce(image_extracted_text, '')")}) NOT IN ('', 'none')
   THEN image_extracted_text ELSE coalesce(message_text, '') END"""
@@ -118,8 +127,11 @@ TEXT_IN_USE = f"""CASE WHEN {strip("coalesce(message_text, '')")} = ''
 # --- decisions -------------------------------------------------------------
 
 
-def decided(source: str, scored: bool) -> dict[str, str]:
-    """CTEs up to ``decided`` for the rows of ``source`` (a table of messages)."""
+def decided(source: str, scored: bool, enriched: bool = False) -> dict[str, str]:
+    """CTEs up to ``decided`` for the rows of ``source`` (a table of messages).
+
+    With ``enriched`` they carry the image columns, see ``ON_ENRICHED``.
+    """
     probability = "coalesce(model_probability, 0.5)" if scored else "0.5::DOUBLE"
     join = "LEFT JOIN scored sc USING (message_id)" if scored else ""
     pick = "model_action, " if scored else ""
@@ -138,7 +150,8 @@ def decided(source: str, scored: bool) -> dict[str, str]:
               - ss.dismissed / ss.message_count * 3.0 - ss.reported * 10.0, 0.0) AS trust,
             coalesce(c.category_dismiss_rate, 0.0) AS dismissed_rate,
             coalesce(g.is_group_admin, 0.0) AS admin,
-            NULL::VARCHAR AS image_category, t AS tt, low AS tl,
+            {"" if enriched else "NULL::VARCHAR AS image_category,"}
+            {TEXT_IN_USE if enriched else "t"} AS tt, lower({TEXT_IN_USE if enriched else "t"}) AS tl,
             {strip("regexp_replace(t, '\\s+', ' ', 'g')")} AS line
           FROM ruled r JOIN feat f USING (message_id) {join}
           LEFT JOIN sender_stats ss ON ss.user_id = r.user_id

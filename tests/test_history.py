@@ -131,7 +131,7 @@ def test_salted_lookup_equals_plain_join(spark, data):
     plain = past_df.join(stats, "user_id", "left").select("message_id", "n")
     salted = lookup(past_df, stats, ["user_id"], "message_id", hot).select("message_id", "n")
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.collect()))
-    assert hot_keys(past_df, ["user_id"]) is None
+    assert hot_keys(past_df, ["user_id"]).count() == 0
 
 
 def test_consistency_copies_the_best_row(spark, make_messages):
@@ -163,3 +163,28 @@ def test_group_and_business_features(spark):
     rows = {r["group_id"]: r for r in hist.group_features(members).collect()}
     assert rows["g"]["group_engagement_rate"] == 1.0 and rows["g"]["is_group_admin"] == 1.0
     assert rows["h"]["group_engagement_rate"] == 0.0 and rows["h"]["group_is_muted"] == 0.0
+
+
+@pytest.mark.parametrize("stop", [[], ["lake", "the"]])
+def test_own_stop_words_hold_for_vectors(spark, stop):
+    from beckon.operators.evidence import TfIdf
+
+    texts = ["the lake to the hill", "to the lake", "a hill and the lake"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "message_id string, message_text string")
+    model = TfIdf.fit(df, stop_words=stop)
+    for row in model.vectors(df).collect():
+        words = [w for w in row.message_text.split() if len(w) > 1 and w not in stop]
+        terms = set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
+        assert {model.terms[int(i)] for i in row.term_ids} == terms
+
+
+def test_an_account_that_occurs_twice_gives_one_row(spark, make_messages):
+    from beckon.operators.rules import with_business_risk
+
+    accounts = spark.createDataFrame(
+        [("b_1", 1, None, None, 10, 0), ("b_1", 1, None, None, 20, 30), ("b_2", 1, None, None, 5, 0)],
+        "business_id string, verified int, official_domain string, domain_used_by_sender string, "
+        "account_age_days int, user_reports_30d int")
+    messages = make_messages({"business_id": "b_1"}, {"business_id": "b_2"}, {}, {"business_id": ""})
+    got = {r.message_id: r.high_risk_business for r in with_business_risk(messages, accounts).collect()}
+    assert got == {"m0": True, "m1": False, "m2": False, "m3": False}
