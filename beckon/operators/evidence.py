@@ -220,15 +220,14 @@ def top_evidence(messages: DataFrame, history: DataFrame, model: TfIdf, k: int =
     usable = messages.where(f"length({filled('message_text')}) >= {MIN_TEXT}")
     sizes = staged(scope_sizes(history), "scope-sizes")
     scoped = staged(scoped_messages(usable, sizes), "message-scopes")
-    # per scope in use: how many messages ask, how many rows answer, time range
-    used = staged(scoped.groupBy(*scope).agg(F.count(F.lit(1)).alias(LEFT_ROWS)).join(
-        sizes.withColumnRenamed("scope_rows", RIGHT_ROWS), scope), "scopes-in-use")
+    # the scopes in use, with their time range
+    used = staged(scoped.select(*scope).distinct().join(sizes, scope), "scopes-in-use")
     # a row without a known term scores its recency boost at most, below 0.2
     asked = (where_computed(model.vectors(scoped.join(
         usable.select("message_id", "created_at", "message_text"), "message_id")),
         "size(term_ids) > 0").select("message_id", *scope, "term_ids", "weights",
                      F.unix_micros(F.col("created_at").cast("timestamp")).alias("asked_at")))
-    asked = with_group_sizes(asked, used, scope).withColumn("scope_key", _scope_key()).drop(*scope)
+    asked = asked.withColumn("scope_key", _scope_key()).drop(*scope)
     candidates = (where_computed(model.vectors(history.select(
         "message_id", "user_id", "created_at", "message_text", *SCOPES.values())),
         "size(term_ids) > 0")
@@ -241,7 +240,7 @@ def top_evidence(messages: DataFrame, history: DataFrame, model: TfIdf, k: int =
         .withColumn("scope_key", _scope_key())
         .select("scope_key", F.col("message_id").alias("evidence_id"),
                 F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"),
-                "boost", "term_ids", "weights", LEFT_ROWS, RIGHT_ROWS))
+                "boost", "term_ids", "weights"))
     if point_in_time:
         queries = asked.withColumn("query_id", F.col("message_id"))
         owners = None
@@ -249,13 +248,19 @@ def top_evidence(messages: DataFrame, history: DataFrame, model: TfIdf, k: int =
         asked = asked.withColumn("query_id", F.concat_ws("|", "scope_key", _vector_key()))
         owners = asked.select("message_id", "query_id")
         queries = asked.groupBy("scope_key", "query_id").agg(
-            *[F.first(c).alias(c) for c in ["term_ids", "weights", LEFT_ROWS, RIGHT_ROWS]],
+            *[F.first(c).alias(c) for c in ["term_ids", "weights"]],
             F.lit(None).cast("long").alias("asked_at"))
         candidates = _most_recent_copies(candidates, k)
+    # blocks are cut by what is left after equal queries and copies are merged
+    queries = staged(queries.select("query_id", "scope_key", "term_ids", "weights", "asked_at"),
+                     "evidence-queries")
+    candidates = staged(candidates, "evidence-candidates")
+    merged = staged(queries.groupBy("scope_key").agg(F.count(F.lit(1)).alias(LEFT_ROWS)).join(
+        candidates.groupBy("scope_key").agg(F.count(F.lit(1)).alias(RIGHT_ROWS)), "scope_key"),
+        "evidence-sizes")
     best = block_pairs(
-        queries.select("query_id", "scope_key", "term_ids", "weights", "asked_at",
-                       LEFT_ROWS, RIGHT_ROWS),
-        candidates, key="scope_key", left_id="query_id", right_id="evidence_id",
+        with_group_sizes(queries, merged, ["scope_key"]),
+        with_group_sizes(candidates, merged, ["scope_key"]), key="scope_key", left_id="query_id", right_id="evidence_id",
         block_rows=block_rows,
         function=_block_top_k(k, max(len(model.terms), 1), point_in_time),
         schema=T.StructType([

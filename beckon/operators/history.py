@@ -16,6 +16,7 @@ from beckon.session import staged, where_computed
 
 BUSINESS_SENDER = "business"
 COMMON_WORDS = 3
+WORDS_AT_ONCE = 2048
 
 
 @dataclass(frozen=True)
@@ -190,15 +191,18 @@ def similar_dismissals(messages: DataFrame, reactions: DataFrame, history: DataF
 
     Messages and dismissed texts of one user meet block by block; a task sees
     two blocks of bounded size and returns one row per message, never pairs.
+    Runs jobs at once to count the merged texts.
     """
+    # blocks are cut by what is left after copies are merged
+    dismissed = staged(dismissed_texts(reactions, history), "dismissed-texts")
     sizes = staged(messages.groupBy("user_id").agg(F.count(F.lit(1)).alias(LEFT_ROWS)).join(
-        reactions.where(F.col("notification_dismissed") == 1).groupBy("user_id").agg(
-            F.count(F.lit(1)).alias(RIGHT_ROWS)), "user_id"), "dismissal-sizes")
+        dismissed.groupBy("user_id").agg(F.count(F.lit(1)).alias(RIGHT_ROWS)), "user_id"),
+        "dismissal-sizes")
     asked = where_computed(messages.select("message_id", "user_id", word_set("message_text")
                                            .alias("words")), f"size(words) >= {COMMON_WORDS}")
     counted = block_pairs(
         with_group_sizes(asked, sizes, ["user_id"]),
-        with_group_sizes(dismissed_texts(reactions, history), sizes, ["user_id"]),
+        with_group_sizes(dismissed, sizes, ["user_id"]),
         key="user_id", left_id="message_id", right_id="text_key", block_rows=block_rows,
         function=_count_overlaps,
         schema=T.StructType([T.StructField("message_id", T.StringType()),
@@ -216,24 +220,29 @@ def _count_overlaps(left, right):
 
     l_words, l_ends = list_column(left["words"])
     r_words, r_ends = list_column(right["words"])
-    # number the words of both sides alike, then look up each left word
+    # number the words of both sides alike; only words on both sides can be shared
     coded = pa.chunked_array([l_words.cast(pa.string()), r_words.cast(pa.string())]
                              ).combine_chunks().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
+    size = len(coded.dictionary)
     l_codes, r_codes = codes[:len(l_words)], codes[len(l_words):]
-    r_rows = np.repeat(np.arange(len(r_ends) - 1), np.diff(r_ends))
-    order = np.argsort(r_codes, kind="stable")
-    posting_rows = r_rows[order]
-    starts = np.searchsorted(r_codes[order], np.arange(len(coded.dictionary) + 1))
-    weight = right["copies"].to_numpy()
-    n_right = len(right)
-    totals = np.zeros(len(left), dtype=np.int64)
-    for i in range(len(left)):
-        terms = l_codes[l_ends[i]:l_ends[i + 1]]
-        found = np.concatenate([posting_rows[starts[t]:starts[t + 1]] for t in terms])
-        if len(found):
-            shared = np.bincount(found, minlength=n_right)
-            totals[i] = weight[shared >= COMMON_WORDS].sum()
+    both = np.zeros(size, bool)
+    both[np.intersect1d(l_codes, r_codes)] = True
+    number = np.cumsum(both) - 1
+    l_rows = np.repeat(np.arange(len(left)), np.diff(l_ends))[both[l_codes]]
+    r_rows = np.repeat(np.arange(len(right)), np.diff(r_ends))[both[r_codes]]
+    l_codes, r_codes = number[l_codes[both[l_codes]]], number[r_codes[both[r_codes]]]
+    # products of 0/1 matrices, a part of the words at a time
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(both.sum()), WORDS_AT_ONCE):
+        sides = []
+        for rows, own, n in ((l_rows, l_codes, len(left)), (r_rows, r_codes, len(right))):
+            here = (own >= start) & (own < start + WORDS_AT_ONCE)
+            matrix = np.zeros((n, WORDS_AT_ONCE), np.float32)
+            matrix[rows[here], own[here] - start] = 1
+            sides.append(matrix)
+        shared += sides[0] @ sides[1].T
+    totals = (shared >= COMMON_WORDS) @ right["copies"].to_numpy()
     keep = totals > 0
     return pa.table({"message_id": left["message_id"].filter(pa.array(keep)),
                      "similar_dismissals": pa.array(totals[keep])})
