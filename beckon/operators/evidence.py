@@ -12,6 +12,7 @@ the result.  What remains is compared block by block.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -207,7 +208,28 @@ def recency_boost(created: Column, newest: Column, oldest: Column) -> Column:
     return F.coalesce(F.exp(-days / F.lit(RECENCY_DAYS)) * F.lit(RECENCY_WEIGHT), F.lit(0.0))
 
 
-def top_evidence(messages: DataFrame, history: DataFrame, model: TfIdf, k: int = TOP_K,
+@dataclass(frozen=True)
+class Weighed:
+    """Stored scope sizes and vectors of a history."""
+
+    sizes: DataFrame
+    vectors: DataFrame
+
+
+def _weigh(history: DataFrame, model: TfIdf) -> DataFrame:
+    return where_computed(model.vectors(history.select(
+        "message_id", "user_id", "created_at", "message_text", *SCOPES.values())),
+        "size(term_ids) > 0").select("message_id", "user_id", "created_at", "term_ids",
+                                     "weights", *SCOPES.values())
+
+
+def weighed(history: DataFrame, model: TfIdf) -> Weighed:
+    """A history prepared for many searches, such as those of a stream's batches."""
+    return Weighed(staged(scope_sizes(history), "scope-sizes"),
+                   staged(_weigh(history, model), "history-vectors"))
+
+
+def top_evidence(messages: DataFrame, history: DataFrame | Weighed, model: TfIdf, k: int = TOP_K,
                  block_rows: int = 2048, point_in_time: bool = False) -> DataFrame:
     """The best ``k`` history rows per message with a score above 0.2.
 
@@ -218,7 +240,8 @@ def top_evidence(messages: DataFrame, history: DataFrame, model: TfIdf, k: int =
     """
     scope = ["user_id", "kind", "id"]
     usable = messages.where(f"length({filled('message_text')}) >= {MIN_TEXT}")
-    sizes = staged(scope_sizes(history), "scope-sizes")
+    prepared = isinstance(history, Weighed)
+    sizes = history.sizes if prepared else staged(scope_sizes(history), "scope-sizes")
     scoped = staged(scoped_messages(usable, sizes), "message-scopes")
     # the scopes in use, with their time range
     used = staged(scoped.select(*scope).distinct().join(sizes, scope), "scopes-in-use")
@@ -228,9 +251,8 @@ def top_evidence(messages: DataFrame, history: DataFrame, model: TfIdf, k: int =
         "size(term_ids) > 0").select("message_id", *scope, "term_ids", "weights",
                      F.unix_micros(F.col("created_at").cast("timestamp")).alias("asked_at")))
     asked = asked.withColumn("scope_key", _scope_key()).drop(*scope)
-    candidates = (where_computed(model.vectors(history.select(
-        "message_id", "user_id", "created_at", "message_text", *SCOPES.values())),
-        "size(term_ids) > 0")
+    vectors = history.vectors if prepared else _weigh(history, model)
+    candidates = (vectors
         .select("message_id", "user_id", "created_at", "term_ids", "weights",
                 _scopes_of_row().alias("s"))
         .select("message_id", "user_id", "created_at", "term_ids", "weights", "s.*")

@@ -261,29 +261,45 @@ FEATURE_BLOCKS = {
 }
 
 
-def join_features(df: DataFrame, tables: HistoryTables, blocks: list[str],
+BLOCK_KEYS = {
+    "sender": ["user_id", "sender_key"], "user": ["user_id"],
+    "category": ["user_id", "conversation_type"], "business": ["user_id", "business_id"],
+    "group": ["user_id", "group_id"],
+}
+
+
+def keyed_features(tables: HistoryTables, blocks: list[str]) -> dict[str, DataFrame]:
+    """The keyed feature tables of the blocks, as plans."""
+    made = {
+        "sender": lambda: sender_features(sender_stats(tables.reactions, tables.history)),
+        "user": lambda: user_features(user_stats(tables.reactions, tables.daily)),
+        "category": lambda: category_features(tables.reactions, tables.history),
+        "business": lambda: business_features(tables.business_history),
+        "group": lambda: group_features(tables.group_members),
+    }
+    return {name: make() for name, make in made.items() if name in blocks}
+
+
+def stored_features(tables: HistoryTables, blocks: list[str]) -> dict[str, DataFrame]:
+    """The same, stored at once: a stream reads them per trigger instead of the history."""
+    return {name: staged(df, f"features-{name}")
+            for name, df in keyed_features(tables, blocks).items()}
+
+
+def join_features(df: DataFrame, features: dict[str, DataFrame],
                   hot: DataFrame | None = None) -> DataFrame:
-    """Left join the keyed feature blocks onto rows that carry the keys.
+    """Left join keyed feature tables onto rows that carry the keys.
 
     Works on a stream as well, since every right side is static.
     """
-    def add(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        return lookup(left, right, on, salt_by="message_id", hot=hot, hot_on=["user_id"])
-
     out = df
-    if "sender" in blocks:
-        out = add(out.withColumn("sender_key", sender_key(F.col("sender_user_id"))),
-                  sender_features(sender_stats(tables.reactions, tables.history)),
-                  ["user_id", "sender_key"]).drop("sender_key")
-    if "user" in blocks:
-        out = add(out, user_features(user_stats(tables.reactions, tables.daily)), ["user_id"])
-    if "category" in blocks:
-        out = add(out, category_features(tables.reactions, tables.history),
-                  ["user_id", "conversation_type"])
-    if "business" in blocks:
-        out = add(out, business_features(tables.business_history), ["user_id", "business_id"])
-    if "group" in blocks:
-        out = add(out, group_features(tables.group_members), ["user_id", "group_id"])
+    for name, right in features.items():
+        if name == "sender":
+            out = out.withColumn("sender_key", sender_key(F.col("sender_user_id")))
+        out = lookup(out, right, BLOCK_KEYS[name], salt_by="message_id", hot=hot,
+                     hot_on=["user_id"])
+        if name == "sender":
+            out = out.drop("sender_key")
     return out
 
 
@@ -308,7 +324,7 @@ def history_features(messages: DataFrame, tables: HistoryTables,
     keys = messages.select("message_id", "user_id", "sender_user_id", "group_id",
                            "business_id", "conversation_type")
     hot = hot_keys(keys, ["user_id"]) if split_hot_users else None
-    out = join_features(keys, tables, chosen, hot)
+    out = join_features(keys, keyed_features(tables, chosen), hot)
     if "dismissals" in chosen:
         out = out.join(similar_dismissals(messages, tables.reactions, tables.history),
                        "message_id", "left")

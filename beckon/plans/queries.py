@@ -681,7 +681,7 @@ def stream_route_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = traffic.tables(spark, sf_dir)
     out = scratch_path(spark, "stream-batches")
     arriving = _message_stream(spark, t).where("period = 'incoming'")
-    routed = streams.route_stream(arriving, t.accounts, t.history_tables)
+    routed = streams.route_stream(arriving, t.accounts, t.history_tables, traffic.scored(t.incoming))
     streams.drain(routed, f"{out}/checkpoint", sink=streams.finish_batches(
         t.history, ev.TfIdf.fit(t.history), f"{out}/data"))
     return spark.read.parquet(f"{out}/data").select(*OUT)

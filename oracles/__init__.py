@@ -414,8 +414,8 @@ ORACLES["stream_route"] = sql(
     f"SELECT {OUT} FROM checked", *ALL_NEEDS,
     extra={**r.decided("messages", scored=False), **r.checked(None)})
 ORACLES["stream_route_batches"] = sql(
-    "SELECT * FROM routed", *ALL_NEEDS, "incoming", "history",
-    extra={**EVIDENCE, **r.decided("incoming", scored=False), **r.checked("lists"),
+    "SELECT * FROM routed", *ALL_NEEDS, "scored", "incoming", "history",
+    extra={**EVIDENCE, **r.decided("incoming", scored=True), **r.checked("lists"),
            "consistent_input": "SELECT * FROM checked", "routed": r.CONSISTENT})
 ORACLES["stream_sender_stats"] = sql("SELECT * FROM sender_stats", "sender_stats")
 ORACLES["stream_daily_load"] = sql(
