@@ -72,14 +72,15 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0,
     ``copies`` is how often the mix takes the document (0 to ``ceil(most)``) and
     ``taken`` the words it takes that way.  A null text has size 0; a null source
     is a source of its own, after all others; a source without words has target 0
-    and no copies.  Rows with the same id and text get the same draw.  Input columns
+    and no copies.  Rows with the same id get the same draw.  Input columns
     named like a result are replaced.  Runs jobs at once to find the targets.
     """
     sized = without(docs, RESULTS).withColumn("size", words(F.col("text")))
     targets = source_targets(sized.select("source", "size"), share, most, weights)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(
-        F.coalesce(F.col("text"), F.lit("")).cast("binary"))), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    # 48 bits of a digest of seed and id, which SQL elsewhere can repeat.
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    draw = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     keys = targets.withColumnRenamed("source", "__source")
     return (
         sized.join(keys, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from beckon.llm import language, line_dedup, mixing, ngram_join, packing, quality, sharding, substring, topk, toxicity
 from beckon.llm.common import bounded_sample, fold, read, text_crc32
+from beckon.llm.oracles import ORACLES
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -91,4 +92,5 @@ QUERIES = {q.__name__: q for q in (
     op1_uniform_shards, op2_exact_top_k, op3_toxicity, op4_best_fit_packing,
     op5_line_dedup, op6_ngram_jaccard,
     op7_repeated_bytes, op8_language_id, op9_source_mix, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES", "vocabulary_path"]
