@@ -11,6 +11,7 @@ from its rank among the pieces of its length.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from beckon.llm.common import parts_for, stored
 
-#: The tokenizer's words that a worker keeps; then it starts anew.
+#: The tokenizer's words that a worker keeps.
 CACHE_WORDS = 400_000
 #: Pieces that are ranked in one task.
 RANK_ROWS = 200_000
@@ -30,47 +31,74 @@ END_ID = 1
 RESULTS = ("doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")
 
 
-class WordTokenizer:
+#: Printable stand-ins for bytes in byte-level vocabularies: printable Latin-1 bytes stand
+#: for themselves, the others for the characters from 256 on.
+_PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTES = {b: chr(b) for b in _PLAIN} | {
+    b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_PROBES = ["Straße", "ÉTÉ", "tokenization", "ab", "ñandú"]
+
+
+class WordTokenizer(dict):
     """Token ids of texts as little-endian unsigned 32-bit numbers, by cached words.
 
     For tokenizers whose tokens never hold white space and whose normaliser looks at
     no neighbour across it, a text's ids are those of its words, one after another.
-    A word of letters with a final full stop or comma is those of both parts.
+    A word of letters with a final full stop or comma is those of both parts.  Words of
+    Latin letters go straight to the vocabulary's model, lower-cased, where probes show
+    that this is what the whole tokenizer does.  The dict maps words to ids.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: set[bytes]) -> None:
-        texts = {w: w.decode() for w in words}
-        parts = {w: (w[:-1], w[-1:]) for w, t in texts.items() if t[-1] in ".," and t[:-1].isalpha()}
-        new = [w for w in words if w not in parts]
-        new += {p for pair in parts.values() for p in pair if p not in self.known} - words
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for w, e in zip(new, encoded):
-            self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        for w, (a, b) in parts.items():
-            self.known[w] = self.known[a] + self.known[b]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """One value a text; texts are taken in groups of about a million characters."""
-        group: list[list[bytes]] = []
-        size = 0
-        for i, text in enumerate(texts):
-            # Bytes split at ASCII white space alone; other kinds are for the tokenizer to drop.
-            group.append(text.encode().split())
-            size += len(text)
-            if size > 1 << 20 or i == len(texts) - 1:
-                found = set().union(*group)
-                if len(self.known) + len(found) > CACHE_WORDS:
-                    self.known.clear()
-                self._learn(found - self.known.keys())
-                for words in group:
-                    yield b"".join(map(self.known.__getitem__, words))
-                group, size = [], 0
+        self.model = self.tokenizer.model
+        self.direct = [self._letters(w) for w in _PROBES] == [self._ids(w) for w in _PROBES]
+
+    def _ids(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a word of Latin letters; None for other words."""
+        low = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
+        if not low.isalpha() or max(low) > "\u024f":
+            return None
+        if not low.isascii():
+            low = "".join(map(_BYTES.__getitem__, low.encode()))
+        ids = [t.id for t in self.model.tokenize(low)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if text[-1] in ".," and text[:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1:]]
+        else:
+            low = word.lower()
+            if self.direct and low != word and text.isascii() and text.isalpha():
+                ids = self[low]
+            else:
+                ids = (self._letters(text) if self.direct else None) or self._ids(text)
+        self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """Bytes are split at ASCII white space alone; other kinds are for the tokenizer to drop."""
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.encode().split()))
+
+
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer a process, so that a worker's tasks share its words."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def tokenized_pieces(docs: DataFrame, path: str, seq_len: int, with_ids: bool = False) -> DataFrame:
@@ -84,14 +112,16 @@ def tokenized_pieces(docs: DataFrame, path: str, seq_len: int, with_ids: bool =
     step = 4 * seq_len
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        from beckon.llm.packing import worker_tokenizer  # the module's, which outlives the task
+
+        tokenizer = worker_tokenizer(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows: list[list] = [[] for _ in fields]
                 texts = [x or "" for x in part["text"].to_pylist()]
-                for doc, ids in zip(part["doc_id"].to_pylist(), tokenizer.encode(texts)):
-                    ids += end
+                for doc, text in zip(part["doc_id"].to_pylist(), texts):
+                    ids = tokenizer.encode(text) + end
                     for k, i in enumerate(range(0, len(ids), step)):
                         own = ids[i:i + step]
                         for column, value in zip(rows, (doc, k, i // 4, len(own) // 4, zlib.crc32(own), own)):
