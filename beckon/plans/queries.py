@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from beckon.operators.consistency import enforce_consistency, identity_key
 from beckon.plans import routing, traffic
 from beckon.session import scratch_path, staged, where_computed
 from beckon.sources import artefacts
-from beckon.sources.tables import read_table, write_predictions
+from beckon.sources.tables import read_table, spark_schema, write_predictions
 from beckon.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -340,6 +341,52 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, path, "output")
 
 
+def _shaped(df: DataFrame, name: str) -> DataFrame:
+    """The declared columns of a table; NULL where the data has no such column."""
+    schema = spark_schema(name)
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType)
+                       .alias(f.name) for f in schema])
+
+
+@query
+def tables_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every input table written as CSV and read with its declared schema: rows and keys."""
+    t = traffic.tables(spark, sf_dir)
+    path = scratch_path(spark, "tables")
+    labelled = t.messages.join(traffic.truth(t.messages), "message_id").withColumnRenamed(
+        "true_action", "action")
+    made = {
+        "messages": (t.incoming, "message_id"), "sample_messages": (labelled, "message_id"),
+        "message_history": (t.history, "message_id"), "message_events": (t.reactions, "message_id"),
+        "daily_notification_summary": (t.daily, "user_id"),
+        "business_accounts": (t.accounts, "business_id"), "group_members": (t.members, "group_id"),
+        "user_business_history": (t.relations, "business_id"), "images": (t.images, "image_id"),
+        "voice_notes": (t.voice_notes, "voice_note_id"),
+        "users": (traffic.read(spark, sf_dir, "customer").select(F.concat(
+            F.lit("u_"), F.col("c_custkey").cast("string")).alias("user_id")), "user_id"),
+        "groups": (t.members.select("group_id").distinct(), "group_id"),
+    }
+    counts = []
+    for name, (df, key) in made.items():
+        _shaped(df, name).write.options(
+            header="true", quote='"', escape='"', timestampFormat="yyyy-MM-dd HH:mm").csv(
+                f"{path}/{name}.csv")
+        counts.append(read_table(spark, path, name).agg(
+            F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"),
+            F.count_distinct(key).alias("keys")))
+    return reduce(DataFrame.unionAll, counts)
+
+
+@query
+def artefact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts written as JSON lines and read back; a path without files gives no rows."""
+    t = traffic.tables(spark, sf_dir)
+    path = scratch_path(spark, "artefacts")
+    artefacts.write_json(traffic.transcript_json(t.messages), f"{path}/voice")
+    absent = artefacts.json_objects(spark, f"{path}/absent")
+    return artefacts.transcripts(artefacts.json_objects(spark, f"{path}/voice").unionByName(absent))
+
+
 # --- types, reasons, checks ------------------------------------------------
 
 @query

@@ -15,8 +15,8 @@ RESPONSE = ("urgency string, category string, has_deadline string, extracted_tex
 RAW_REASON = "Raw response from vision model"
 
 
-def json_objects(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
-    """One JSON object per row: a whole file, or one per line at scale.
+def json_objects(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
+    """One JSON object per row: one per line, or a whole file, which one task reads.
 
     A path that does not exist gives no rows.
     """
@@ -77,5 +77,5 @@ def media_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """An artefact as JSON lines."""
-    df.write.mode("overwrite").json(path)
+    """JSON objects, one per row in ``value``, as lines."""
+    df.select("value").write.mode("overwrite").text(path)

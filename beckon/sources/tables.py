@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 MESSAGE = ("message_id string, user_id string, conversation_type string, group_id string, "
@@ -56,6 +57,11 @@ OUTPUT_COLUMNS = ["message_id", "action", "message_type", "reason", "confidence"
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
 
+def spark_schema(name: str) -> StructType:
+    """The declared schema of a table."""
+    return StructType.fromDDL(SCHEMAS[name])
+
+
 def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "csv",
                missing_ok: bool = False) -> DataFrame:
     """A named table with its declared schema, never inferred.

@@ -41,7 +41,7 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - start, 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({
-        "metric": "total_query_seconds", "value": round(sum(seconds.values()), 3),
+        "metric": "total_seconds_with_prepare", "value": round(sum(seconds.values()) + prepare, 3),
         "unit": "sec", "queries": seconds, "prepare": round(prepare, 3), "sf": sf_dir,
         "cores": int(cores)}))
 

@@ -246,6 +246,22 @@ ORACLES["csv_round_trip"] = (
     "'personal' AS message_type, text AS reason, turn / 8 AS confidence, "
     "role AS evidence_message_ids FROM conversations")
 
+ORACLES["artefact_round_trip"] = sql(
+    "SELECT message_id, tail AS transcript FROM messages WHERE media_type = 'voice'", "messages")
+_KEYED = {
+    "messages": ("incoming", "message_id"), "sample_messages": ("messages", "message_id"),
+    "message_history": ("history", "message_id"), "message_events": ("history", "message_id"),
+    "daily_notification_summary": (
+        "(SELECT DISTINCT user_id, created_at::DATE AS d FROM history)", "user_id"),
+    "business_accounts": ("supplier", "s_suppkey"), "group_members": ("members", "group_id"),
+    "user_business_history": ("relations", "business_id"), "images": ("part", "p_partkey"),
+    "voice_notes": ("customer", "c_custkey"), "users": ("customer", "c_custkey"),
+    "groups": ("(SELECT DISTINCT group_id FROM members)", "group_id"),
+}
+ORACLES["tables_round_trip"] = sql(" UNION ALL ".join(
+    f"SELECT '{name}' AS \"table\", count(*) AS \"rows\", count(DISTINCT {key}) AS keys FROM {table}"
+    for name, (table, key) in _KEYED.items()), "incoming", "history", "members", "relations")
+
 # --- types, reasons, checks ------------------------------------------------
 ORACLES["message_type"] = sql(
     "SELECT message_id, " + ", ".join(

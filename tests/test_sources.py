@@ -27,8 +27,8 @@ def test_multiline_csv_and_missing_table(spark, tmp_path):
 def test_artefacts_enrich_messages(spark, tmp_path, make_messages):
     (tmp_path / "voice.json").write_text(json.dumps({"m0": "spoken words", "m1": None}))
     (tmp_path / "image.json").write_text(json.dumps({"m2": {"urgency": "high", "category": None}}))
-    voice = artefacts.transcripts(artefacts.json_objects(spark, str(tmp_path / "voice.json")))
-    image = artefacts.analyses(artefacts.json_objects(spark, str(tmp_path / "image.json")))
+    voice = artefacts.transcripts(artefacts.json_objects(spark, str(tmp_path / "voice.json"), whole_file=True))
+    image = artefacts.analyses(artefacts.json_objects(spark, str(tmp_path / "image.json"), whole_file=True))
     assert artefacts.json_objects(spark, str(tmp_path / "none.json")).count() == 0
     messages = make_messages({"message_text": " ", "media_type": "voice"},
                              {"message_text": None, "media_type": "voice"},
