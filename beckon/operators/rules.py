@@ -16,6 +16,7 @@ from beckon.functions.match import (
 )
 from beckon.session import where_computed
 
+# --- fixed values: reason and confidence of the guard ----------------------
 GUARD_REASON = ("Blocked by security guardrail: prompt injection or "
                 "router-manipulation attempt detected.")
 GUARD_CONFIDENCE = 0.99

@@ -24,6 +24,7 @@ KEPT_TYPES = {
     "promotion": ["promotion", "spam", "scam"],
     "payment": ["payment", "scam", "spam", "promotion", "urgent", "event", "business_update"],
 }
+# --- fixed values: review limit, text of the fallback ----------------------
 REVIEW_BELOW = 0.60
 FALLBACK_REASON = "Fallback: Output validation failed after 3 retries."
 
@@ -49,6 +50,7 @@ def with_verification(df: DataFrame, signal: str = "reason") -> DataFrame:
     fix = case([(test, f"if(message_type NOT IN {quoted_list(KEPT_TYPES[kind])}, "
                        f"{quoted(kind)}, NULL)") for kind, test in found.items()])
     unsafe = "coalesce(_type_fix, message_type) IN ('scam', 'spam') AND action != 'mute'"
+    # fixed values: layout of corrections and of the trace line
     corrections = (
         "array_compact(array("
         "concat('type:', message_type, '->', _type_fix, '(reason_match)'), "

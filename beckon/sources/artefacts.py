@@ -12,6 +12,7 @@ ANALYSIS = ("struct<urgency:string,category:string,has_deadline:boolean,"
 # the flag is read as text: responses hold true, "true", 1 and the like
 RESPONSE = ("urgency string, category string, has_deadline string, extracted_text string, "
             "reason string, _corrupt_record string")
+# fixed value: reason of a response that holds no object
 RAW_REASON = "Raw response from vision model"
 
 

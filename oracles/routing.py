@@ -54,6 +54,7 @@ RULES = f"""
         AND NOT {has('low', L.RULE_SELLER)} THEN 'R8' END AS rule_id
     FROM signals m LEFT JOIN accounts a ON a.business_id = m.business_id)"""
 
+# fixed values: reason texts of the rules
 RULE_REASON = f"""CASE rule_id
   WHEN 'R0' THEN 'High-risk business account: unverified/lookalike domain with high user reports - likely phishing'
   WHEN 'R1a' THEN 'Message forwarded ' || fc || ' times - likely spam chain content'
@@ -171,6 +172,7 @@ def decided(source: str, scored: bool, enriched: bool = False) -> dict[str, str]
     }
 
 
+# fixed values: reason texts by action and type
 REASON = """CASE action
   WHEN 'notify' THEN CASE
     WHEN has_specific_time AND message_type = 'urgent'
