@@ -24,6 +24,8 @@ from beckon.llm.common import parts_for, stored, without
 LENGTH, GRAM = 200, 32
 #: Bytes hashed at once; bytes of texts of which phrases are counted together; entries of a bucket.
 CHUNK, BATCH, ENTRIES = 1 << 20, 8 << 20, 500_000
+#: Phrases of a trigger that meet in one call.
+PHRASES = 5000
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -117,12 +119,6 @@ def phrases(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     return [np.concatenate(c) if c else np.empty(0, np.int64) for c in found]
 
 
-def windows(text: bytes, start: int, many: int, length: int = LENGTH) -> np.ndarray:
-    """Fingerprints of ``many`` windows of a text from ``start`` on."""
-    hashed = Hashed(np.frombuffer(text[start:start + many + length - 1], np.uint8))
-    return hashed.part(np.arange(many), length).view(np.int64)
-
-
 def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
     """Texts with their ids, in groups of about ``BATCH`` bytes."""
     ids, texts, size = [], [], 0
@@ -212,30 +208,71 @@ def _repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     """``trigger, phrase, offsets``: which windows of dictionary phrases are in two or more of them.
 
     ``texts`` has ``text`` and ``reps``, the dictionary phrases that it stands for.
+    Phrases of a trigger meet in a bucket of triggers; what has so many phrases that a
+    call would not be bounded meets window by window instead.
     """
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[list] = [[], [], []]
             for text, reps in zip(batch["text"], batch["reps"]):
                 data = text.as_py().encode()
-                rows = reps.as_py() or []
-                for at in range(0, len(rows), 500):
-                    part = rows[at:at + 500]
-                    prints = [windows(data, r["start"], r["windows"], length) for r in part]
-                    many = [len(p) for p in prints]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate(prints)),
-                        *[pa.array(np.repeat(np.array([r[k] for r in part], np.int64), many))
-                          for k in ("trigger", "phrase")],
-                        pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in many]))],
-                        ["window", "trigger", "phrase", "offset"])
-
-    rows = texts.where("size(reps) > 0").select("text", "reps").mapInArrow(
-        spell, "window long, trigger long, phrase long, offset int")
-    rows = stored(rows, "substring-windows")
+                for r in reps.as_py() or []:
+                    rows[0].append(r["trigger"])
+                    rows[1].append(r["phrase"])
+                    rows[2].append(data[r["start"]:r["start"] + r["windows"] + length - 1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())],
+                ["trigger", "phrase", "bytes"])
+
+    def prints(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprint, phrase number and offset of every window of every phrase."""
+        hashed = Hashed(np.frombuffer(b"".join(parts), np.uint8))
+        many = np.array([len(p) for p in parts]) - (length - 1)
+        own = np.repeat(np.arange(len(parts)), many)
+        offset = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+        start = np.cumsum(many + length - 1) - (many + length - 1)
+        return hashed.part(start[own] + offset, length).view(np.int64), own, offset
+
+    def meet(bucket: pa.Table) -> pa.Table:
+        rows: list[list] = [[], [], []]
+        trigger, phrase = bucket["trigger"].to_numpy(), bucket["phrase"].to_numpy()
+        window, own, offset = prints([x.as_py() for x in bucket["bytes"]])
+        turn = np.argsort(window, kind="stable")
+        same = window[turn][1:] == window[turn][:-1]
+        again = np.zeros(len(window), bool)
+        again[turn[1:]] |= same
+        again[turn[:-1]] |= same
+        own, offset = own[again], offset[again]
+        cuts = np.searchsorted(own, np.arange(len(phrase) + 1))
+        for i in np.unique(own):
+            for column, value in zip(rows, (trigger[i], phrase[i], offset[cuts[i]:cuts[i + 1]].astype(np.int32))):
+                column.append(value)
+        return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()),
+                         pa.array(rows[2], pa.list_(pa.int32()))], ["trigger", "phrase", "offsets"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                window, own, offset = prints([x.as_py() for x in part["bytes"]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(window), *[pa.array(part[c].to_numpy()[own]) for c in ("trigger", "phrase")],
+                     pa.array(offset.astype(np.int32))], ["window", "trigger", "phrase", "offset"])
+
+    spelled = stored(texts.where("size(reps) > 0").select("text", "reps").mapInArrow(
+        spell, "trigger long, phrase long, bytes binary"), "substring-spelled")
+    large = stored(spelled.groupBy(F.col("trigger").alias("large")).count().where(
+        F.col("count") > PHRASES).select("large"), "substring-large")
+    buckets = parts_for(spelled.count(), 4 * PHRASES)
+    small = (spelled.join(large, F.col("trigger") == F.col("large"), "left_anti")
+             .groupBy(F.pmod("trigger", F.lit(buckets)).alias("bucket"))
+             .applyInArrow(meet, "trigger long, phrase long, offsets array<int>"))
+    rows = spelled.join(large, F.col("trigger") == F.col("large"), "left_semi").mapInArrow(
+        spread, "window long, trigger long, phrase long, offset int")
     # A window is in a phrase once, so least and greatest phrase tell whether it is in several.
     again = rows.groupBy("window").agg(F.min("phrase").alias("x"), F.max("phrase").alias("y")).where("x <> y")
-    return rows.join(again.select("window"), "window").groupBy("trigger", "phrase").agg(
-        F.sort_array(F.collect_list("offset")).alias("offsets"))
+    return small.union(rows.join(again.select("window"), "window").groupBy("trigger", "phrase").agg(
+        F.sort_array(F.collect_list("offset")).alias("offsets")))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

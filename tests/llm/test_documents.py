@@ -135,7 +135,8 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch, members):
     assert left.count() == sum(n > len(g) for n, g, _ in expected.values())
 
 
-def test_repeated_bytes_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("phrases", [5000, 2])
+def test_repeated_bytes_match_brute_force(spark, monkeypatch, phrases):
     import hashlib
     rng = random.Random(3)
     length = 48
@@ -149,6 +150,7 @@ def test_repeated_bytes_match_brute_force(spark, monkeypatch):
         texts.append(own[:at] + p[a:a + rng.randrange(20, 90)] + own[at:])
     texts += [texts[8], texts[8]]
     monkeypatch.setattr(substring, "CHUNK", 1024)  # more than one group of texts
+    monkeypatch.setattr(substring, "PHRASES", phrases)
     data = [t.encode() for t in texts]
     count = Counter(d[k:k + length] for d in data for k in range(len(d) - length + 1))
     got = {r.doc_id: r for r in substring.remove_repeats(table(spark, enumerate_rows(texts)), length).collect()}
