@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beckon.llm import sharing
@@ -33,6 +33,8 @@ WORDS, PERCENT = 5, 80
 FREQUENT = 50_000
 #: Share of a set beyond the plain prefix that is looked at too.
 MORE = 0.05
+#: The same for the few sets that may have a partner, whose groups are opened.
+MORE_OPEN = 0.2
 #: Texts hashed at once; entries of a bucket of shingles; members of a group compared in one call.
 TEXTS, ENTRIES, MEMBERS, SEEDS, ASKING = 500, 500_000, 256, 32, 2000
 RESULTS = ("n_shingles", "component_id")
@@ -68,13 +70,13 @@ def set_key(tokens: np.ndarray) -> int:
     return int(np.frombuffer(xxhash.xxh3_64_digest(tokens.tobytes()), ">i8")[0]) if len(tokens) else 0
 
 
-def prefix_size(n: int, percent: int = PERCENT) -> int:
-    return min(n, n - -(-percent * n // 100) + 1 + int(MORE * n))
+def prefix_size(n: int, more: float = MORE, percent: int = PERCENT) -> int:
+    return min(n, n - -(-percent * n // 100) + 1 + int(more * n))
 
 
-def least_shared(n: int, percent: int = PERCENT) -> int:
-    """A partner has ``percent`` of n shingles at least, so its prefix is this much longer at least."""
-    return 1 + int(MORE * (percent * n // 100))
+def least_shared(n: Column, more: float) -> Column:
+    """A partner has ``PERCENT`` of n shingles at least, so its prefix is this much longer at least."""
+    return 1 + F.floor(F.lit(more) * F.floor(F.lit(PERCENT) * n / 100))
 
 
 class Order:
@@ -85,8 +87,8 @@ class Order:
         self.ranks = np.argsort(tokens)  # place in the list, for each of the sorted tokens
         self.tokens = tokens[self.ranks]
 
-    def prefix(self, tokens: np.ndarray) -> np.ndarray:
-        size = prefix_size(len(tokens))
+    def prefix(self, tokens: np.ndarray, more: float = MORE) -> np.ndarray:
+        size = prefix_size(len(tokens), more)
         if not len(self.tokens) or not len(tokens):
             return tokens[:size]
         at = np.searchsorted(self.tokens, tokens)
@@ -109,8 +111,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (n + m - shared)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """``kind, doc, n, key, token, many``: a row a document, and in-batch frequent shingles."""
+def _survey(docs: DataFrame) -> DataFrame:
+    """Rows of ``doc_id, c, n, key`` (kind 0), and frequent shingles ``token, many`` (kind 1)."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,17 +125,19 @@ def _sets(docs: DataFrame) -> DataFrame:
                 often = many >= 4
                 tokens, many = tokens[often], many[often]
                 n, extra = part.num_rows, len(tokens)
-                none = pa.nulls(extra, pa.int64())
+                none, rest = pa.nulls(extra, pa.int64()), pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays([
                     pa.array([0] * n + [1] * extra, pa.int32()),
-                    pa.concat_arrays([part["__row"].cast(pa.int64()), none]),
+                    pa.concat_arrays([part["doc_id"], pa.nulls(extra, part["doc_id"].type)]),
+                    pa.concat_arrays([part["c"], none]),
                     pa.concat_arrays([pa.array(list(map(len, sets)), pa.int64()), none]),
                     pa.concat_arrays([pa.array(keys, pa.int64()), none]),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tokens)]),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(many)])],
-                    ["kind", "row", "n", "key", "token", "many"])
+                    pa.concat_arrays([rest, pa.array(tokens)]), pa.concat_arrays([rest, pa.array(many)])],
+                    ["kind", "doc_id", "c", "n", "key", "token", "many"])
 
-    return docs.mapInArrow(survey, "kind int, row long, n long, key long, token long, many long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "c", "text").mapInArrow(
+        survey, f"kind int, doc_id {kind}, c long, n long, key long, token long, many long")
 
 
 def _partnered(docs: DataFrame, order: Order, buckets: int) -> DataFrame:
@@ -155,32 +159,32 @@ def _partnered(docs: DataFrame, order: Order, buckets: int) -> DataFrame:
                 yield sharing.pack(keys, np.concatenate(prefixes), own, buckets)
 
     return (docs.select("text").mapInArrow(deal, sharing.PACKED).groupBy("bucket")
-            .applyInArrow(sharing.meet, "key long, shared long")
-            .groupBy("key").agg(F.sum("shared").alias("shared")))
+            .applyInArrow(lambda t: sharing.meet(t, buckets), sharing.PACKED).groupBy("bucket")
+            .applyInArrow(sharing.total, "key long, shared long"))
 
 
-def _linked_groups(sets: DataFrame, order: Order) -> tuple[DataFrame, DataFrame]:
-    """Partition sets into groups of similar ones; links that this finds.
+def _met(sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` between sets that meet: those with the same least shingle under a hash.
 
-    Sets with the same first shingle in the order meet.  A set joins the first leader
-    that it is similar to, or leads.  Where very many meet they are cut into chunks,
-    and each chunk begins with the same seeds, so that one large family has the same
-    leaders everywhere.
+    A set joins every family of those that meet in which it is similar to a member.
+    Where very many meet they are cut into chunks, and each chunk begins with the same
+    seeds, so that one large family holds together.
     """
-
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = [int(order.prefix(shingles(x.as_py()))[0]) for x in batch["text"]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.int64())],
-                                             [*batch.schema.names, "head"])
-
-    headed = stored(sets.mapInArrow(first, "key long, n long, text string, head long"), "ngram-heads")
-    many = headed.groupBy("head").count().where(F.col("count") > 1).select(
-        F.col("head").alias("of"), F.ceil(F.col("count") / MEMBERS).cast("int").alias("chunks"))
-    together = headed.join(many, F.col("head") == F.col("of"), "left").drop("of").withColumn(
-        "chunks", F.coalesce("chunks", F.lit(1)))
-    plain = together.withColumn("chunk", F.pmod(F.col("key"), F.col("chunks")).cast("int")).withColumn(
-        "seed", F.lit(0))
+            tokens = [shingles(x.as_py()) for x in batch["text"]]
+            heads = [[int(t[0]), int(_mixed(t.view(np.uint64)).min().view(np.int64))] for t in tokens]
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["text"], pa.array(heads, pa.list_(pa.int64()))],
+                                             ["key", "text", "heads"])
+
+    headed = sets.select("key", "text").mapInArrow(first, "key long, text string, heads array<long>").select(
+        "key", "text", F.posexplode("heads").alias("turn", "head"))
+    headed = headed.select("key", "text", F.xxhash64("turn", "head").alias("head"))
+    headed = stored(headed, "ngram-heads")
+    many = headed.groupBy(F.col("head").alias("of")).count().where(F.col("count") > 1).select(
+        "of", F.ceil(F.col("count") / MEMBERS).cast("int").alias("chunks"))
+    together = headed.join(many, F.col("head") == F.col("of")).drop("of")
+    plain = together.withColumn("chunk", F.pmod("key", "chunks").cast("int")).withColumn("seed", F.lit(0))
     seeds = (together.where("chunks > 1").withColumn("__n", F.expr(
         "row_number() OVER (PARTITION BY head ORDER BY key)")).where(F.col("__n") <= SEEDS).drop("__n")
         .withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("seed", F.lit(1)))
@@ -188,29 +192,24 @@ def _linked_groups(sets: DataFrame, order: Order) -> tuple[DataFrame, DataFrame]
     def gather(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["seed"].to_pylist(), table["key"].to_pylist(), table["text"].to_pylist()),
                       key=lambda r: (-r[0], r[1]))
-        leaders: list[tuple[int, np.ndarray]] = []
-        joined: dict[int, int] = {}
-        for seed, key, text in rows:
-            if key in joined:
+        families: list[list[tuple[int, np.ndarray]]] = []
+        links, done = [], set()
+        for _, key, text in rows:
+            if key in done:  # a seed comes twice in its own chunk
                 continue
-            if len(rows) == 1:
-                joined[key] = key
-                break
+            done.add(key)
             tokens = shingles(text)
-            for leader, other in leaders:
-                if similar(tokens, other):
-                    joined[key] = leader
-                    break
-            else:
-                joined[key] = key
-                leaders.append((key, tokens))
-        return pa.table([pa.array(joined.keys(), pa.int64()), pa.array(joined.values(), pa.int64())],
-                        ["key", "leader"])
-
-    grouped = plain.unionByName(seeds).select("head", "chunk", "seed", "key", "text").groupBy(
-        "head", "chunk").applyInArrow(gather, "key long, leader long").distinct()
-    grouped = stored(grouped, "ngram-groups")
-    return grouped, headed
+            # Leaders first, then the other members: one link to a family is enough.
+            mine = [f for f in families if any(similar(tokens, other) for _, other in f)]
+            joined = [(key, tokens)]
+            for f in mine:
+                links.append((key, f[0][0]))
+                joined = f + joined if len(f) > len(joined) else joined + f
+            families = [f for f in families if not any(f is x for x in mine)] + [joined]
+        return pa.table([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], ["a", "b"])
+
+    return plain.unionByName(seeds).select("head", "chunk", "seed", "key", "text").groupBy(
+        "head", "chunk").applyInArrow(gather, "a long, b long").distinct()
 
 
 def _open(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -248,41 +247,50 @@ def _links(docs: DataFrame, surveyed: DataFrame, order: Order, buckets: int) ->
     """Links ``a, b`` between set keys, enough to connect what similar pairs connect."""
     shared = _partnered(docs, order, buckets)
     sizes = surveyed.where("kind = 0 AND n > 0").groupBy("key").agg(
-        F.max("n").alias("n"), F.min("row").alias("row"))
-    alive = stored(sizes.join(shared, "key").where(
-        F.col("shared") >= 1 + F.floor(F.lit(MORE) * F.floor(F.lit(PERCENT) * F.col("n") / 100)))
-        .select("key", "n", "row"), "ngram-alive")
-    texts = stored(docs.join(alive, F.col("__row") == F.col("row")).select("key", "n", "text"), "ngram-texts")
-    grouped, headed = _linked_groups(texts, order)
-    grp = grouped.withColumnRenamed("leader", "grp")
+        F.max("n").alias("n"), F.min("c").alias("of"))
+    alive = stored(sizes.join(shared, "key").where(F.col("shared") >= least_shared(F.col("n"), MORE))
+                   .select("key", "n", "of"), "ngram-alive")
+    # The sets that may have a partner grow with the corpus: always a merge join.
+    texts = stored(docs.select("c", "text").join(alive.hint("merge"), F.col("c") == F.col("of"))
+                   .dropDuplicates(["key"]).select("key", "n", "text"), "ngram-texts")
+    met = stored(_met(texts), "ngram-met")
+    groups = connected_components(met)
+    grp = texts.select("key").join(groups, F.col("key") == F.col("node"), "left").select(
+        "key", F.coalesce("component", "key").alias("grp"))
+    size = grp.groupBy("grp").agg(F.count("*").alias("size"))
+    grp = stored(grp.join(size, "grp"), "ngram-groups")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
-                prefixes = [order.prefix(shingles(x.as_py())) for x in part["text"]]
+                prefixes = [order.prefix(shingles(x.as_py()), MORE_OPEN) for x in part["text"]]
                 many = [len(p) for p in prefixes]
-                columns = [np.repeat(part[c].to_numpy(), many) for c in ("key", "n", "grp")]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(prefixes)), *map(pa.array, columns)], ["token", "key", "n", "grp"])
-
-    rows = headed.join(grp, "key").select("key", "n", "grp", "text").mapInArrow(
-        expand, "token long, key long, n long, grp long")
-    both = rows.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("token")
-    rows = stored(rows.join(both, "token"), "ngram-tokens")
-    matrix = rows.select("token", F.col("grp").alias("to")).distinct()
-    pairs = (rows.join(matrix, "token").where("grp <> to").groupBy("key", "n", "to").count()
-             .where(F.col("count") >= 1 + F.floor(F.lit(MORE) * F.floor(F.lit(PERCENT) * F.col("n") / 100)))
+                columns = [np.repeat(part[c].to_numpy(), many) for c in ("key", "n", "grp", "size")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes)), *map(pa.array, columns)],
+                                                 ["token", "key", "n", "grp", "size"])
+
+    rows = texts.join(grp, "key").select("key", "n", "grp", "size", "text").mapInArrow(
+        expand, "token long, key long, n long, grp long, size long")
+    several = rows.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("token")
+    rows = stored(rows.join(several, "token"), "ngram-tokens")
+    # The matrix: a group's union of tokens.  Similarity is mutual, so it is enough that the
+    # sets of the smaller of two groups ask the larger one.
+    matrix = rows.select("token", F.col("grp").alias("to"), F.col("size").alias("of")).distinct()
+    pairs = (rows.join(matrix, "token").where("size < of OR (size = of AND grp < to)")
+             .groupBy("key", "n", "to").count()
+             .where(F.col("count") >= least_shared(F.col("n"), MORE_OPEN))
              .select("key", F.col("to").alias("grp")))
     pairs = stored(pairs, "ngram-pairs")
     # A group's members are connected, so one link is enough: few members are tried first.
-    few = grp.withColumn("__n", F.expr("row_number() OVER (PARTITION BY grp ORDER BY key)")).where(
+    members = grp.select("key", "grp")
+    few = members.withColumn("__n", F.expr("row_number() OVER (PARTITION BY grp ORDER BY key)")).where(
         F.col("__n") <= SEEDS).select("key", "grp")
     opened = stored(_open(pairs, few, texts), "ngram-opened")
     left = opened.groupBy("key", "grp").agg(F.max("other").alias("other")).where("other IS NULL")
-    rest = _open(stored(left.select("key", "grp"), "ngram-left"), grp, texts)
-    return (grouped.select(F.col("key").alias("a"), F.col("leader").alias("b"))
-            .union(opened.where("other IS NOT NULL").select("key", "other"))
+    large = members.join(size.where(F.col("size") > SEEDS).select("grp"), "grp", "left_semi")
+    rest = _open(stored(left.select("key", "grp"), "ngram-left"), large, texts)
+    return (met.union(opened.where("other IS NOT NULL").select("key", "other"))
             .union(rest.where("other IS NOT NULL").select("key", "other")))
 
 
@@ -293,37 +301,46 @@ def join_components(docs: DataFrame) -> DataFrame:
     what links reach, and its id the smallest ``doc_id`` in it (nulls last).  Texts
     without words have no shingles and are a component of their own row's id.
     Repeated rows are documents like others.  Input columns named like a result are
-    replaced.  Similarity is exact up to collisions of 64-bit shingle hashes.  Runs
-    jobs at once; intermediate tables go to the shared folder.
+    replaced.  Similarity is exact up to collisions of 64-bit hashes of shingles, sets
+    and texts.  Runs jobs at once; intermediate tables go to the shared folder.
     """
-    return _components(docs).drop("__row")
+    found = _components(docs).select(F.col("c").alias("__of"), *RESULTS[:1], F.col("least").alias("component_id"))
+    found = found.distinct()  # a row a text
+    return (without(docs, RESULTS).withColumn("__c", F.xxhash64("text"))
+            .join(found, F.col("__c") == F.col("__of")).withColumn("component_id", F.when(
+                F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+            .drop("__c", "__of"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the smallest id, of equal ids the first row."""
+    """One document of each component: that of the smallest id (nulls last), of equal ids one text.
+
+    Texts without words stay; of rows equal in id and text one stays.
+    """
     found = _components(docs)
-    first = (found.where("n_shingles > 0 AND (doc_id <=> component_id)")
-             .groupBy("component_id").agg(F.min("__row").alias("__first")))
-    keep = found.where("n_shingles = 0").select(F.col("__row").alias("__keep")).union(first.select("__first"))
-    return found.join(keep, F.col("__row") == F.col("__keep"), "left_semi").drop("__row", *RESULTS)
+    last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c")
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(last).alias("first")).select("first.*")
+    empty = found.where("n_shingles = 0").select(F.col("doc_id").isNull().alias("none"), "doc_id", "c")
+    keep = first.union(empty).distinct().toDF("__none", "__id", "__of")
+    own = docs.withColumn("__c", F.xxhash64("text"))
+    return (own.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__c") == F.col("__of")), "left_semi")
+            .dropDuplicates(["doc_id", "__c"]).drop("__c"))
 
 
 def _components(docs: DataFrame) -> DataFrame:
-    numbered = stored(without(docs, RESULTS).withColumn("__row", F.monotonically_increasing_id()), "ngram-rows")
-    lean = numbered.select("__row", "text")
-    surveyed = stored(_sets(lean), "ngram-sets")
+    """``doc_id, c, n_shingles, component, least``: a row a document, ``c`` the hash of its text."""
+    coded = docs.select("doc_id", F.xxhash64("text").alias("c"), "text")
+    surveyed = stored(_survey(coded), "ngram-survey")
     top = surveyed.where("kind = 1").groupBy("token").agg(F.sum("many").alias("many")).orderBy(
         F.desc("many"), "token").limit(FREQUENT).collect()
     order = Order([r.token for r in reversed(top)])
     total = surveyed.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    links = stored(_links(lean, surveyed, order, parts_for(math.ceil(total / 4), ENTRIES)), "ngram-links")
+    links = stored(_links(coded, surveyed, order, parts_for(math.ceil(total / 4), ENTRIES)), "ngram-links")
     of = connected_components(links)
-    rows = surveyed.where("kind = 0").select("row", "n", "key")
-    ids = numbered.select(F.col("__row").alias("row"), "doc_id")
-    keyed = stored(rows.join(ids, "row").join(of, F.col("key") == F.col("node"), "left").select(
-        "row", "doc_id", "n", F.coalesce("component", "key").alias("component")), "ngram-keyed")
-    least = keyed.where("n > 0").groupBy(F.col("component").alias("c")).agg(F.min("doc_id").alias("least"))
-    result = keyed.join(least, (F.col("component") == F.col("c")) & (F.col("n") > 0), "left").select(
-        "row", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
-    return numbered.join(result, F.col("__row") == F.col("row")).drop("row")
+    rows = surveyed.where("kind = 0").select("doc_id", "c", "n", "key")
+    keyed = stored(rows.join(of, F.col("key") == F.col("node"), "left").select(
+        "doc_id", "c", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component")),
+        "ngram-keyed")
+    least = keyed.where("n_shingles > 0").groupBy(F.col("component").alias("of")).agg(
+        F.min("doc_id").alias("least"))
+    return keyed.join(least, (F.col("component") == F.col("of")) & (F.col("n_shingles") > 0), "left").drop("of")

@@ -34,13 +34,12 @@ def pack(keys: np.ndarray, tokens: np.ndarray, own: np.ndarray, buckets: int) ->
         ["bucket", "kind", "entries"])
 
 
-def meet(bucket: pa.Table) -> pa.Table:
-    """``key, shared``: tokens of a bucket that a set shares with others."""
+def meet(bucket: pa.Table, parts_of_keys: int) -> pa.Table:
+    """Counts of tokens that sets share with others, packed again for parts of the keys."""
     parts: tuple[list, list] = ([], [])
     for kind, blob in zip(bucket["kind"].to_pylist(), bucket["entries"]):
-        if kind < 2:
-            parts[kind].append(np.frombuffer(blob.as_py(), np.int64).reshape(2, -1))
-    keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        parts[kind].append(np.frombuffer(blob.as_py(), np.int64).reshape(2, -1))
+    found = parts[1]
     if parts[0]:
         tokens, who = np.concatenate(parts[0], axis=1)
         turn = np.argsort(tokens, kind="stable")
@@ -50,12 +49,18 @@ def meet(bucket: pa.Table) -> pa.Table:
         # Copies of a set in several batches do not share with each other.
         low, high = np.minimum.reduceat(who, starts), np.maximum.reduceat(who, starts)
         several = np.repeat(low != high, sizes) & (who != 0)
-        # A shared entry of one batch alone has no single entries beside it.
-        mine, n = np.unique(who[several], return_counts=True)
-        keys.append(mine)
-        counts.append(n)
-    for a, b in parts[1]:
-        keys.append(a)
-        counts.append(b)
-    return pa.table([pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts).astype(np.int64))],
-                    ["key", "shared"])
+        found = [*found, np.stack(np.unique(who[several], return_counts=True))]
+    keys, counts = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+    place = (keys.view(np.uint64) % np.uint64(parts_of_keys)).astype(np.int64)
+    rows = np.unique(place)
+    return pa.table([pa.array(rows.astype(np.int32)), pa.array([1] * len(rows), pa.int32()), pa.array(
+        [np.stack((keys[place == b], counts[place == b])).tobytes() for b in rows], pa.binary())],
+        ["bucket", "kind", "entries"])
+
+
+def total(part: pa.Table) -> pa.Table:
+    """``key, shared``: the counts of a part's sets, summed."""
+    keys, counts = np.concatenate(
+        [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in part["entries"]], axis=1)
+    found, back = np.unique(keys, return_inverse=True)
+    return pa.table([pa.array(found), pa.array(np.bincount(back, counts).astype(np.int64))], ["key", "shared"])
