@@ -36,9 +36,15 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, rows: int, key: Column) -> DataFrame:
-    """At most ``rows`` rows, those with the smallest hash of ``key``: a top-k, no full sort."""
-    return (df.withColumn("__order", F.xxhash64(F.lit("sample"), key))
-            .orderBy("__order").limit(rows).drop("__order"))
+    """Rows with the ``rows`` smallest hashes of ``key``, one row a hash.
+
+    Runs a job at once on the hashes alone; the rows themselves are then filtered
+    where they are, so no task gets more than the sample.
+    """
+    hashed = df.withColumn("__order", F.xxhash64(F.lit("sample"), key))
+    last = (hashed.select("__order").distinct().orderBy("__order").limit(rows)
+            .agg(F.max("__order")).first()[0])
+    return hashed.where(F.col("__order") <= F.lit(last).cast("long")).dropDuplicates(["__order"]).drop("__order")
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
