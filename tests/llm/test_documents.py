@@ -135,6 +135,17 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch, members):
     assert left.count() == sum(n > len(g) for n, g, _ in expected.values())
 
 
+def test_line_sets_of_more_lines_than_fit_beside_a_code():
+    order = line_dedup.Words([])
+    n = (1 << 20) + 3
+    text, line, sizes, keys, words = line_dedup.line_sets(["a b\n" * n, "c d e\nb a"], order)
+    one = line_dedup.line_sets(["a b\nc d e"], order)
+    assert text.tolist() == [0] * n + [1, 1] and line.tolist() == [*range(n), 0, 1]
+    assert sizes.tolist() == [2] * n + [3, 2] and len(words) == 2 * n + 5
+    assert set(keys[:n].tolist()) == {int(one[3][0])} and keys[n:].tolist() == one[3][::-1].tolist()
+    assert words[:2].tolist() == one[4][:2].tolist() and words[-5:].tolist() == [*one[4][2:], *one[4][:2]]
+
+
 @pytest.mark.parametrize("phrases", [5000, 2])
 def test_repeated_bytes_match_brute_force(spark, monkeypatch, phrases):
     import hashlib
