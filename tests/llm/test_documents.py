@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,45 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch, members):
     assert left.count() == sum(n > len(g) for n, g, _ in expected.values())
 
 
+@pytest.mark.parametrize("hot", [(2048, 20_000), (8, 3)])
+def test_lines_of_hot_words_meet_in_chunks(spark, monkeypatch, hot):
+    """Lines that share all words but a number, some in families too small to be similar across."""
+    monkeypatch.setattr(line_dedup, "CHUNK", hot[0])
+    monkeypatch.setattr(line_dedup, "FEW", 64 if hot[0] == 2048 else 2)
+    monkeypatch.setattr(line_dedup, "BLOCK", 2)
+    monkeypatch.setattr(line_dedup, "HOT", hot[1])
+    monkeypatch.setattr(line_dedup, "ENTRIES", 40 if hot[0] == 8 else 500_000)
+    monkeypatch.setattr(line_dedup, "MEMBERS", 16)
+    monkeypatch.setattr(line_dedup, "SEEDS", 2)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(12)]
+    lines = [" ".join([*words[:9], f"n{i}"]) for i in range(60)]
+    lines += [" ".join(rng.sample(words, rng.randrange(4, 11))) for _ in range(150)]
+    lines += [" ".join([*words[2:9], *(f"{c}{i}" for c in "abc")]) for i in range(40)]
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i:i + 5]) for i in range(0, len(lines), 5)]
+    seen, expected = [], {}
+    for i, text in enumerate(texts):
+        expected[i] = []
+        for at, line in enumerate(text.split("\n")):
+            s = set(line.split())
+            if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                expected[i].append(at)
+            seen.append(s)
+    got = line_dedup.dedup_lines(table(spark, enumerate_rows(texts), 7)).collect()
+    assert {r.doc_id: r.removed_lines for r in got} == expected
+
+
+def test_steps_of_a_hot_word_are_bounded(monkeypatch):
+    monkeypatch.setattr(line_dedup, "CHUNK", 64)
+    entries = np.zeros(1000, line_dedup.ENTRY)
+    entries["token"], entries["n"], entries["key"] = 5, 10, np.arange(1000) // 2 + 1
+    entries["bits"] = np.uint64(1) << (entries["key"] % 60).astype(np.uint64)
+    chunks, asking, settled = line_dedup.hot_chunks(entries)
+    assert max(map(len, chunks)) == 64 and sum(map(len, chunks)) == 500
+    assert set(settled.tolist()) == set(range(1, 501)) and not sum(map(len, asking))
+
+
 def test_line_sets_of_more_lines_than_fit_beside_a_code():
     order = line_dedup.Words([])
     n = (1 << 20) + 3
