@@ -72,9 +72,10 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
 
     Queries are the vectors with ids divisible by ``every``; candidates are all but
     those with the query's own id; ties go to the smaller id; only vectors of the same
-    length are compared.  Equal vectors are scored once: of a vector's ids the k + 1
-    smallest can matter.  Blocks of queries meet blocks of candidates, each in a call
-    of bounded size, and return k + 1 ids a query.  Runs jobs to size the blocks.
+    length are compared.  Unequal vectors of one id are ranked each for itself.  Equal
+    vectors are scored once: of a vector's ids the k + 1 smallest can matter.  Blocks of
+    queries meet blocks of candidates and return k rows a query and as many more as a
+    query's id has vectors, since those are not counted.  Runs jobs to size the blocks.
     """
     rows = stored(quantized(vectors), "quantized")
     # Filtering the row number lets every task drop surplus ids before the shuffle.
@@ -83,6 +84,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     candidates = stored(few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "candidates")
     asked = stored(rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec").distinct()
                    .withColumn("query", F.monotonically_increasing_id()), "queries")
+    own = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+    most = k + own
     n_candidates, n_queries = candidates.count(), asked.count()
     blocks, groups = parts_for(n_candidates, CANDIDATES), parts_for(n_queries, QUERIES)
     left = asked.select(
@@ -100,8 +103,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
             flat = lambda t: t["vec"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
             queries = asked["query"].to_pylist()
             ids = block["ids"].to_pylist()
-            for query, (places, scores) in zip(queries, best_in_block(flat(asked), flat(block), k + 1)):
-                pairs = sorted((-s, i) for p, s in zip(places.tolist(), scores.tolist()) for i in ids[p])[:k + 1]
+            for query, (places, scores) in zip(queries, best_in_block(flat(asked), flat(block), most)):
+                pairs = sorted((-s, i) for p, s in zip(places.tolist(), scores.tolist()) for i in ids[p])[:most]
                 for score, vec_id in pairs:
                     for column, value in zip(out, (query, vec_id, -score)):
                         column.append(value)
@@ -111,12 +114,10 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         meet, "query long, vec_id long, score long")
     best = met.withColumn("__n", F.expr(
-        "row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)")).where(F.col("__n") <= k + 1)
+        "row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)")).where(F.col("__n") <= most)
     owners = rows.where(F.pmod("vec_id", F.lit(every)) == 0).join(asked, "vec").select(
         F.col("vec_id").alias("query_id"), "query")
     found = owners.join(best.drop("__n"), "query").where("query_id <> vec_id")
-    # Equal ids with unequal vectors are kept once, with the higher score.
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return (found.withColumn("rank", F.expr(
         "int(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))"))
         .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

@@ -34,6 +34,20 @@ def test_top_k_matches_brute_force(spark, monkeypatch, block):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_ranks_unequal_vectors_of_an_id(spark):
+    rng = random.Random(4)
+    vectors = lambda scale: [round(rng.gauss(0, scale), 2) for _ in range(20)]
+    rows = [(i, vectors(0.2)) for i in range(1, 60)] + [(7, vectors(2.0)) for _ in range(30)]
+    rows += [(0, vectors(0.4)) for _ in range(12)] + [(100, vectors(0.3))]
+    good = {(i, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v in rows}
+    expected = []
+    for q in (0, 50, 100):
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for j, v in good if j == q for i, w in good if i != q)
+        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(expected)
+
+
 def test_shards_are_exact_and_repeatable(spark, monkeypatch):
     monkeypatch.setattr(sharding, "RANK_ROWS", 20)
     monkeypatch.setattr(sharding, "LEVELS", 2)
