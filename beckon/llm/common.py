@@ -47,6 +47,23 @@ def bounded_sample(df: DataFrame, rows: int, key: Column) -> DataFrame:
     return hashed.where(F.col("__order") <= F.lit(last).cast("long")).dropDuplicates(["__order"]).drop("__order")
 
 
+def bounded_sample_each(df: DataFrame, rows: int, key: Column, of: str) -> DataFrame:
+    """The same for each value of the column ``of``, which has few values and no null.
+
+    Hashes are even, so a bound from the number of distinct ones leaves about twice
+    the sample to be ranked, whatever the size of the input.
+    """
+    hashed = df.withColumn("__order", F.xxhash64(F.lit("sample"), key))
+    hashes = hashed.select(of, "__order").distinct()
+    counts = hashes.groupBy(F.col(of).alias("__of")).agg(F.count("*").alias("__many"))
+    near = hashes.join(F.broadcast(counts), F.col(of) == F.col("__of")).where(
+        f"__order <= -9223372036854775808D + 18446744073709551616D * {2 * rows + 100} / __many")
+    ranked = near.withColumn("__n", F.expr(f"row_number() OVER (PARTITION BY {of} ORDER BY __order)"))
+    last = ranked.where(F.col("__n") <= rows).groupBy(F.col(of).alias("__of")).agg(F.max("__order").alias("__last"))
+    return (hashed.join(F.broadcast(last), (F.col(of) == F.col("__of")) & (F.col("__order") <= F.col("__last")))
+            .drop("__of", "__last").dropDuplicates([of, "__order"]).drop("__order"))
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Written to the shared folder and read back: cuts lineage, survives lost executors."""
     return staged(df, purpose)

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beckon.llm.common import bounded_sample, without
+from beckon.llm.common import bounded_sample_each, without
 
 #: Fixed parameters: longest n-gram and n-grams in a profile.
 LONGEST, PROFILE = 3, 300
-#: Most rows that the profiles are learned from.
+#: Most rows that a language's profile is learned from.
 FIT_ROWS = 4000
 #: Characters that are counted at once, which bounds a task's memory for very long texts.
 CHUNK = 1 << 20
@@ -111,13 +111,13 @@ class Profiles:
 def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Profiles:
     """Profiles from rows of ``text, lang``; rows with a null in either are left out.
 
-    At most ``rows`` rows are used, those with the smallest hash of text and language,
+    At most ``rows`` rows a language are used, those with the smallest hash of text and language,
     so equal inputs give equal profiles.  Counts are taken where the rows are; what
     reaches the driver is ``PROFILE`` n-grams a language.
     """
-    sample = bounded_sample(
+    sample = bounded_sample_each(
         labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang"),
-        rows, F.struct("text", "lang")).repartition(8, "text")
+        rows, F.struct("text", "lang"), "lang").repartition(8, "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, dict[int, int]] = {}

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from beckon.llm import (language, line_dedup, mixing, ngram_join, packing, quality, sharding,
+from beckon.llm import (common, language, line_dedup, mixing, ngram_join, packing, quality, sharding,
                         substring, toxicity)
 from beckon.llm.queries import vocabulary_path
 
@@ -357,6 +357,17 @@ def test_language_profiles(spark):
     assert language.fit(table(spark, rows[:1]).limit(0)).langs == []
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the common words of line {i}", "en") for i in range(400)] + [(900, "årets første øl", "da")] + [
+        (901 + i, f"zażółć gęślą jaźń {'ż' * i}", "pl") for i in range(5)]
+    profiles = language.fit(table(spark, rows).select("text", "lang"), rows=3)
+    assert profiles.langs == ["da", "en", "pl"]
+    assert profiles.predict("gęślą jaźń")[0] == "pl"
+    few = [r.n for r in common.bounded_sample_each(table(spark, rows), 3, F.struct("text", "lang"), "lang").groupBy(
+        "lang").agg(F.count("*").alias("n")).orderBy("lang").collect()]
+    assert few == [1, 3, 3]
+
+
 def test_ngram_counts_in_chunks(monkeypatch):
     text = "Ein Über-maß, an 3 Äpfeln! " * 40
     codes, counts = language.ngram_counts(text)
