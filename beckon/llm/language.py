@@ -161,3 +161,12 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
                 [*batch.schema.names, "lang_pred", "score"])
 
     return df.mapInArrow(label, schema)
+
+
+def with_letter(docs: DataFrame) -> DataFrame:
+    """Documents whose text has a letter, those that ``identify`` can give a language."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(len(letters(x.as_py() or ""))) for x in batch["text"]], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

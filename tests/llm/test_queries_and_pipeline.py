@@ -188,3 +188,14 @@ def test_stages_take_odd_and_empty_documents(spark):
             rows = corpus_pipeline.stored(stage(spark, rows, SMALL), f"test-{name}")
             assert name == corpus_pipeline.STAGES[-1][0] or rows.columns == before
         rows.count()
+
+
+def test_unlabelled_documents_stay(spark):
+    from tests.llm.test_documents import table
+
+    rows = [(1, "plain text", None, "a"), (2, "12 #!", None, "a"), (3, None, None, "a"), (4, "é", None, None), (5, "", None, "a")]
+    docs = table(spark, rows)
+    kept = corpus_pipeline.known_language(spark, docs, SMALL)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4]
+    labelled = docs.withColumn("lang", corpus_pipeline.F.lit("en"))
+    assert sorted(r.doc_id for r in corpus_pipeline.known_language(spark, labelled, SMALL).collect()) == [1, 4]
