@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beckon.llm import language, line_dedup, mixing, ngram_join, packing, quality, sharding, substring, topk, toxicity
+from beckon.llm import (language, line_dedup, mixing, ngram_join, packing, prefix_trie, quality, sharding,
+                        sketch_join, spelling, substring, topk, toxicity)
 from beckon.llm.common import bounded_sample, fold, read, text_crc32
 from beckon.llm.oracles import ORACLES
 
@@ -88,9 +89,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.BASE, "n_common_words", "kept")
 
 
+def op11_sketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set, its component and whether it is kept."""
+    found = sketch_join.near_duplicates(read(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of 7 letters and two occurrences with its form and root."""
+    words = spelling.count_words(read(spark, sf_dir).select("doc_id", "text"), letters=7, every=31, least=2)
+    return spelling.variants(words, times=10).select(*spelling.RESULTS)
+
+
 QUERIES = {q.__name__: q for q in (
     op1_uniform_shards, op2_exact_top_k, op3_toxicity, op4_best_fit_packing,
     op5_line_dedup, op6_ngram_jaccard,
-    op7_repeated_bytes, op8_language_id, op9_source_mix, op10_quality_rules)}
+    op7_repeated_bytes, op8_language_id, op9_source_mix, op10_quality_rules,
+    op11_sketch_near_duplicates, op12_prefix_trie, op13_spelling_variants)}
 
 __all__ = ["ORACLES", "QUERIES", "vocabulary_path"]
