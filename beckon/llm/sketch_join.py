@@ -148,16 +148,19 @@ def _sketched(docs: DataFrame) -> DataFrame:
         work, f"doc_id {kind}, c long, n long, key long, registers binary")
 
 
+def band_codes(registers: np.ndarray) -> np.ndarray:
+    """Codes of all bands; the number of the band is mixed in, so that bands do not meet each other."""
+    values = bands(registers).view(np.uint64)
+    return _mixed(_mixed(values) + np.arange(values.shape[1], dtype=np.uint64) * _MIX[2]).view(np.int64)
+
+
 def _banded(sets: DataFrame) -> DataFrame:
     """``band, key``: the bands of each set."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = bands(_stack(batch["registers"].to_pylist()))
-            # The number of the band is mixed in, so that bands do not meet each other.
-            coded = _mixed(_mixed(values.view(np.uint64)) + np.arange(values.shape[1], dtype=np.uint64) * _MIX[2])
+            coded = band_codes(_stack(batch["registers"].to_pylist()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(coded.view(np.int64).ravel()), pa.array(np.repeat(batch["key"].to_numpy(), values.shape[1]))],
-                ["band", "key"])
+                [pa.array(coded.ravel()), pa.array(np.repeat(batch["key"].to_numpy(), coded.shape[1]))], ["band", "key"])
 
     return sets.select("key", "registers").mapInArrow(work, "band long, key long")
 
@@ -219,7 +222,8 @@ def _still_open(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """``key, grp``: sets with components that one of their bands also holds and that are not ruled out.
 
     Members outside a band's largest component are held against all members of larger
-    components; both sides are cut into bounded chunks.
+    components; both sides are cut into bounded chunks.  Two sets that share several bands
+    are looked at in the first of them only.
     """
     sizes = rows.select("key", "comp").distinct().groupBy(F.col("comp").alias("c")).agg(F.count("*").alias("size"))
     sized = rows.join(sizes, F.col("comp") == F.col("c")).drop("c")
@@ -244,10 +248,13 @@ def _still_open(rows: DataFrame, sets: DataFrame) -> DataFrame:
         key, comp, size, n = (table[c].to_numpy() for c in ("key", "comp", "size", "n"))
         asks = np.array(table["asked"].to_pylist(), bool)
         registers = _stack(table["registers"].to_pylist())
+        codes = band_codes(registers)
         for own in np.split(turn, cuts):
             left, right = own[asks[own]], own[~asks[own]]
             for x in left:
                 y = right[(size[right] > size[x]) | ((size[right] == size[x]) & (comp[right] > comp[x]))]
+                first = codes[x][(codes[y] == codes[x]).argmax(axis=1)]
+                y = y[first == code[0][x]]
                 if len(y):
                     y = y[estimate(np.broadcast_to(registers[x], (len(y), REGISTERS)), registers[y],
                                    np.full(len(y), n[x]), n[y])[1]]
