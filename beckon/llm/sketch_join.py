@@ -11,8 +11,8 @@ Sets with equal registers in a band meet.  How many registers of two sets are la
 smaller and equal has a likelihood for each similarity, given their sizes; pairs for which
 the asked similarity is far less likely than the best are dropped, and the others are
 confirmed on their full sets.  Links serve components, so what already hangs together
-is not compared again:  first each band's members are held against one leader in turn; then,
-where a band still holds several components, the members of smaller ones are held against all others.
+is not compared again: first each band's members are held against a leader; then, where a band still
+holds several components, the members of smaller ones are held against all others.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ REGISTERS, BASE, RATE, BAND = 128, 1.001, 20.0, 4
 DOUBT = 12.0
 #: Sets of fewer shingles have no partner but their equals: 3 of 4 is less than 80 %.
 LEAST = 4
-#: Rounds of leaders, members met in one call, entries of bands met in one call.
-ROUNDS, MEMBERS, ENTRIES = 3, 256, 100_000
+#: Rounds of leaders, each with other ones, members met in one call, entries of bands met in one call.
+ROUNDS, MEMBERS, ENTRIES = 1, 256, 100_000
 #: Shingles sketched at once.
 PIECE = 1 << 18
 RESULTS = ("n_shingles", "component_id", "kept")
