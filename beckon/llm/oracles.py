@@ -99,10 +99,7 @@ lines AS MATERIALIZED (
   SELECT doc_id, source, text, {_KEY} AS k, len(regexp_extract_all(x, {W})) AS n
   FROM (SELECT doc_id, source, text, unnest(lines) AS x FROM d)),
 common AS (
-  SELECT source, k FROM lines JOIN (SELECT source AS s, count(DISTINCT text) AS docs FROM documents
-    GROUP BY ALL) ON source IS NOT DISTINCT FROM s
-  GROUP BY source, k, docs
-  HAVING count(DISTINCT text) >= 20 AND count(DISTINCT text) > docs * 0.05::DOUBLE),
+  SELECT source, k FROM lines GROUP BY source, k HAVING count(DISTINCT text) >= 10),
 shared AS (
   SELECT doc_id, sum(l.n)::BIGINT AS n FROM lines l JOIN common c
     ON l.k = c.k AND l.source IS NOT DISTINCT FROM c.source GROUP BY doc_id),
@@ -113,7 +110,7 @@ counted AS (
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     coalesce(r.n, 0) AS n_repeat_words, coalesce(c.n, 0) AS n_common_words
   FROM d LEFT JOIN repeats r USING (doc_id) LEFT JOIN shared c USING (doc_id))
-SELECT *, NOT base_failed AND n_words - n_common_words >= n_words * 0.3::DOUBLE AS kept
+SELECT *, NOT base_failed AND n_words - n_common_words >= n_words * 0.5::DOUBLE AS kept
 FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted)"""
 
 ORACLES["op11_sketch_near_duplicates"] = f"""

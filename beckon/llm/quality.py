@@ -1,8 +1,9 @@
 """Quality rules: per-text counts and cross-document line frequency per host.
 
 Only DataFrame and SQL functions.  Lines are normalised and hashed; per host
-(``source``) the distinct documents (texts) that hold a line are counted; lines
-above the host's limit are removed, and documents that lose most words are rejected.
+(``source``) the distinct documents (texts) that hold a line are counted; lines that
+reach the limit are removed, and documents that are depleted by it are rejected.  The
+limit is a number of documents, the same for hosts of any size.
 """
 
 from __future__ import annotations
@@ -60,47 +61,57 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(low, f"{SPACE}+", " ")))
 
 
-def common_lines(docs: DataFrame, share: float = 0.05, least: int = 20) -> DataFrame:
-    """``host, lines``: per source the keys of lines above its limit.
+def keyed_lines(text: Column) -> Column:
+    """``line_key`` and number of words of each line with a word; the text is normalised as a whole."""
+    low = F.translate(F.regexp_replace(text, "[\\x20\\x09\\x0B-\\x0D]+", " "),
+                      "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lines = F.filter(F.transform(F.split(low, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), (
+        F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))
 
-    The limit is ``share`` of the host's distinct documents, ``least`` at least.  A
-    host keeps at most (lines a document) / ``share`` keys, whatever its size.
-    Equal texts of a host count as one document; a null source is a host.  Counting
-    is by (host, line, text), so a line or host that many share is split over tasks.
+
+def common_words(docs: DataFrame, limit: int = 10) -> DataFrame:
+    """``host, doc, n_common_words, lines`` of texts with lines that reach the limit of their host.
+
+    A line reaches it if ``limit`` distinct texts (``doc``, by hash) of the host hold it; a
+    null source is a host.  First lines are counted by rows, which needs no text and keeps
+    few; only those are counted by distinct texts.  Hosts and lines that many rows share
+    are summed where they are, and met again by (host, line).
     """
     rows = docs.where("text IS NOT NULL").select(
-        F.col("source").alias("host"), F.xxhash64("text").alias("doc"),
-        F.array_distinct(F.transform(
-            F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(WORD))), line_key)).alias("keys"))
-    held = (rows.select("host", "doc", F.explode("keys").alias("line")).distinct()
-            .groupBy("host", "line").count().where(F.col("count") >= least))
-    size = rows.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    return (held.join(size.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
-            .where(F.col("count") > F.col("docs") * F.lit(share))
-            .groupBy("host").agg(F.collect_list("line").alias("lines")))
-
-
-def quality_rules(docs: DataFrame, share: float = 0.05, least: int = 20,
-                  min_left: float = 0.3) -> DataFrame:
+        F.col("source").alias("host"), F.xxhash64("text").alias("doc"), F.monotonically_increasing_id().alias("row"),
+        keyed_lines(F.col("text")).alias("k"))
+    rows = rows.select("host", "doc", "row", F.explode("k").alias("k")).select("host", "doc", "row", "k.line", "k.words")
+    many = stored(rows.groupBy("host", "line").count().where(F.col("count") >= limit).select(
+        F.col("host").alias("of"), F.col("line").alias("many")), "many-lines")
+    # A line's words in a text, repeats counted; copies of a text say the same.
+    held = (rows.join(many, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("many")))
+            .groupBy("host", "doc", "row", "line").agg(F.sum("words").alias("words"))
+            .groupBy("host", "doc", "line").agg(F.max("words").alias("words")))
+    held = stored(held, "held-lines")
+    common = held.groupBy(F.col("host").alias("of"), F.col("line").alias("many")).count().where(F.col("count") >= limit)
+    return (held.join(common.drop("count"), F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("many")))
+            .groupBy("host", "doc").agg(F.sum("words").alias("n_common_words"), F.collect_list("line").alias("lines")))
+
+
+def quality_rules(docs: DataFrame, limit: int = 10, min_left: float = 0.5) -> DataFrame:
     """All documents with the base counts and the method's verdict.
 
-    ``n_common_words`` are the words in lines above their host's limit, ``clean_text``
-    is the text without those lines (null stays null), and ``kept`` holds where the
-    base rules pass and at least ``min_left`` of the words are left.  A null or empty
-    text has no words and fails.  Repeated rows are judged alike.  Input columns
-    named like a result are replaced.  Writes the small table of common lines at once.
+    ``n_common_words`` are the words in lines that ``limit`` distinct texts of the host
+    hold, ``clean_text`` is the text without those lines (null stays null), and ``kept``
+    holds where the base rules pass and at least ``min_left`` of the words are left.  A
+    null or empty text has no words and fails.  Repeated rows are judged alike.  Input
+    columns named like a result are replaced.  Writes the tables of common lines at once.
     """
-    lines = stored(common_lines(docs, share, least), "common-lines").toDF("__host", "__keys")
-    df = base_counts(without(docs, RESULTS)).join(
-        lines, F.col("source").eqNullSafe(F.col("__host")), "left").drop("__host")
-    df = df.withColumn("__common", F.when(F.col("__keys").isNotNull(), F.filter(
-        F.split("text", "\n"), lambda x: F.array_contains("__keys", line_key(x)) & F.regexp_like(x, F.lit(WORD)))))
+    found = common_words(docs, limit).toDF("__host", "__of", "n_common_words", "__keys")
+    df = base_counts(without(docs, RESULTS)).withColumn("__doc", F.xxhash64("text")).join(
+        found, F.col("source").eqNullSafe(F.col("__host")) & (F.col("__doc") == F.col("__of")), "left")
+    kept_lines = F.filter(F.split("text", "\n"), lambda x: ~(
+        F.array_contains("__keys", line_key(x)) & F.regexp_like(x, F.lit(WORD))))
     return (
-        df.withColumn("n_common_words", F.coalesce(
-            F.aggregate("__common", F.lit(0), lambda s, x: s + F.regexp_count(x, F.lit(WORD))),
-            F.lit(0)).cast("long"))
-        .withColumn("clean_text", F.when(F.size("__common") > 0, F.array_join(F.filter(
-            F.split("text", "\n"), lambda x: ~F.array_contains("__common", x)), "\n")).otherwise(F.col("text")))
+        df.withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0)).cast("long"))
+        .withColumn("clean_text", F.when(F.col("__keys").isNotNull() & F.col("text").isNotNull(), F.array_join(kept_lines, "\n"))
+                    .otherwise(F.col("text")))
         .withColumn("kept", ~F.col("base_failed") & (
             F.col("n_words") - F.col("n_common_words") >= F.col("n_words") * F.lit(min_left)))
-        .drop("__keys", "__common"))
+        .drop("__keys", "__host", "__of", "__doc"))

@@ -343,6 +343,34 @@ def test_common_lines_are_removed_per_host(spark):
     assert got[400].n_common_words == 8 and not got[400].kept
 
 
+def test_common_lines_match_brute_force(spark):
+    """A hot host, a null one, depleted documents, lines repeated within and across documents."""
+    rng = random.Random(12)
+    pool = [f"Line  {k} of many words that hosts share" for k in range(12)]
+    rows = []
+    for i in range(400):
+        own = [" ".join(f"w{rng.randrange(5000)}" for _ in range(6)) for _ in range(rng.randrange(0, 5))]
+        lines = [rng.choice([str.upper, str.lower, str])(rng.choice(pool)) for _ in range(rng.randrange(0, 5))] + own
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines), None, "hot" if i % 2 else rng.choice(["a", "b", None, "c"])))
+    rows += [(1000 + i, *r[1:]) for i, r in enumerate(rows[:50])] + [(2000, None, None, "hot")]
+    key = lambda x: " ".join(x.lower().split())
+    held = defaultdict(set)
+    for _, text, _, host in rows:
+        for x in (text or "").split("\n"):
+            held[host, key(x)].add(text)
+    got = {r.doc_id: r for r in quality.quality_rules(table(spark, rows)).collect()}
+    rejected = 0
+    for i, text, _, host in rows:
+        lines = (text or "").split("\n")
+        gone = [x for x in lines if key(x) and len(held[host, key(x)]) >= 10]
+        n, common = len((text or "").split()), sum(len(x.split()) for x in gone)
+        assert got[i].n_common_words == common and got[i].kept == (not got[i].base_failed and n - common >= n * 0.5)
+        assert got[i].clean_text == (None if text is None else "\n".join(x for x in lines if x not in gone))
+        rejected += not got[i].base_failed and not got[i].kept
+    assert rejected > 20 and sum(r.kept for r in got.values()) > 100
+
+
 def test_language_profiles(spark):
     rng = random.Random(6)
     stems = {"en": ["the", "ing", "tion", "and", "er"], "de": ["der", "ung", "sch", "und", "ß"],
