@@ -2,7 +2,8 @@
 
 Token scores are log-odds of toxic against other labelled texts with an informative
 Dirichlet prior, counted by the texts that hold a word or a word's beginning, so that
-one text full of a word proves little and inflected forms count together.  A linear scan finds every maximal scoring segment of a text; an
+one text full of a word proves little and inflected forms count together.  Tokens count
+whose likelihood ratio chance reaches once in 10,000, however many rows are labelled.  A linear scan finds every maximal scoring segment of a text; an
 extreme-value law, fitted on the texts that are not toxic, says how often chance
 gives such segments in a text of that length, and the segments' evidence is summed.
 """
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +25,8 @@ from beckon.llm.common import bounded_sample, without
 TOKEN = re.compile(r"\w+")
 #: Most labelled rows that the model is fitted on.
 FIT_ROWS = 20_000
-#: Tokens in the model, those with the largest |z|, and the least |z|.
-TOKENS, LEAST_Z = 20_000, 4.0
+#: Tokens in the model, those with the largest |z|, and the |z| that chance exceeds once in 10,000 (one side).
+TOKENS, LEAST_Z = 20_000, 3.72
 #: What a token without evidence costs a segment.
 DRIFT = 0.25
 #: Lengths of the word beginnings that count as tokens too, longest first.
@@ -113,12 +114,22 @@ def _own_score(word: str, scores: dict[str, float]) -> float | None:
     return score
 
 
-def log_odds(toxic: int, other: int, n_toxic: int, n_other: int) -> tuple[float, float]:
-    """Log-odds of a token and its z, for its counts and those of all tokens."""
+def log_odds(toxic: int, other: int, n_toxic: int, n_other: int) -> float:
+    """Log-odds of a token, for its counts and those of all tokens."""
     prior = FLOOR + PRIOR * (toxic + other) / (n_toxic + n_other)
     one, two = toxic + prior, other + prior
-    odds = math.log(one / (n_toxic + PRIOR - one)) - math.log(two / (n_other + PRIOR - two))
-    return odds, odds / math.sqrt(1 / one + 1 / two)
+    return math.log(one / (n_toxic + PRIOR - one)) - math.log(two / (n_other + PRIOR - two))
+
+
+def significance(toxic: Column, other: Column, share: float) -> Column:
+    """Signed root of a token's likelihood ratio against the toxic ``share`` of all tokens.
+
+    About normal where chance alone deals the token out, also for few counts: the prior
+    stays out of it, so tokens that only toxic texts hold show in small tables too.
+    """
+    n = (toxic + other).cast("double")
+    parts = [F.when(x > 0, x * F.log(x / (n * F.lit(p)))).otherwise(0.0) for x, p in ((toxic, share), (other, 1 - share))]
+    return F.signum(toxic - n * F.lit(share)) * F.sqrt(F.greatest(2 * (parts[0] + parts[1]), F.lit(0.0)))
 
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS, tokens: int = TOKENS) -> Model:
@@ -149,12 +160,10 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, tokens: int = TOKENS) -> Mode
     a, b = counts.agg(F.sum("a"), F.sum("b")).first()
     if not a or not b:
         return Model()
-    prior = F.lit(FLOOR) + F.lit(PRIOR) * (F.col("a") + F.col("b")) / F.lit(float(a + b))
-    one, two = F.col("a") + prior, F.col("b") + prior
-    z = (F.log(one / (F.lit(a + PRIOR) - one)) - F.log(two / (F.lit(b + PRIOR) - two))) / F.sqrt(1 / one + 1 / two)
+    z = F.round(significance(F.col("a"), F.col("b"), a / (a + b)), 9)
     top = counts.withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(
         F.desc(F.abs("z")), "token").limit(tokens).collect()
-    model = Model({r.token: log_odds(r.a, r.b, a, b)[0] - DRIFT for r in top})
+    model = Model({r.token: log_odds(r.a, r.b, a, b) - DRIFT for r in top})
     if not any(s > 0 for s in model.scores.values()):
         return model
     chances = {r.token: (r.b + FLOOR) / (b + PRIOR) for r in top}

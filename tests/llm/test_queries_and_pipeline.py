@@ -79,6 +79,57 @@ def test_toxicity_contract(spark, documents):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
 
 
+def toxic_found(spark, sf_dir):
+    """Toxic documents found, all of them and false alarms, in the held-out fold and in the others."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.toxic is not None}
+    found = {True: [0, 0, 0], False: [0, 0, 0]}
+    for r in QUERIES["op3_toxicity"](spark, sf_dir).collect():
+        if r.doc_id in labels:
+            row = found[r.held_out]
+            row[0] += r.predicted and labels[r.doc_id]
+            row[1] += labels[r.doc_id]
+            row[2] += r.predicted and not labels[r.doc_id]
+    return found
+
+
+@pytest.mark.parametrize("size, held, rest, alarms", [("sf0.001", (1, 1), 5, 1), ("sf0.01", (4, 6), 30, 3)])
+def test_toxicity_learns_from_small_tables(spark, size, held, rest, alarms):
+    folder = os.path.join(os.path.dirname(SMALL), size)
+    if not os.path.isdir(folder):
+        pytest.skip("table not present")
+    found = toxic_found(spark, folder)
+    assert found[True][0] >= held[0] and found[True][1] == held[1] and found[False][0] >= rest
+    assert max(found[True][2], found[False][2]) <= alarms
+
+
+def test_toxicity_tokens_match_brute_force(spark, con):
+    from beckon.llm import toxicity
+
+    rows = con.execute("SELECT doc_id, text, toxic FROM documents JOIN labels USING (doc_id)").fetchall()
+    counts, total = defaultdict(lambda: [0, 0]), [0, 0]
+    for text, toxic in {r[1:] for r in rows}:  # equal rows count once
+        for token in toxicity.tokens_of(text or ""):
+            counts[token][toxic] += 1
+            total[toxic] += 1
+    share, want = total[1] / sum(total), {}
+    for token, (other, toxic) in counts.items():
+        n = other + toxic
+        ratio = sum(2 * x * math.log(x / (n * p)) for x, p in ((toxic, share), (other, 1 - share)) if x)
+        if math.sqrt(max(0, ratio)) >= toxicity.LEAST_Z:
+            prior = toxicity.FLOOR + toxicity.PRIOR * n / sum(total)
+            odds = [math.log((x + prior) / (t + toxicity.PRIOR - x - prior)) for x, t in zip((other, toxic), total)]
+            want[token] = odds[1] - odds[0] - toxicity.DRIFT
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert want and set(model.scores) == set(want)
+    assert all(abs(model.scores[t] - want[t]) < 1e-9 for t in want)
+    # every maximal segment: no longer one scores more, and no part of it does
+    rng = [(3, 2.0), (4, -1.5), (6, 1.0), (7, 3.0), (30, 1.0), (31, 0.5)]
+    values = [dict(rng).get(i, -toxicity.DRIFT) for i in range(40)]
+    best = max((sum(values[a:b + 1]), a, b) for a in range(40) for b in range(a, 40))
+    got = toxicity.segments(rng)
+    assert max((round(x, 9), a, b) for a, b, x in got) == (round(best[0], 9), *best[1:])
+
+
 def lines_gone(texts):
     """By (id, place): whether an earlier line is similar, by comparing each with all before."""
     seen, gone = [], set()
