@@ -25,6 +25,31 @@ def identity_key() -> Column:
     return F.expr(f"sha2(concat_ws('|', {parts}, {text}), 256)")
 
 
+def best_decisions(keyed: DataFrame) -> DataFrame:
+    """Per ``_key`` the number of rows, the best decision and what orders it.
+
+    The most confident row is best, of equal ones the earliest (``created_at``, then
+    ``message_id``).  Results over parts of the rows merge by ``merged_best``.
+    """
+    order = F.struct((-F.col("confidence")).alias("less"), "created_at", "message_id")
+    return keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"),
+                                     F.min_by(F.struct(*DECISION), order).alias("_best"), F.min(order).alias("_order"))
+
+
+def merged_best(parts: DataFrame) -> DataFrame:
+    """The same from the rows of ``best_decisions`` over several parts."""
+    return parts.groupBy("_key").agg(F.sum("_rows").alias("_rows"), F.min_by("_best", "_order").alias("_best"),
+                                     F.min("_order").alias("_order"))
+
+
+def with_best(keyed: DataFrame, best: DataFrame) -> DataFrame:
+    """Stored rows with the best decision of their ``_key``; very frequent keys are salted."""
+    several = best.where(F.col("_rows") > 1).select("_key", "_best")
+    joined = lookup(keyed, several, ["_key"], "message_id", hot_keys(keyed, ["_key"]))
+    return joined.withColumns({
+        c: F.expr(f"if(_best IS NULL, {c}, _best.{c})") for c in DECISION}).drop("_key", "_best")
+
+
 def enforce_consistency(decided: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Within equal messages copy the decision of the most confident row.
 
@@ -41,14 +66,4 @@ def enforce_consistency(decided: DataFrame, keep: Sequence[str] = ()) -> DataFra
     narrow = ["message_id", "created_at", *DECISION, *keep, "_key"]
     keyed = decided if "_key" in decided.columns else decided.withColumn("_key", identity_key())
     keyed = staged(keyed.select(*narrow), "decisions")
-    best = (keyed.groupBy("_key").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.min_by(F.struct(*DECISION),
-                 F.struct(-F.col("confidence"), F.col("created_at"), F.col("message_id"))
-                 ).alias("_best"))
-        .where(F.col("_rows") > 1))
-    joined = lookup(keyed, best.select("_key", "_best"), ["_key"], "message_id",
-                    hot_keys(keyed, ["_key"]))
-    return joined.withColumns({
-        c: F.expr(f"if(_best IS NULL, {c}, _best.{c})") for c in DECISION}
-    ).drop("_key", "_best")
+    return with_best(keyed, best_decisions(keyed))

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from beckon import lexicons as L
 from beckon.functions.match import UNICODE, case, filled, quoted, quoted_list
+from beckon.operators.asof import as_of, micros
 from beckon.operators.blocks import (
     LEFT_ROWS, RIGHT_ROWS, block_pairs, list_column, with_group_sizes,
 )
@@ -174,11 +175,31 @@ def scoped_messages(messages: DataFrame, sizes: DataFrame) -> DataFrame:
     asked = messages.select("message_id", "user_id", _scopes_of_row().alias("s")).select(
         "message_id", "user_id", "s.*")
     # sizes of the (at most four) scopes of a message, side by side
-    wide = (asked.join(sizes.select("user_id", "kind", "id", "scope_rows"),
-                       ["user_id", "kind", "id"])
-            .groupBy("message_id", "user_id").agg(*[
-                F.expr(f"max(if(kind = '{kind}', struct(scope_rows, id), NULL))").alias(kind)
-                for kind in ["user", *SCOPES]]))
+    return _chosen(asked.join(sizes.select("user_id", "kind", "id", "scope_rows"),
+                              ["user_id", "kind", "id"]))
+
+
+def scopes_as_of(messages: DataFrame, history: DataFrame) -> DataFrame:
+    """The same from the history older than each message, with the time ``newest`` of its
+    last row in microseconds.
+
+    The rows and the newest time of a scope are running values over its rows' times,
+    looked up as of the message.  Runs jobs at once.
+    """
+    times = micros(F.col("created_at")).alias("at")
+    asked = messages.select("message_id", "user_id", times, _scopes_of_row().alias("s")).select(
+        "message_id", "user_id", "at", "s.*")
+    facts = history.select("user_id", times, _scopes_of_row().alias("s")).select(
+        "user_id", "at", "s.*", F.lit(1).alias("scope_rows"), F.col("at").alias("newest"))
+    return _chosen(as_of(asked, facts, ["user_id", "kind", "id"], ["scope_rows"], ["newest"]).where("scope_rows > 0"),
+                   ["newest"])
+
+
+def _chosen(sized: DataFrame, more: list[str] = ()) -> DataFrame:
+    """The scope each message chooses, from a row per message and scope that has rows."""
+    fields = ", ".join(["scope_rows", "id", *more])
+    wide = sized.groupBy("message_id", "user_id").agg(*[
+        F.expr(f"max(if(kind = '{kind}', struct({fields}), NULL))").alias(kind) for kind in ["user", *SCOPES]])
     chosen = "'user'"
     for position, kind in enumerate(SCOPES):
         size = case([(f"{chosen} = '{k}'", f"{k}.scope_rows") for k in ["user", *SCOPES]])
@@ -189,7 +210,7 @@ def scoped_messages(messages: DataFrame, sizes: DataFrame) -> DataFrame:
     picked = case([(f"{chosen} = '{k}'", k) for k in ["user", *SCOPES]])
     return wide.withColumn("_scope", F.expr(picked)).select(
         "message_id", "user_id", F.col(chosen).alias("kind"), F.col("_scope.id").alias("id"),
-        F.col("_scope.scope_rows").alias("scope_rows"))
+        F.col("_scope.scope_rows").alias("scope_rows"), *[F.col(f"_scope.{c}").alias(c) for c in more])
 
 
 # --- retrieval -------------------------------------------------------------
@@ -235,21 +256,26 @@ def top_evidence(messages: DataFrame, history: DataFrame | Weighed, model: TfIdf
 
     Returns ``message_id, rank, evidence_id, score``.  Score: cosine plus
     recency boost, rounded to six digits; ties go to the later row.
-    ``point_in_time`` admits only history older than the message; then nothing
+    ``point_in_time`` admits only history older than the message, in the choice of
+    the scope and in its newest row too (``history`` is a table then); nothing
     is merged by vector, as each message sees other rows.
     """
     scope = ["user_id", "kind", "id"]
     usable = messages.where(f"length({filled('message_text')}) >= {MIN_TEXT}")
     prepared = isinstance(history, Weighed)
+    if point_in_time and prepared:
+        raise ValueError("a prepared history has no scopes as of a time")
     sizes = history.sizes if prepared else staged(scope_sizes(history), "scope-sizes")
-    scoped = staged(scoped_messages(usable, sizes), "message-scopes")
+    chosen = scopes_as_of(usable, history) if point_in_time else scoped_messages(usable, sizes).withColumn(
+        "newest", F.lit(None).cast("long"))
+    scoped = staged(chosen, "message-scopes")
     # the scopes in use, with their time range
     used = staged(scoped.select(*scope).distinct().join(sizes, scope), "scopes-in-use")
     # a row without a known term scores its recency boost at most, below 0.2
     asked = (where_computed(model.vectors(scoped.join(
         usable.select("message_id", "created_at", "message_text"), "message_id")),
         "size(term_ids) > 0").select("message_id", *scope, "term_ids", "weights",
-                     F.unix_micros(F.col("created_at").cast("timestamp")).alias("asked_at")))
+                     micros(F.col("created_at")).alias("asked_at"), F.col("newest").alias("asked_newest")))
     asked = asked.withColumn("scope_key", _scope_key()).drop(*scope)
     vectors = history.vectors if prepared else _weigh(history, model)
     candidates = (vectors
@@ -271,10 +297,10 @@ def top_evidence(messages: DataFrame, history: DataFrame | Weighed, model: TfIdf
         owners = asked.select("message_id", "query_id")
         queries = asked.groupBy("scope_key", "query_id").agg(
             *[F.first(c).alias(c) for c in ["term_ids", "weights"]],
-            F.lit(None).cast("long").alias("asked_at"))
+            *[F.lit(None).cast("long").alias(c) for c in ("asked_at", "asked_newest")])
         candidates = _most_recent_copies(candidates, k)
     # blocks are cut by what is left after equal queries and copies are merged
-    queries = staged(queries.select("query_id", "scope_key", "term_ids", "weights", "asked_at"),
+    queries = staged(queries.select("query_id", "scope_key", "term_ids", "weights", "asked_at", "asked_newest"),
                      "evidence-queries")
     candidates = staged(candidates, "evidence-candidates")
     merged = staged(queries.groupBy("scope_key").agg(F.count(F.lit(1)).alias(LEFT_ROWS)).join(
@@ -343,6 +369,10 @@ def _block_top_k(k: int, size: int, point_in_time: bool):
             return schema.empty_table()
         # right rows in tie order, so that the column number decides ties
         right = right.sort_by([("at", "descending"), ("evidence_id", "descending")])
+        if point_in_time:  # rows without a time are older than nothing
+            right = right.filter(right["at"].is_valid())
+            if not right.num_rows:
+                return schema.empty_table()
         boost = right["boost"].to_numpy()
         history = _dense(right, size).T
         seen_at = right["at"].to_numpy()
@@ -350,10 +380,13 @@ def _block_top_k(k: int, size: int, point_in_time: bool):
         parts = []
         for start in range(0, left.num_rows, chunk):
             piece = left.slice(start, chunk)
-            scores = np.round(_dense(piece, size) @ history + boost, SCORE_DIGITS)
+            cosines = _dense(piece, size) @ history
             if point_in_time:
-                asked = piece["asked_at"].to_numpy()
-                scores[~(seen_at[None, :] < asked[:, None])] = -1.0
+                asked, newest = (piece[c].to_numpy()[:, None] for c in ("asked_at", "asked_newest"))
+                days = (newest - seen_at[None, :]) / 86_400_000_000.0
+                older = seen_at[None, :] < asked
+                boost = np.where(older, np.exp(-np.where(older, days, 0.0) / RECENCY_DAYS) * RECENCY_WEIGHT, -2.0)
+            scores = np.round(cosines + boost, SCORE_DIGITS)
             row, col = np.nonzero(scores > MIN_SCORE)
             value = scores[row, col]
             order = np.lexsort((col, -value, row))

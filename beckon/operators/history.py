@@ -61,11 +61,11 @@ def sender_stats(reactions: DataFrame, history: DataFrame) -> DataFrame:
                  ones("muted_after_message", "muted")))
 
 
-def sender_features(stats: DataFrame) -> DataFrame:
-    """Rates and trust score of each (recipient, sender)."""
+def sender_features(stats: DataFrame, keys: tuple[str, ...] = ("user_id", "sender_key")) -> DataFrame:
+    """Rates and trust score of each (recipient, sender), or of other ``keys`` of the counts."""
     n = F.greatest(F.col("message_count"), F.lit(1))
     return stats.select(
-        "user_id", "sender_key",
+        *keys,
         F.col("message_count").cast("double").alias("sender_message_count"),
         (F.col("replied") / n).alias("sender_reply_rate"),
         (F.col("opened") / n).alias("sender_open_rate"),
@@ -172,33 +172,40 @@ def word_set(text: str) -> Column:
                   f"{quoted(UNICODE + r'\w+')}, 0))")
 
 
-def dismissed_texts(reactions: DataFrame, history: DataFrame) -> DataFrame:
-    """Word sets of the texts each user dismissed, copies merged into a weight."""
+def dismissed_texts(reactions: DataFrame, history: DataFrame, timed: bool = False) -> DataFrame:
+    """Word sets of the texts each user dismissed, copies merged into a weight.
+
+    With ``timed`` the reactions carry ``at``, and only copies of one moment are merged.
+    """
+    times = ["at"] if timed else []
     dismissed = reactions.where(F.col("notification_dismissed") == 1).select(
-        "message_id", "user_id")
+        "message_id", "user_id", *times)
     words = history.select("message_id", F.array_sort(word_set("message_text"))
                            .alias("words"))
-    return (where_computed(dismissed.join(words, "message_id"),
-                           f"size(words) >= {COMMON_WORDS}")
-            .withColumn("text_key", F.sha2(F.concat_ws(" ", "words"), 256))
-            .groupBy("user_id", "text_key")
-            .agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("copies")))
+    merged = (where_computed(dismissed.join(words, "message_id"),
+                             f"size(words) >= {COMMON_WORDS}")
+              .withColumn("text_key", F.sha2(F.concat_ws(" ", *times, "words"), 256))
+              .groupBy("user_id", "text_key", *times)
+              .agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("copies")))
+    return merged if timed else merged.withColumn("at", F.lit(None).cast("long"))
 
 
 def similar_dismissals(messages: DataFrame, reactions: DataFrame, history: DataFrame,
-                       block_rows: int = 1024) -> DataFrame:
+                       block_rows: int = 1024, point_in_time: bool = False) -> DataFrame:
     """Per message, how many texts its user dismissed share three or more words.
 
     Messages and dismissed texts of one user meet block by block; a task sees
     two blocks of bounded size and returns one row per message, never pairs.
-    Runs jobs at once to count the merged texts.
+    With ``point_in_time`` only texts dismissed before the message count; the reactions
+    then carry the time ``at`` in microseconds.  Runs jobs at once to count the merged texts.
     """
     # blocks are cut by what is left after copies are merged
-    dismissed = staged(dismissed_texts(reactions, history), "dismissed-texts")
+    dismissed = staged(dismissed_texts(reactions, history, point_in_time), "dismissed-texts")
     sizes = staged(messages.groupBy("user_id").agg(F.count(F.lit(1)).alias(LEFT_ROWS)).join(
         dismissed.groupBy("user_id").agg(F.count(F.lit(1)).alias(RIGHT_ROWS)), "user_id"),
         "dismissal-sizes")
-    asked = where_computed(messages.select("message_id", "user_id", word_set("message_text")
+    asked_at = F.unix_micros(F.col("created_at").cast("timestamp")) if point_in_time else F.lit(None).cast("long")
+    asked = where_computed(messages.select("message_id", "user_id", asked_at.alias("at"), word_set("message_text")
                                            .alias("words")), f"size(words) >= {COMMON_WORDS}")
     counted = block_pairs(
         with_group_sizes(asked, sizes, ["user_id"]),
@@ -242,7 +249,11 @@ def _count_overlaps(left, right):
             matrix[rows[here], own[here] - start] = 1
             sides.append(matrix)
         shared += sides[0] @ sides[1].T
-    totals = (shared >= COMMON_WORDS) @ right["copies"].to_numpy()
+    alike = shared >= COMMON_WORDS
+    if right["at"].null_count < len(right):  # only what was dismissed before; no time, nothing before
+        asked = left["at"].fill_null(np.iinfo(np.int64).min).to_numpy()
+        alike &= right["at"].to_numpy()[None, :] < asked[:, None]
+    totals = alike @ right["copies"].to_numpy()
     keep = totals > 0
     return pa.table({"message_id": left["message_id"].filter(pa.array(keep)),
                      "similar_dismissals": pa.array(totals[keep])})

@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 from beckon import lexicons as L
 from beckon.functions.match import any_of, filled
 from beckon.functions.text import with_text_features
+from beckon.operators import boosting
 from beckon.operators import enrich as en
 from beckon.operators import evidence as ev
 from beckon.operators import history as hist
 from beckon.operators import model as ml
-from beckon.operators import reasons, reports, rules, types, verify
+from beckon.operators import point_in_time as pit
+from beckon.operators import reasons, reports, router_model as rm, rules, types, verify
 from beckon.operators.consistency import enforce_consistency, identity_key
 from beckon.plans import routing, traffic
 from beckon.session import scratch_path, staged, where_computed
 from beckon.sources import artefacts
 from beckon.sources.tables import read_table, spark_schema, write_predictions
-from beckon.streaming import streams
+from beckon.streaming import live, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,22 +48,22 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 @query
 def text_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure of each document: mentions, lengths, links, phones, mails."""
-    docs = traffic.read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = traffic.spread(traffic.read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return with_text_features(docs, "text", L.TEXT_FEATURES[:9]).drop("text")
 
 
 @query
 def document_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 28 features of each document."""
-    docs = traffic.read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = traffic.spread(traffic.read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return _rounded(with_text_features(docs, "text").drop("text"))
 
 
 @query
 def conversation_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 28 features of each conversation turn."""
-    turns = traffic.read(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", "text")
+    turns = traffic.spread(traffic.read(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "text"), "conv_id", "turn")
     return _rounded(with_text_features(turns, "text").drop("text"))
 
 
@@ -85,8 +87,8 @@ def keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def spam_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of documents per language, source and spam score."""
-    docs = traffic.read(spark, sf_dir, "documents").select(
-        "lang", "source", "text")
+    docs = traffic.spread(traffic.read(spark, sf_dir, "documents").select(
+        "lang", "source", "text", "doc_id"), "doc_id")
     scored = with_text_features(docs, "text", ["spam_pattern_score", "caps_word_ratio"])
     return _rounded(scored.groupBy(
         "lang", "source", F.round("spam_pattern_score", 6).alias("score")).agg(
@@ -238,6 +240,20 @@ def evidence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "score")
 
 
+@query
+def evidence_scope_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the older history that each message searches, its rows and its newest time."""
+    t = traffic.tables(spark, sf_dir)
+    return ev.scopes_as_of(t.messages, t.history).select("message_id", "kind", "id", "scope_rows", "newest")
+
+
+@query
+def evidence_topk_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three most similar older messages of every message."""
+    t = traffic.tables(spark, sf_dir)
+    return _rounded(ev.top_evidence(t.messages, t.history, ev.TfIdf.fit(t.history), point_in_time=True))
+
+
 @query
 def evidence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence ids joined by ';', or none."""
@@ -341,6 +357,15 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, path, "output")
 
 
+@query
+def rule_output_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules decide, written and read back as CSV predictions."""
+    t = traffic.tables(spark, sf_dir)
+    path = scratch_path(spark, "rule-output")
+    write_predictions(rules.rule_matches(t.messages, t.accounts), f"{path}/output.csv", "csv")
+    return read_table(spark, path, "output")
+
+
 def _shaped(df: DataFrame, name: str) -> DataFrame:
     """The declared columns of a table; NULL where the data has no such column."""
     schema = spark_schema(name)
@@ -622,14 +647,11 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ml.feature_matrix(t.incoming, t.history_tables, _topic(t)), 5)
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents with text features: toxic is mute, good is notify."""
-    docs = traffic.read(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = traffic.read(spark, sf_dir, "labels").select(
-        "doc_id", F.when(F.col("toxic") == 1, F.lit("mute")).when(
-            F.col("quality") == 1, F.lit("notify")).otherwise(F.lit("digest")).alias("action"))
-    featured = with_text_features(docs.join(labels, "doc_id"), "text")
-    return ml.as_numbers(featured, L.TEXT_FEATURES, ["doc_id", "action"])
+@query
+def features_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 21 history features of every message from what was known when it was sent."""
+    t = traffic.tables(spark, sf_dir)
+    return _rounded(pit.history_features_as_of(t.messages, t.history_tables, ev.TfIdf.fit(t.history)), 5)
 
 
 @query
@@ -651,46 +673,78 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 _models: dict[tuple[str, str], tuple] = {}
 
 
-def _fitted(spark: SparkSession, sf_dir: str, rounds: int = 10):
-    """A model and its labelled rows, trained once per application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _fitted(spark: SparkSession, sf_dir: str) -> tuple:
+    """Booster, its labelled past messages, and scores of incoming ones: once per application and folder."""
+    t = traffic.tables(spark, sf_dir)
+    key = (t.spark_application, t.root)
     if key not in _models:
-        rows = staged(ml.stratified_split(_labelled(spark, sf_dir), "action", "doc_id"),
-                      "labelled")
-        _models[key] = (ml.train(rows.where("NOT is_test"), L.TEXT_FEATURES, rounds=rounds,
-                                 depth=4), rows)
+        words = ev.TfIdf.fit(t.history)
+        actions = traffic.truth(t.history).withColumnRenamed("true_action", "action")
+        rows = rm.labelled_rows(t.history, actions, t.history_tables, words)
+        booster = rm.fit_router_model(rows)
+        scores = staged(rm.score_messages(booster, t.incoming, t.history_tables, words), "model-scores")
+        _models[key] = booster, rows, scores
     return _models[key]
 
 
 @query
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees on labelled documents: probabilities of all documents."""
-    fitted, _ = _fitted(spark, sf_dir)
-    docs = traffic.read(spark, sf_dir, "documents").select("doc_id", "text")
-    numbers = ml.as_numbers(with_text_features(docs, "text"), L.TEXT_FEATURES, ["doc_id"])
-    return ml.score(fitted, numbers, ["doc_id"])
+    """Class probabilities of incoming messages, by trees fitted to past messages and reactions."""
+    return _fitted(spark, sf_dir)[2]
 
 
 @query
 def model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report of the boosted trees on the test part."""
-    fitted, rows = _fitted(spark, sf_dir)
-    scored = ml.score(fitted, rows.where("is_test"), ["doc_id", "action"])
+    booster, rows, _ = _fitted(spark, sf_dir)
+    scored = booster.score(rows.where("is_test"), ["message_id", "action"])
     return reports.class_report(scored, "model_action", "action")
 
 
 @query
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty most important features."""
-    return ml.importances(spark, _fitted(spark, sf_dir)[0])
+    """The twenty features of largest mean gain."""
+    return _fitted(spark, sf_dir)[0].importances(spark)
 
 
 @query
 def training_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss on the training and the test part after each round."""
-    fitted, rows = _fitted(spark, sf_dir)
-    return ml.loss_history(spark, fitted, {"train": rows.where("NOT is_test"),
-                                           "test": rows.where("is_test")})
+    return _fitted(spark, sf_dir)[0].history(spark)
+
+
+@query
+def model_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of a fitted model, as counts: scored messages, sums and choices that are
+    wrong, labelled and test rows, rounds whose loss is known, rounds whose training loss rose,
+    scores that differ after saving and loading."""
+    booster, rows, scores = _fitted(spark, sf_dir)
+    path = scratch_path(spark, "booster")
+    booster.save(spark, path)
+    classes = [f"p_{c}" for c in booster.classes]
+    again = boosting.Booster.load(spark, path).score(rows, ["message_id"])
+    first = booster.score(rows, ["message_id"]).select(
+        "message_id", *[F.col(c).alias(f"_{c}") for c in classes])
+    changed = again.join(first, "message_id").where(" OR ".join(f"{c} <> _{c}" for c in classes))
+    losses = booster.losses["train"]
+    checked = scores.agg(
+        F.count("*").alias("scored"),
+        F.count_if(F.abs(sum(F.col(c) for c in classes) - 1) > 1e-9).alias("wrong_sums"),
+        F.count_if(F.col("model_probability") != F.greatest(*classes)).alias("wrong_probabilities"),
+        F.count_if(F.element_at(F.create_map(*[x for c in classes for x in (F.lit(c[2:]), F.col(c))]),
+                                F.col("model_action")) != F.col("model_probability")).alias("wrong_actions"))
+    return (checked.crossJoin(rows.agg(F.count("*").alias("labelled"), F.count_if("is_test").alias("test_rows")))
+            .crossJoin(changed.agg(F.count("*").alias("changed_by_saving"))).withColumns({
+                "train_rounds": F.lit(len(losses)), "test_rounds": F.lit(len(booster.losses["test"])),
+                "rises": F.lit(sum(b > a for a, b in zip(losses, losses[1:])))}))
+
+
+@query
+def route_messages_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The router on all incoming messages with the scores of the fitted model."""
+    t = traffic.tables(spark, sf_dir)
+    scores = _fitted(spark, sf_dir)[2].select("message_id", "model_action", "model_probability")
+    return routing.route(_arrived(t), t.accounts, t.history_tables, ev.TfIdf.fit(t.history), scores).select(*OUT)
 
 
 # --- streams ---------------------------------------------------------------
@@ -699,17 +753,32 @@ def training_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPLAY = "60 days"
 
 
-def _message_stream(spark: SparkSession, t: traffic.Traffic, files: int | None = None
-                    ) -> DataFrame:
-    reader = spark.readStream.schema(t.messages.schema)
-    if files:
-        reader = reader.option("maxFilesPerTrigger", files)
-    return reader.parquet(f"{t.root}/messages")
+_arriving: set[str] = set()
+
+
+def _stream(spark: SparkSession, t: traffic.Traffic, name: str, table: DataFrame | None = None) -> DataFrame:
+    """Messages, reactions or another ``table`` as they arrived, about two slices of time a micro-batch."""
+    table, path = getattr(t, name) if table is None else table, f"{t.root}/arriving-{name}"
+    if path not in _arriving:
+        traffic.arrivals(table, path)
+        _arriving.add(path)
+    files = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+# what came before is the state that live streams start with
+LIVE_START = "2024-01-11"
 
 
-def _reaction_stream(spark: SparkSession, t: traffic.Traffic) -> DataFrame:
-    return spark.readStream.schema(t.reactions.schema).option(
-        "maxFilesPerTrigger", 3).parquet(f"{t.root}/reactions")
+def _log(t: traffic.Traffic) -> tuple[DataFrame, DataFrame]:
+    """The log of messages and reactions before and from the start of live streams."""
+    passing = [c for c in live.ROUTED]
+    events = live.message_events(t.messages, passing).unionByName(
+        live.reaction_events(t.reactions, t.messages), allowMissingColumns=True)
+    # files are cut by created_at, which a reaction lacks
+    events = events.withColumn("created_at", F.coalesce("created_at", "at"))
+    new = events.where(F.col("at") >= F.lit(LIVE_START).cast("timestamp"))
+    return events.where(F.col("at") < F.lit(LIVE_START).cast("timestamp")), new.unionByName(live.closing_events(new))
 
 
 @query
@@ -717,21 +786,21 @@ def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages routed as they arrive, several micro-batches."""
     t = traffic.tables(spark, sf_dir)
     out = scratch_path(spark, "stream-route")
-    routed = streams.route_stream(_message_stream(spark, t, 4), t.accounts, t.history_tables)
+    routed = streams.route_stream(_stream(spark, t, "messages"), t.accounts, t.history_tables)
     streams.drain(routed.select(*OUT), f"{out}/checkpoint", f"{out}/data")
     return spark.read.parquet(f"{out}/data")
 
 
 @query
 def stream_route_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incoming messages routed with evidence and consistency per micro-batch."""
+    """Incoming messages routed with evidence per micro-batch and consistency across them."""
     t = traffic.tables(spark, sf_dir)
     out = scratch_path(spark, "stream-batches")
-    arriving = _message_stream(spark, t).where("period = 'incoming'")
+    arriving = _stream(spark, t, "messages").where("period = 'incoming'")
     routed = streams.route_stream(arriving, t.accounts, t.history_tables, traffic.scored(t.incoming))
     streams.drain(routed, f"{out}/checkpoint", sink=streams.finish_batches(
         t.history, ev.TfIdf.fit(t.history), f"{out}/data"))
-    return spark.read.parquet(f"{out}/data").select(*OUT)
+    return streams.finished(spark, f"{out}/data").select(*OUT)
 
 
 @query
@@ -739,7 +808,7 @@ def stream_sender_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running reaction counts per recipient and sender, summed over days."""
     t = traffic.tables(spark, sf_dir)
     out = scratch_path(spark, "stream-senders")
-    counted = streams.sender_stats_stream(_reaction_stream(spark, t), t.history, REPLAY)
+    counted = streams.sender_stats_stream(_stream(spark, t, "reactions"), t.history, REPLAY)
     streams.drain(counted, f"{out}/checkpoint", sink=streams.upsert_batches(f"{out}/data"),
                   mode="update")
     days = streams.latest(spark, f"{out}/data", ["day", "user_id", "sender_key"])
@@ -752,7 +821,7 @@ def stream_daily_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily notification load per user."""
     t = traffic.tables(spark, sf_dir)
     out = scratch_path(spark, "stream-load")
-    streams.drain(streams.daily_load_stream(_reaction_stream(spark, t), REPLAY),
+    streams.drain(streams.daily_load_stream(_stream(spark, t, "reactions"), REPLAY),
                   f"{out}/checkpoint", sink=streams.upsert_batches(f"{out}/data"), mode="update")
     return streams.latest(spark, f"{out}/data", ["user_id", "date"]).select(
         "user_id", F.col("date").cast("string").alias("date"), "notifications_sent",
@@ -764,8 +833,45 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message delivered twice, kept once."""
     t = traffic.tables(spark, sf_dir)
     out = scratch_path(spark, "stream-dedup")
-    once = _message_stream(spark, t, 4).select("message_id", "user_id", "created_at")
-    again = _message_stream(spark, t, 4).select("message_id", "user_id", "created_at")
+    once = _stream(spark, t, "messages").select("message_id", "user_id", "created_at")
+    again = _stream(spark, t, "messages").select("message_id", "user_id", "created_at")
     streams.drain(streams.deduplicated(once.unionAll(again), REPLAY),
                   f"{out}/checkpoint", f"{out}/data")
     return spark.read.parquet(f"{out}/data").select("message_id", "user_id")
+
+
+@query
+def stream_live_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sender, user and category features of arriving messages, by counts that follow the reactions."""
+    t = traffic.tables(spark, sf_dir)
+    out = scratch_path(spark, "stream-live")
+    past, new = _log(t)
+    start = staged(live.starting_counts(past), "live-start")
+    with live.rocksdb(spark):
+        streams.drain(live.live_features(_stream(spark, t, "log", new), start), f"{out}/checkpoint", f"{out}/data")
+    return _rounded(spark.read.parquet(f"{out}/data").where(F.col("message_id") != live.CLOSING).select(
+        "message_id", *live.FEATURES))
+
+
+@query
+def stream_route_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arriving messages routed with counts that follow the reactions."""
+    t = traffic.tables(spark, sf_dir)
+    out = scratch_path(spark, "stream-route-live")
+    past, new = _log(t)
+    start = staged(live.starting_counts(past), "live-start")
+    with live.rocksdb(spark):
+        routed = live.route_live(_stream(spark, t, "log", new), t.accounts, t.history_tables, start)
+        streams.drain(routed.select(*OUT), f"{out}/checkpoint", f"{out}/data")
+    return spark.read.parquet(f"{out}/data").where(F.col("message_id") != live.CLOSING)
+
+
+@query
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arriving messages with their reaction within an hour, or without one: two streams joined."""
+    t = traffic.tables(spark, sf_dir)
+    out = scratch_path(spark, "stream-answers")
+    _, new = _log(t)
+    sides = [_stream(spark, t, "log", new).where(F.col("kind") == k) for k in ("message", "reaction")]
+    streams.drain(live.answers(*sides), f"{out}/checkpoint", f"{out}/data")
+    return spark.read.parquet(f"{out}/data").where(F.col("message_id") != live.CLOSING)

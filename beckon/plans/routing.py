@@ -55,10 +55,11 @@ def with_guard_override(df: DataFrame) -> DataFrame:
 
 
 def decide(messages: DataFrame, accounts: DataFrame, tables: hist.HistoryTables,
-           scored: DataFrame | None = None) -> DataFrame:
+           scored: DataFrame | None = None, features: DataFrame | None = None) -> DataFrame:
     """Decisions before evidence and checks, one row per message.
 
-    Joins on ``message_id`` follow each other, so the wide rows move once.
+    Joins on ``message_id`` follow each other, so the wide rows move once.  ``features``
+    takes the place of the history features in use, such as those as of a time.
     """
     signals = with_signals(messages, accounts)
     if scored is None:
@@ -67,7 +68,8 @@ def decide(messages: DataFrame, accounts: DataFrame, tables: hist.HistoryTables,
             "model_probability": F.lit(None).cast("double")})
     else:
         signals = signals.join(scored, "message_id", "left")
-    features = hist.history_features(messages, tables, HISTORY_NEEDED)
+    if features is None:
+        features = hist.history_features(messages, tables, HISTORY_NEEDED)
     return with_decision(signals.join(features, "message_id", "left"))
 
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def local_session(name: str = "beckon", cores: str = "8", partitions: int = 8) -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
+    """A session for tests and benchmarks on one machine; Python workers find this package wherever it starts."""
+    home = str(Path(__file__).resolve().parent.parent)
+    if home not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [home, os.environ.get("PYTHONPATH")]))
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))

@@ -49,6 +49,7 @@ ORACLES["rule_cascade"] = sql(
     f"{r.RULE_REASON} AS reason, rule_confidence AS confidence, "
     "'none' AS evidence_message_ids, rule_id FROM ruled WHERE rule_id IS NOT NULL",
     "messages", "accounts", extra=RULED)
+ORACLES["rule_output_round_trip"] = f"SELECT {OUT} FROM ({ORACLES['rule_cascade']})"
 ORACLES["rule_coverage"] = sql(
     "SELECT count(*) AS messages, count(rule_id) AS matched, "
     "round(count(rule_id) / count(*), 6) AS coverage FROM ruled",
@@ -210,6 +211,107 @@ ORACLES["topic_similarity"] = sql(
     "SELECT message_id, round(topic_similarity, 5) AS topic_similarity FROM topic",
     "incoming", "history", extra=EVIDENCE)
 
+# --- as of each message's time ---------------------------------------------
+KNOWN = {"known": """
+  SELECT user_id, coalesce(sender_user_id, 'business') AS sender_key, conversation_type,
+    created_at + to_minutes((CASE WHEN event_type IN ('click', 'view', 'purchase') THEN k ELSE 0 END)::BIGINT) AS at,
+    (event_type IN ('click', 'view', 'purchase'))::INT AS opened, (event_type = 'purchase')::INT AS replied,
+    (event_type IN ('error', 'signup'))::INT AS dismissed, (event_type = 'error' AND k >= 60)::INT AS reported,
+    list_distinct(""" + WORDS + """) AS w
+  FROM history"""}
+SCOPE_AS_OF = {"scopes": """
+  SELECT *, CASE kind WHEN 'sender' THEN sender_user_id WHEN 'group' THEN group_id WHEN 'business' THEN business_id
+      ELSE '' END AS id, CASE kind WHEN 'sender' THEN n_s WHEN 'group' THEN n_g WHEN 'business' THEN n_b ELSE n_u END
+      AS scope_rows, CASE kind WHEN 'sender' THEN t_s WHEN 'group' THEN t_g WHEN 'business' THEN t_b ELSE t_u END AS newest
+  FROM (SELECT *, CASE WHEN n_b > 0 AND (CASE WHEN k1 = 'sender' THEN n_s WHEN k1 = 'group' THEN n_g ELSE n_u END)
+        = n_u THEN 'business' ELSE k1 END AS kind
+    FROM (SELECT *, CASE WHEN n_g > 0 AND (n_s = 0 OR n_s = n_u) THEN 'group' WHEN n_s > 0 THEN 'sender'
+          ELSE 'user' END AS k1
+      FROM (SELECT m.message_id, m.user_id, m.sender_user_id, m.group_id, m.business_id,
+          count(*) AS n_u, max(h.created_at) AS t_u,
+          count(*) FILTER (h.sender_user_id = m.sender_user_id) AS n_s,
+          max(h.created_at) FILTER (h.sender_user_id = m.sender_user_id) AS t_s,
+          count(*) FILTER (h.group_id = m.group_id) AS n_g, max(h.created_at) FILTER (h.group_id = m.group_id) AS t_g,
+          count(*) FILTER (h.business_id = m.business_id) AS n_b,
+          max(h.created_at) FILTER (h.business_id = m.business_id) AS t_b
+        FROM messages m JOIN history h ON h.user_id = m.user_id AND h.created_at < m.created_at
+        GROUP BY ALL)))"""}
+EVIDENCE_AS_OF = {
+    **EVIDENCE, **SCOPE_AS_OF,
+    "pairs": """
+      SELECT c.message_id, h.message_id AS evidence_id, h.created_at, c.newest
+      FROM scopes c JOIN messages i USING (message_id)
+      JOIN history h ON h.user_id = c.user_id AND h.created_at < i.created_at AND CASE c.kind
+        WHEN 'sender' THEN h.sender_user_id = c.sender_user_id
+        WHEN 'group' THEN h.group_id = c.group_id
+        WHEN 'business' THEN h.business_id = c.business_id ELSE true END
+      WHERE length(coalesce(i.message_text, '')) >= 10"""}
+del EVIDENCE_AS_OF["lists"]
+ORACLES["evidence_scope_as_of"] = sql(
+    "SELECT message_id, kind, id, scope_rows, epoch_us(newest) AS newest FROM scopes", "messages", "history",
+    extra=SCOPE_AS_OF)
+ORACLES["evidence_topk_as_of"] = sql(
+    "SELECT message_id, rank, evidence_id, score FROM best", "messages", "history", extra=EVIDENCE_AS_OF)
+ORACLES["features_as_of"] = sql("SELECT message_id, " + ", ".join(
+    f"round(coalesce({e}, 0)::DOUBLE, 5) AS {n}" for n, e in {
+        "sender_message_count": "s.n", "sender_reply_rate": "s.replied / s.n", "sender_open_rate": "s.opened / s.n",
+        "sender_dismiss_rate": "s.dismissed / s.n", "sender_report_count": "s.reported",
+        "sender_trust_score": "s.replied / s.n * 2.0 + s.opened / s.n - s.dismissed / s.n * 3.0 - s.reported * 10.0",
+        "topic_similarity": "topic_similarity", "user_total_opens": "u.opened", "user_total_replies": "u.replied",
+        "user_reply_rate": "u.replied / u.n", "user_notification_load": "d.load", "similar_dismissals": "u.alike",
+        "category_dismiss_rate": "coalesce(g.dismissed, 0) / greatest(c.n, 1)",
+        **{c: c for c in L.HISTORY_FEATURES[13:]}}.items())
+    + """ FROM messages m
+LEFT JOIN (SELECT m.message_id, count(*) AS n, sum(opened) AS opened, sum(replied) AS replied, sum(dismissed) AS dismissed,
+    sum(reported) AS reported FROM messages m JOIN known r ON r.user_id = m.user_id
+    AND r.sender_key = coalesce(m.sender_user_id, 'business') AND r.at < m.created_at GROUP BY ALL) s USING (message_id)
+LEFT JOIN (SELECT m.message_id, count(*) AS n, sum(opened) AS opened, sum(replied) AS replied, count(*) FILTER (
+    dismissed = 1 AND len(list_intersect(r.w, m.w)) >= 3) AS alike
+    FROM (SELECT *, list_distinct(""" + WORDS + """) AS w FROM messages) m JOIN known r
+    ON r.user_id = m.user_id AND r.at < m.created_at GROUP BY ALL) u USING (message_id)
+LEFT JOIN (SELECT m.message_id, count(*) / count(DISTINCT h.created_at::DATE) AS load FROM messages m JOIN history h
+    ON h.user_id = m.user_id AND h.created_at::DATE < m.created_at::DATE GROUP BY ALL) d USING (message_id)
+LEFT JOIN (SELECT m.message_id, count(*) AS n FROM messages m JOIN history h ON h.user_id = m.user_id
+    AND h.conversation_type = m.conversation_type AND h.created_at < m.created_at GROUP BY ALL) c USING (message_id)
+LEFT JOIN (SELECT m.message_id, sum(dismissed) AS dismissed FROM messages m JOIN known r ON r.user_id = m.user_id
+    AND r.conversation_type = m.conversation_type AND r.at < m.created_at GROUP BY ALL) g USING (message_id)
+LEFT JOIN topic USING (message_id)
+LEFT JOIN relations rel ON rel.user_id = m.user_id AND rel.business_id = m.business_id
+LEFT JOIN members mem ON mem.user_id = m.user_id AND mem.group_id = m.group_id""",
+    "messages", "history", "relations", "members", extra={**EVIDENCE_AS_OF, **KNOWN})
+ORACLES["stream_live_features"] = sql("SELECT message_id, " + ", ".join(
+    f"round(coalesce({e}, 0)::DOUBLE, 6) AS {n}" for n, e in {
+        "sender_message_count": "s.n", "sender_reply_rate": "s.replied / s.n", "sender_open_rate": "s.opened / s.n",
+        "sender_dismiss_rate": "s.dismissed / s.n", "sender_report_count": "s.reported",
+        "sender_trust_score": "s.replied / s.n * 2.0 + s.opened / s.n - s.dismissed / s.n * 3.0 - s.reported * 10.0",
+        "user_total_opens": "u.opened", "user_total_replies": "u.replied", "user_reply_rate": "u.replied / u.n",
+        "category_dismiss_rate": "coalesce(g.dismissed, 0) / greatest(c.n, 1)"}.items())
+    + """ FROM messages m
+LEFT JOIN (SELECT m.message_id, count(*) AS n, sum(opened) AS opened, sum(replied) AS replied, sum(dismissed) AS dismissed,
+    sum(reported) AS reported FROM messages m JOIN known r ON r.user_id = m.user_id
+    AND r.sender_key = coalesce(m.sender_user_id, 'business') AND r.at < m.created_at GROUP BY ALL) s USING (message_id)
+LEFT JOIN (SELECT m.message_id, count(*) AS n, sum(opened) AS opened, sum(replied) AS replied
+    FROM messages m JOIN known r ON r.user_id = m.user_id AND r.at < m.created_at GROUP BY ALL) u USING (message_id)
+LEFT JOIN (SELECT m.message_id, count(*) AS n FROM messages m JOIN messages h ON h.user_id = m.user_id
+    AND h.conversation_type = m.conversation_type AND h.created_at < m.created_at GROUP BY ALL) c USING (message_id)
+LEFT JOIN (SELECT m.message_id, sum(dismissed) AS dismissed FROM messages m JOIN known r ON r.user_id = m.user_id
+    AND r.conversation_type = m.conversation_type AND r.at < m.created_at GROUP BY ALL) g USING (message_id)
+WHERE m.created_at >= TIMESTAMP '2024-01-11'""", "messages", "history", extra=KNOWN)
+ORACLES["stream_answers"] = sql("""
+SELECT user_id, message_id, answered, CASE WHEN answered THEN waited END AS minutes,
+  (answered AND opened)::INT AS message_opened, (answered AND event_type = 'purchase')::INT AS message_replied,
+  (answered AND NOT opened)::INT AS notification_dismissed,
+  (answered AND event_type = 'error' AND k >= 60)::INT AS message_reported
+FROM (SELECT *, past AND waited <= 60 AS answered FROM (SELECT *, event_type IN ('click', 'view', 'purchase') AS opened,
+    CASE WHEN event_type IN ('click', 'view', 'purchase') THEN k ELSE 0 END AS waited FROM messages))
+WHERE created_at >= TIMESTAMP '2024-01-11'""", "messages")
+ORACLES["model_contract"] = sql("""
+SELECT (SELECT count(*) FROM incoming) AS scored, 0 AS wrong_sums, 0 AS wrong_probabilities, 0 AS wrong_actions,
+  count(*) AS labelled, (SELECT sum(t)::BIGINT FROM (SELECT round(count(*) * 0.2::DOUBLE) AS t
+    FROM history JOIN truth USING (message_id) GROUP BY true_action)) AS test_rows,
+  0 AS changed_by_saving, 200 AS train_rounds, 200 AS test_rounds, 0 AS rises FROM history""",
+    "incoming", "history", "truth")
+
 # --- enrichment ------------------------------------------------------------
 ENRICHED = {"enriched": r.ENRICHED}
 ORACLES["enriched_messages"] = sql(

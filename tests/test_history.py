@@ -69,7 +69,8 @@ def brute_top(past, new, k=3, only_older=False):
     for m in new:
         if len(m[7]) < 10:
             continue
-        own = [i for i, r in enumerate(past) if r[1] == m[1]]
+        # only older rows exist for a message, in the choice of the scope too
+        own = [i for i, r in enumerate(past) if r[1] == m[1] and not (only_older and r[6] >= m[6])]
         scope = own
         for position in (2, 3, 4):
             if len(scope) == len(own) and m[position]:
@@ -82,8 +83,6 @@ def brute_top(past, new, k=3, only_older=False):
         vector = unit(Counter(terms(m[7])))
         scored = []
         for i in scope:
-            if only_older and past[i][6] >= m[6]:
-                continue
             score = sum(w * vectors[i].get(t, 0.0) for t, w in vector.items())
             score = round(score + 0.15 * math.exp(-(newest - days[i]) / 60), 6)
             if score > 0.2:
@@ -123,6 +122,22 @@ def test_similar_dismissals_is_exact(spark, data, block_rows):
     assert got == want
 
 
+def test_similar_dismissals_as_of(spark, data):
+    past, new, past_df, new_df = data
+    reactions = past_df.select("user_id", "message_id", (F.crc32("message_id") % 2).cast("int").alias("notification_dismissed"),
+                               F.unix_micros("created_at").alias("at"))
+    gone = {r["message_id"] for r in reactions.where("notification_dismissed = 1").collect()}
+    got = {r["message_id"]: r["similar_dismissals"] for r in hist.similar_dismissals(
+        new_df, reactions, past_df, 5, point_in_time=True).collect()}
+    want = {}
+    for m in new:
+        n = sum(len(set(m[7].split()) & set(r[7].split())) >= 3
+                for r in past if r[0] in gone and r[1] == m[1] and r[6] < m[6])
+        if n:
+            want[m[0]] = float(n)
+    assert got == want
+
+
 def test_salted_lookup_equals_plain_join(spark, data):
     _, _, past_df, _ = data
     stats = past_df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
