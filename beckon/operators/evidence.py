@@ -6,7 +6,8 @@ shuffle.  Candidates are limited to the scope a message chose (same sender,
 group, business or user).  Equal vectors inside a scope are merged before any
 comparison: equal messages ask once, and of equal history rows only the k most
 recent can ever be in a top-k, so the others are left out without changing
-the result.  What remains is compared block by block.
+the result.  What remains is cut into blocks of similar rows, and blocks that
+cannot hold one of the best rows are skipped (``pruned.py``).
 """
 
 from __future__ import annotations
@@ -24,9 +25,7 @@ from pyspark.sql import types as T
 from beckon import lexicons as L
 from beckon.functions.match import UNICODE, case, filled, quoted, quoted_list
 from beckon.operators.asof import as_of, micros
-from beckon.operators.blocks import (
-    LEFT_ROWS, RIGHT_ROWS, block_pairs, list_column, with_group_sizes,
-)
+from beckon.operators.pruned import Visits, dense, pruned_top_k
 from beckon.session import staged, where_computed
 
 VOCABULARY_SIZE = 500
@@ -251,14 +250,16 @@ def weighed(history: DataFrame, model: TfIdf) -> Weighed:
 
 
 def top_evidence(messages: DataFrame, history: DataFrame | Weighed, model: TfIdf, k: int = TOP_K,
-                 block_rows: int = 2048, point_in_time: bool = False) -> DataFrame:
+                 block_rows: int = 512, point_in_time: bool = False,
+                 visits: list[Visits] | None = None) -> DataFrame:
     """The best ``k`` history rows per message with a score above 0.2.
 
     Returns ``message_id, rank, evidence_id, score``.  Score: cosine plus
     recency boost, rounded to six digits; ties go to the later row.
     ``point_in_time`` admits only history older than the message, in the choice of
     the scope and in its newest row too (``history`` is a table then); nothing
-    is merged by vector, as each message sees other rows.
+    is merged by vector, as each message sees other rows.  What was visited is
+    added to the list ``visits``, if there is one.
     """
     scope = ["user_id", "kind", "id"]
     usable = messages.where(f"length({filled('message_text')}) >= {MIN_TEXT}")
@@ -293,7 +294,8 @@ def top_evidence(messages: DataFrame, history: DataFrame | Weighed, model: TfIdf
         queries = asked.withColumn("query_id", F.col("message_id"))
         owners = None
     else:
-        asked = asked.withColumn("query_id", F.concat_ws("|", "scope_key", _vector_key()))
+        # stored with their vectors, which both the queries and their owners come from
+        asked = staged(asked.withColumn("query_id", F.concat_ws("|", "scope_key", _vector_key())), "asked-vectors")
         owners = asked.select("message_id", "query_id")
         queries = asked.groupBy("scope_key", "query_id").agg(
             *[F.first(c).alias(c) for c in ["term_ids", "weights"]],
@@ -302,22 +304,15 @@ def top_evidence(messages: DataFrame, history: DataFrame | Weighed, model: TfIdf
     # blocks are cut by what is left after equal queries and copies are merged
     queries = staged(queries.select("query_id", "scope_key", "term_ids", "weights", "asked_at", "asked_newest"),
                      "evidence-queries")
-    candidates = staged(candidates, "evidence-candidates")
-    merged = staged(queries.groupBy("scope_key").agg(F.count(F.lit(1)).alias(LEFT_ROWS)).join(
-        candidates.groupBy("scope_key").agg(F.count(F.lit(1)).alias(RIGHT_ROWS)), "scope_key"),
-        "evidence-sizes")
-    best = block_pairs(
-        with_group_sizes(queries, merged, ["scope_key"]),
-        with_group_sizes(candidates, merged, ["scope_key"]), key="scope_key", left_id="query_id", right_id="evidence_id",
-        block_rows=block_rows,
-        function=_block_top_k(k, max(len(model.terms), 1), point_in_time),
-        schema=T.StructType([
-            T.StructField("query_id", T.StringType()), T.StructField("score", T.DoubleType()),
-            T.StructField("at", T.LongType()), T.StructField("evidence_id", T.StringType())]))
+    found = pruned_top_k(queries, candidates, k, max(len(model.terms), 1), block_rows,
+                         _block_top_k(k, max(len(model.terms), 1), point_in_time), MIN_SCORE,
+                         _boost_of_days if point_in_time else None)
+    if visits is not None:
+        visits.append(found)
     order = Window.partitionBy("query_id").orderBy(
         F.desc("score"), F.desc_nulls_last("at"), F.desc("evidence_id"))
-    # k rows per block remain: the window sorts k x blocks rows per query
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # k rows per visit remain: the window sorts k x visited blocks rows per query
+    ranked = found.found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if owners is None:
         return ranked.select(F.col("query_id").alias("message_id"), "rank", "evidence_id",
                              "score")
@@ -345,16 +340,11 @@ def _most_recent_copies(candidates: DataFrame, k: int) -> DataFrame:
             .where(F.col("_n") <= k).drop("_vector", "_n"))
 
 
-def _dense(table: pa.Table, size: int):
-    """Rows of sparse vectors as a matrix."""
+def _boost_of_days(days):
+    """The recency boost of rows of an age in days, as arrays."""
     import numpy as np
 
-    ids, ends = list_column(table["term_ids"])
-    weights, _ = list_column(table["weights"])
-    matrix = np.zeros((table.num_rows, size))
-    rows = np.repeat(np.arange(table.num_rows), np.diff(ends))
-    matrix[rows, ids.to_numpy(zero_copy_only=False)] = weights.to_numpy(zero_copy_only=False)
-    return matrix
+    return np.exp(-days / RECENCY_DAYS) * RECENCY_WEIGHT
 
 
 def _block_top_k(k: int, size: int, point_in_time: bool):
@@ -374,20 +364,24 @@ def _block_top_k(k: int, size: int, point_in_time: bool):
             if not right.num_rows:
                 return schema.empty_table()
         boost = right["boost"].to_numpy()
-        history = _dense(right, size).T
+        history = dense(right, size).T
         seen_at = right["at"].to_numpy()
+        scopes = pa.chunked_array([*left["scope_key"].chunks, *right["scope_key"].chunks]).combine_chunks()
+        scopes = scopes.dictionary_encode().indices.to_numpy()
+        own_scope, scope = scopes[:left.num_rows], scopes[left.num_rows:]
         chunk = max(1, 4_000_000 // right.num_rows)
         parts = []
         for start in range(0, left.num_rows, chunk):
             piece = left.slice(start, chunk)
-            cosines = _dense(piece, size) @ history
+            cosines = dense(piece, size) @ history
             if point_in_time:
                 asked, newest = (piece[c].to_numpy()[:, None] for c in ("asked_at", "asked_newest"))
                 days = (newest - seen_at[None, :]) / 86_400_000_000.0
                 older = seen_at[None, :] < asked
-                boost = np.where(older, np.exp(-np.where(older, days, 0.0) / RECENCY_DAYS) * RECENCY_WEIGHT, -2.0)
+                boost = np.where(older, _boost_of_days(np.where(older, days, 0.0)), -2.0)
             scores = np.round(cosines + boost, SCORE_DIGITS)
-            row, col = np.nonzero(scores > MIN_SCORE)
+            inside = own_scope[start:start + chunk, None] == scope[None, :]
+            row, col = np.nonzero((scores > MIN_SCORE) & inside)
             value = scores[row, col]
             order = np.lexsort((col, -value, row))
             row, col, value = row[order], col[order], value[order]

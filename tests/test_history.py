@@ -105,6 +105,31 @@ def test_top_evidence_is_exact(data, block_rows, only_older):
     assert dict(got) == brute_top(past, new, only_older=only_older)
 
 
+def test_blocks_below_the_bound_are_skipped(spark):
+    rng = random.Random(5)
+    topics = [[f"{a}{b}" for b in "lake tree road bread train paper cloud".split()] for a in "abcdefgh"]
+
+    def frame(n, prefix):
+        rows = [(f"{prefix}{i}", "u", None, None, None, "personal", f"2024-01-{1 + i % 28:02d} 08:00:00",
+                 " ".join(rng.sample(topics[i % 8], 4))) for i in range(n)]
+        schema = SCHEMAS["message_history"].replace("created_at timestamp", "created_at string")
+        return rows, spark.createDataFrame(rows, schema).withColumn("created_at", F.to_timestamp("created_at"))
+
+    past, past_df = frame(400, "p")
+    new, new_df = frame(40, "n")
+    visits = []
+    top = ev.top_evidence(new_df, past_df, ev.TfIdf.fit(past_df), block_rows=10, visits=visits)
+    got = defaultdict(list)
+    for row in sorted(top.collect(), key=lambda r: (r["message_id"], r["rank"])):
+        got[row["message_id"]].append(row["evidence_id"])
+    assert dict(got) == brute_top(past, new)
+    made = visits[0].visits.join(visits[0].blocks, "block").agg(F.sum("block_rows"), F.count_distinct("query_id")).first()
+    rows = visits[0].blocks.agg(F.sum("block_rows")).first()[0]
+    # all texts meet in one scope; most pairs of a message and a past row are never scored
+    assert made[0] < 0.5 * made[1] * rows
+    assert visits[0].visits.distinct().count() == visits[0].visits.count()
+
+
 @pytest.mark.parametrize("block_rows", [3, 1024])
 def test_similar_dismissals_is_exact(spark, data, block_rows):
     past, new, past_df, new_df = data
