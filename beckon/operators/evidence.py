@@ -25,15 +25,13 @@ from pyspark.sql import types as T
 from beckon import lexicons as L
 from beckon.functions.match import UNICODE, case, filled, quoted, quoted_list
 from beckon.operators.asof import as_of, micros
-from beckon.operators.pruned import Visits, dense, pruned_top_k
+from beckon.operators.pruned import RECENCY_DAYS, RECENCY_WEIGHT, Visits, boost_of_days, dense, pruned_top_k
 from beckon.session import staged, where_computed
 
 VOCABULARY_SIZE = 500
 TOP_K = 3
 MIN_SCORE = 0.2
 MIN_TEXT = 10
-RECENCY_WEIGHT = 0.15
-RECENCY_DAYS = 60.0
 SCORE_DIGITS = 6
 
 
@@ -306,7 +304,7 @@ def top_evidence(messages: DataFrame, history: DataFrame | Weighed, model: TfIdf
                      "evidence-queries")
     found = pruned_top_k(queries, candidates, k, max(len(model.terms), 1), block_rows,
                          _block_top_k(k, max(len(model.terms), 1), point_in_time), MIN_SCORE,
-                         _boost_of_days if point_in_time else None)
+                         point_in_time)
     if visits is not None:
         visits.append(found)
     order = Window.partitionBy("query_id").orderBy(
@@ -340,13 +338,6 @@ def _most_recent_copies(candidates: DataFrame, k: int) -> DataFrame:
             .where(F.col("_n") <= k).drop("_vector", "_n"))
 
 
-def _boost_of_days(days):
-    """The recency boost of rows of an age in days, as arrays."""
-    import numpy as np
-
-    return np.exp(-days / RECENCY_DAYS) * RECENCY_WEIGHT
-
-
 def _block_top_k(k: int, size: int, point_in_time: bool):
     """A function that finds the top-k right rows of each left row of two blocks."""
     import numpy as np
@@ -378,7 +369,7 @@ def _block_top_k(k: int, size: int, point_in_time: bool):
                 asked, newest = (piece[c].to_numpy()[:, None] for c in ("asked_at", "asked_newest"))
                 days = (newest - seen_at[None, :]) / 86_400_000_000.0
                 older = seen_at[None, :] < asked
-                boost = np.where(older, _boost_of_days(np.where(older, days, 0.0)), -2.0)
+                boost = np.where(older, boost_of_days(np.where(older, days, 0.0)), -2.0)
             scores = np.round(cosines + boost, SCORE_DIGITS)
             inside = own_scope[start:start + chunk, None] == scope[None, :]
             row, col = np.nonzero((scores > MIN_SCORE) & inside)

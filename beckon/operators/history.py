@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,31 +196,76 @@ def similar_dismissals(messages: DataFrame, reactions: DataFrame, history: DataF
     """Per message, how many texts its user dismissed share three or more words.
 
     Messages and dismissed texts of one user meet block by block; a task sees
-    two blocks of bounded size and returns one row per message, never pairs.
+    two blocks of bounded size and returns one row per message, never pairs.  Where a
+    user has so many that blocks would be sent more often than words, they meet under
+    the rarer words they share instead.
     With ``point_in_time`` only texts dismissed before the message count; the reactions
     then carry the time ``at`` in microseconds.  Runs jobs at once to count the merged texts.
     """
     # blocks are cut by what is left after copies are merged
     dismissed = staged(dismissed_texts(reactions, history, point_in_time), "dismissed-texts")
-    sizes = staged(messages.groupBy("user_id").agg(F.count(F.lit(1)).alias(LEFT_ROWS)).join(
-        dismissed.groupBy("user_id").agg(F.count(F.lit(1)).alias(RIGHT_ROWS)), "user_id"),
-        "dismissal-sizes")
     asked_at = F.unix_micros(F.col("created_at").cast("timestamp")) if point_in_time else F.lit(None).cast("long")
-    asked = where_computed(messages.select("message_id", "user_id", asked_at.alias("at"), word_set("message_text")
-                                           .alias("words")), f"size(words) >= {COMMON_WORDS}")
-    counted = block_pairs(
-        with_group_sizes(asked, sizes, ["user_id"]),
-        with_group_sizes(dismissed, sizes, ["user_id"]),
-        key="user_id", left_id="message_id", right_id="text_key", block_rows=block_rows,
-        function=_count_overlaps,
+    asked = staged(where_computed(messages.select("message_id", "user_id", asked_at.alias("at"), word_set("message_text")
+                                                  .alias("words")), f"size(words) >= {COMMON_WORDS}").withColumn(
+        "_row", F.monotonically_increasing_id()), "asked-words")
+
+    def counted(df: DataFrame, rows: str, entries: str) -> DataFrame:
+        indexed = F.size("words") - (COMMON_WORDS - 1)
+        return df.groupBy("user_id").agg(F.count(F.lit(1)).alias(rows), F.sum(indexed).alias(entries))
+
+    sizes = staged(counted(asked, LEFT_ROWS, "_left_entries").join(
+        counted(dismissed, RIGHT_ROWS, "_right_entries"), "user_id"), "dismissal-sizes")
+    # a user's rows are sent once per block of the other side, or once per word in the index
+    blocked = (F.ceil(F.col(RIGHT_ROWS) / block_rows) * F.col(LEFT_ROWS)
+               + F.ceil(F.col(LEFT_ROWS) / block_rows) * F.col(RIGHT_ROWS))
+    heavy = blocked > F.col("_left_entries") + F.col("_right_entries")
+    plain, hot = sizes.where(~heavy), sizes.where(heavy).select("user_id")
+    pairs = [(asked.withColumn("place", F.lit(None).cast("int")), dismissed.withColumn("place", F.lit(None).cast("int")),
+              plain, "user_id")]
+    if not hot.isEmpty():
+        pairs.append(_by_rare_words(asked.join(hot, "user_id"), dismissed.join(hot, "user_id")))
+    found = [block_pairs(
+        with_group_sizes(left, met, [key]), with_group_sizes(right, met, [key]),
+        key=key, left_id="message_id", right_id="text_key", block_rows=block_rows, function=_count_overlaps,
         schema=T.StructType([T.StructField("message_id", T.StringType()),
-                             T.StructField("similar_dismissals", T.LongType())]))
-    return counted.groupBy("message_id").agg(
+                             T.StructField("similar_dismissals", T.LongType())])) for left, right, met, key in pairs]
+    return reduce(DataFrame.unionAll, found).groupBy("message_id").agg(
         F.sum("similar_dismissals").cast("double").alias("similar_dismissals"))
 
 
+def _by_rare_words(asked: DataFrame, dismissed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """Messages and dismissed texts listed under each of their words but the two most frequent ones.
+
+    Words are ordered by the number of the user's dismissed texts that hold them, rarest first.
+    Texts that share three words share one that is followed by two more in both, so they meet
+    under the rarest word they share; there alone the pair counts.  A text is sent once per
+    listed word, however many texts the user has.  Words that no dismissed text holds are left out.
+    """
+    counts = staged(dismissed.select("user_id", F.explode("words").alias("w")).groupBy("user_id", "w").agg(
+        F.count(F.lit(1)).alias("n")), "dismissed-words")
+
+    def listed(df: DataFrame, row: str, more: list[str], purpose: str) -> DataFrame:
+        words = df.select("user_id", row, F.explode("words").alias("w")).join(counts, ["user_id", "w"])
+        ordered = words.groupBy("user_id", row).agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("_w"))
+        sets = ordered.withColumn("words", F.col("_w.w")).where(f"size(words) >= {COMMON_WORDS}").join(
+            df.select("user_id", row, *more), ["user_id", row])
+        rank = F.posexplode(F.expr(f"slice(words, 1, size(words) - {COMMON_WORDS - 1})"))
+        return staged(sets.select(row, *more, "words", "user_id", rank.alias("place", "_word")).withColumn(
+            "list_key", F.to_json(F.struct("user_id", "_word"))).drop("user_id", "_word"), purpose)
+
+    left = listed(asked, "_row", ["message_id", "at"], "asked-lists")
+    right = listed(dismissed, "text_key", ["at", "copies"], "dismissed-lists")
+    met = staged(left.groupBy("list_key").agg(F.count(F.lit(1)).alias(LEFT_ROWS)).join(
+        right.groupBy("list_key").agg(F.count(F.lit(1)).alias(RIGHT_ROWS)), "list_key"), "list-sizes")
+    return left, right, met, "list_key"
+
+
 def _count_overlaps(left, right):
-    """Rows of ``left`` with the weight of right rows sharing enough words."""
+    """Rows of ``left`` with the weight of right rows sharing enough words.
+
+    Where the rows have a ``place``, the two sides met under the word there; words are
+    in one order then, and a pair that shares an earlier word counts under that one.
+    """
     import numpy as np
     import pyarrow as pa
 
@@ -227,6 +273,7 @@ def _count_overlaps(left, right):
 
     l_words, l_ends = list_column(left["words"])
     r_words, r_ends = list_column(right["words"])
+    listed = left["place"].null_count == 0
     # number the words of both sides alike; only words on both sides can be shared
     coded = pa.chunked_array([l_words.cast(pa.string()), r_words.cast(pa.string())]
                              ).combine_chunks().dictionary_encode()
@@ -236,20 +283,33 @@ def _count_overlaps(left, right):
     both = np.zeros(size, bool)
     both[np.intersect1d(l_codes, r_codes)] = True
     number = np.cumsum(both) - 1
-    l_rows = np.repeat(np.arange(len(left)), np.diff(l_ends))[both[l_codes]]
-    r_rows = np.repeat(np.arange(len(right)), np.diff(r_ends))[both[r_codes]]
-    l_codes, r_codes = number[l_codes[both[l_codes]]], number[r_codes[both[r_codes]]]
-    # products of 0/1 matrices, a part of the words at a time
-    shared = np.zeros((len(left), len(right)), np.float32)
-    for start in range(0, int(both.sum()), WORDS_AT_ONCE):
-        sides = []
-        for rows, own, n in ((l_rows, l_codes, len(left)), (r_rows, r_codes, len(right))):
-            here = (own >= start) & (own < start + WORDS_AT_ONCE)
-            matrix = np.zeros((n, WORDS_AT_ONCE), np.float32)
-            matrix[rows[here], own[here] - start] = 1
-            sides.append(matrix)
-        shared += sides[0] @ sides[1].T
+    sides = []
+    for table, ends, own in ((left, l_ends, l_codes), (right, r_ends, r_codes)):
+        kept = both[own]
+        rows = np.repeat(np.arange(len(table)), np.diff(ends))
+        before = np.zeros(len(own), bool)
+        if listed:
+            before = np.arange(len(own)) - ends[rows] < table["place"].to_numpy()[rows]
+        sides.append((rows[kept], number[own[kept]], before[kept], len(table)))
+
+    def common(only_before: bool):
+        """Shared words by products of 0/1 matrices, a part of the words at a time."""
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for start in range(0, int(both.sum()), WORDS_AT_ONCE):
+            made = []
+            for rows, own, before, n in sides:
+                here = (own >= start) & (own < start + WORDS_AT_ONCE) & (before | (not only_before))
+                matrix = np.zeros((n, WORDS_AT_ONCE), np.float32)
+                matrix[rows[here], own[here] - start] = 1
+                made.append(matrix)
+            shared += made[0] @ made[1].T
+        return shared
+
+    shared = common(False)
+    earlier = common(True) if listed else None
     alike = shared >= COMMON_WORDS
+    if listed:
+        alike &= earlier == 0
     if right["at"].null_count < len(right):  # only what was dismissed before; no time, nothing before
         asked = left["at"].fill_null(np.iinfo(np.int64).min).to_numpy()
         alike &= right["at"].to_numpy()[None, :] < asked[:, None]

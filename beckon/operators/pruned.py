@@ -23,6 +23,8 @@ from beckon.session import staged
 
 LEADING_TERMS = 3
 SUMMARY_ROWS = 1024  # block summaries (or messages) that meet in one call
+RECENCY_WEIGHT = 0.15
+RECENCY_DAYS = 60.0
 SLACK = 1e-6  # scores are rounded, bounds are not
 
 
@@ -38,6 +40,13 @@ def dense(table: pa.Table, size: int):
     return matrix
 
 
+def boost_of_days(days):
+    """The recency boost of rows of an age in days, as arrays."""
+    import numpy as np
+
+    return np.exp(-days / RECENCY_DAYS) * RECENCY_WEIGHT
+
+
 @dataclass(frozen=True)
 class Visits:
     """What was found, and which message visited which block."""
@@ -72,7 +81,7 @@ def _summaries(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
         {"term_ids": F.col("_z.t"), "weights": F.col("_z.w")}).drop("_z")
 
 
-def _bounds(size: int, least: float, boost_of_days):
+def _bounds(size: int, least: float, point_in_time: bool):
     """A function that bounds the score of each message in each block; hopeless blocks are left out."""
     import numpy as np
 
@@ -81,7 +90,7 @@ def _bounds(size: int, least: float, boost_of_days):
     def bound(left: pa.Table, right: pa.Table) -> pa.Table:
         # vectors are of length one, so no cosine is above one
         bounds = np.minimum(dense(left, size) @ dense(right, size).T, 1.0)
-        if boost_of_days is None:
+        if not point_in_time:
             bounds += right["best_boost"].to_numpy()[None, :]
         else:  # only rows older than the message, aged against the newest of them
             asked, newest = (left[c].fill_null(np.iinfo(np.int64).min).to_numpy()[:, None]
@@ -111,12 +120,12 @@ def _visit(asked: DataFrame, candidates: DataFrame, blocks: DataFrame, block_row
 
 
 def pruned_top_k(queries: DataFrame, candidates: DataFrame, k: int, size: int, block_rows: int,
-                 function, least: float, boost_of_days=None) -> Visits:
+                 function, least: float, point_in_time: bool = False) -> Visits:
     """The rows among which the top ``k`` of each query are, found by visits to blocks.
 
     ``queries`` (stored) have ``query_id, scope_key, term_ids, weights, asked_at, asked_newest``,
     ``candidates`` ``scope_key, evidence_id, at, boost, term_ids, weights``.  ``function`` returns
-    the best ``k`` right rows above ``least`` of the scope of each left row of two blocks.  With ``boost_of_days``
+    the best ``k`` right rows above ``least`` of the scope of each left row of two blocks.  With ``point_in_time``
     only rows older than the query count, and their boost depends on the query.  Runs jobs at once.
     """
     # stored before it is dealt out, since finding the ranges reads it once more
@@ -148,7 +157,7 @@ def pruned_top_k(queries: DataFrame, candidates: DataFrame, k: int, size: int, b
     summed = staged(_summaries(candidates, blocks), "block-summaries")
     bounds = staged(block_pairs(
         queries.join(met, "scope_key"), summed.join(met, "scope_key"), key="scope_key", left_id="query_id",
-        right_id="block", block_rows=SUMMARY_ROWS, function=_bounds(size, least, boost_of_days),
+        right_id="block", block_rows=SUMMARY_ROWS, function=_bounds(size, least, point_in_time),
         schema=T.StructType([T.StructField("query_id", T.StringType()), T.StructField("block", T.StringType()),
                              T.StructField("bound", T.DoubleType())])), "evidence-bounds")
     first = staged(bounds.groupBy("query_id").agg(F.max(F.struct("bound", "block")).alias("b")).select(
