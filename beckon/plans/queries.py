@@ -22,7 +22,7 @@ from beckon.operators.consistency import enforce_consistency, identity_key
 from beckon.plans import routing, traffic
 from beckon.session import scratch_path, staged, where_computed
 from beckon.sources import artefacts
-from beckon.sources.tables import read_table, spark_schema, write_predictions
+from beckon.sources.tables import read_table, spark_schema, write_predictions, write_table
 from beckon.streaming import live, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -366,16 +366,49 @@ def rule_output_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, path, "output")
 
 
-def _shaped(df: DataFrame, name: str) -> DataFrame:
-    """The declared columns of a table; NULL where the data has no such column."""
-    schema = spark_schema(name)
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType)
-                       .alias(f.name) for f in schema])
+def _typed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """The declared columns of a table; what the data lacks is made from the key.
+
+    Texts have quotes, commas and line ends, some are empty, and some values are null;
+    times are whole minutes, as the files have them.
+    """
+    number = f"crc32({key})"
+    made = {
+        "string": f"CASE WHEN {number} % 11 = 0 THEN '' ELSE concat('said \"', {key}, '\",\n', {number} % 100) END",
+        "int": f"cast({number} % 1000 AS int)", "double": f"{number} % 1000 / 8.0D",
+        "date": f"date_add(DATE '2024-01-01', cast({number} % 365 AS int))",
+        "timestamp": f"TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, {number} % 9999)",
+    }
+
+    def column(field) -> Column:
+        kind = field.dataType.simpleString()
+        if field.name not in df.columns:
+            return F.expr(f"if({number} % 7 = 3, NULL, {made[kind]})").alias(field.name)
+        value = F.col(field.name).cast(field.dataType)
+        if kind == "timestamp":
+            value = F.date_trunc("minute", value)
+        return value.alias(field.name)
+
+    return df.select(*[column(f) for f in spark_schema(name)])
+
+
+def _digest(df: DataFrame) -> Column:
+    """The sum of a hash of all columns of the rows.
+
+    In a CSV file an empty text is a missing value, so it counts as null here.
+    """
+    columns = [F.nullif(F.col(c), F.lit("")).alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes]
+    row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return F.sum(F.xxhash64(row).cast("decimal(38,0)"))
 
 
 @query
 def tables_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every input table written as CSV and read with its declared schema: rows and keys."""
+    """Every input table written as CSV and read with its declared schema.
+
+    Rows, keys, characters of the texts, and whether all columns of all rows came back
+    as they were written (empty texts as nulls).  Message texts get a quoted second line.
+    """
     t = traffic.tables(spark, sf_dir)
     path = scratch_path(spark, "tables")
     labelled = t.messages.join(traffic.truth(t.messages), "message_id").withColumnRenamed(
@@ -393,12 +426,17 @@ def tables_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     counts = []
     for name, (df, key) in made.items():
-        _shaped(df, name).write.options(
-            header="true", quote='"', escape='"', timestampFormat="yyyy-MM-dd HH:mm").csv(
-                f"{path}/{name}.csv")
-        counts.append(read_table(spark, path, name).agg(
-            F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"),
-            F.count_distinct(key).alias("keys")))
+        if "message_text" in df.columns:
+            df = df.withColumn("message_text", F.concat("message_text", F.lit('\n"quoted", '), key))
+        table = _typed(df, name, key)
+        write_table(table, path, name)
+        text = F.sum(F.length("message_text")) if "message_text" in table.columns else F.lit(None)
+        back = read_table(spark, path, name)
+        read = back.agg(
+            F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys"),
+            text.cast("long").alias("text_chars"), _digest(back).alias("_read"))
+        counts.append(read.join(table.agg(_digest(table).alias("_written"))).select(
+            "table", "rows", "keys", "text_chars", F.expr("_read <=> _written").alias("unchanged")))
     return reduce(DataFrame.unionAll, counts)
 
 

@@ -56,6 +56,10 @@ OUTPUT_COLUMNS = ["message_id", "action", "message_type", "reason", "confidence"
                   "evidence_message_ids"]
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
+# Spark's writer cuts blanks at both ends of a text unless told not to.
+CSV_WRITE_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "timestampFormat": "yyyy-MM-dd HH:mm",
+                     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 
 def spark_schema(name: str) -> StructType:
     """The declared schema of a table."""
@@ -98,9 +102,14 @@ def write_history(history: DataFrame, path: str) -> None:
         "overwrite").partitionBy("day").parquet(path)
 
 
+def write_table(df: DataFrame, folder: str, name: str) -> None:
+    """A table as CSV that ``read_table`` reads back; empty texts come back as nulls."""
+    df.write.options(**CSV_WRITE_OPTIONS).csv(f"{folder}/{name}.csv")
+
+
 def write_predictions(decided: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Decisions in the fixed column order; CSV gets a header and doubled quotes."""
     writer = decided.select(*OUTPUT_COLUMNS).write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.options(header="true", quote='"', escape='"')
+        writer = writer.options(**CSV_WRITE_OPTIONS)
     writer.format(fmt).save(path)

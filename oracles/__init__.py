@@ -360,8 +360,11 @@ _KEYED = {
     "voice_notes": ("customer", "c_custkey"), "users": ("customer", "c_custkey"),
     "groups": ("(SELECT DISTINCT group_id FROM members)", "group_id"),
 }
+_TEXTS = {"messages", "sample_messages", "message_history"}
 ORACLES["tables_round_trip"] = sql(" UNION ALL ".join(
-    f"SELECT '{name}' AS \"table\", count(*) AS \"rows\", count(DISTINCT {key}) AS keys FROM {table}"
+    f"SELECT '{name}' AS \"table\", count(*) AS \"rows\", count(DISTINCT {key}) AS keys, "
+    + ("sum(length(message_text || chr(10) || '\"quoted\", ' || message_id))::BIGINT" if name in _TEXTS else "NULL::BIGINT")
+    + f" AS text_chars, true AS unchanged FROM {table}"
     for name, (table, key) in _KEYED.items()), "incoming", "history", "members", "relations")
 
 # --- types, reasons, checks ------------------------------------------------

@@ -24,6 +24,15 @@ def test_multiline_csv_and_missing_table(spark, tmp_path):
     assert tables.read_table(spark, str(tmp_path), "images", missing_ok=True).count() == 0
 
 
+def test_csv_keeps_blanks_quotes_and_lines(spark, tmp_path):
+    texts = ["  two blanks ", 'a "quoted", text\nof two lines', None, "\t", "a\\b", '"']
+    rows = [(f"m{i}", "mute", "spam", t, 0.5, "none") for i, t in enumerate(texts)]
+    decided = spark.createDataFrame(rows, tables.SCHEMAS["output"])
+    tables.write_predictions(decided, str(tmp_path / "output.csv"), "csv")
+    back = tables.read_table(spark, str(tmp_path), "output")
+    assert sorted(map(tuple, back.collect())) == rows
+
+
 def test_artefacts_enrich_messages(spark, tmp_path, make_messages):
     (tmp_path / "voice.json").write_text(json.dumps({"m0": "spoken words", "m1": None}))
     (tmp_path / "image.json").write_text(json.dumps({"m2": {"urgency": "high", "category": None}}))
