@@ -89,3 +89,78 @@ def test_copies_in_different_batches_agree(spark, tables, batches):
     queries.QUERIES["stream_route_batches"](spark, folder).count()
     queries.QUERIES["stream_sender_stats"](spark, folder).count()
     assert all(n >= 2 for n in batches)
+
+
+class Calls:
+    """State of a recipient in memory that counts the calls."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, [], 0
+
+    def _called(self, value=None):
+        self.calls += 1
+        return value
+
+    def getMapState(self, name, *_):
+        return State(self, name)
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self._called(self.timers.append(at))
+
+
+class State:
+    def __init__(self, owner, name):
+        self.owner, self.own = owner, owner.values.setdefault(name, {})
+
+    def exists(self):
+        return self.owner._called(bool(self.own))
+
+    def getValue(self, key):
+        return self.owner._called(self.own.get(key))
+
+    def updateValue(self, key, value):
+        self.owner._called(self.own.__setitem__(key, value))
+
+    def removeKey(self, key):
+        self.owner._called(self.own.pop(key, None))
+
+    def iterator(self):
+        return self.owner._called(iter(self.own.items()))
+
+    def get(self):
+        return self.getValue(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+
+def test_a_call_reads_and_writes_state_once():
+    """State calls follow senders, types and open messages, not all events; one timer covers the open ones."""
+    from datetime import datetime, timedelta, timezone
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    start, events = datetime(2024, 1, 1, tzinfo=timezone.utc), []
+    for i in range(100):
+        at = start + timedelta(minutes=10 * i)
+        common = dict(message_id=f"m{i}", **{c: None for c in live.FLAGS})
+        events.append(Row(kind="message", at=at, sender_key="s", conversation_type="personal", **common))
+        if i < 95:  # the last five wait
+            common.update(message_opened=1)
+            events.append(Row(kind="reaction", at=at + timedelta(minutes=5), sender_key=None, conversation_type=None, **common))
+    handle, recipient = Calls(), live.Recipient([])
+    recipient.init(handle)
+    out = list(recipient.handleInputRows(("u",), iter(events), None))
+    assert [r.sender_message_count for r in out] == [min(i, 95) for i in range(100)]
+    assert handle.values["senders"][("s",)][:2] == (95, 95) and handle.values["types"][("personal",)] == (100, 0)
+    assert set(handle.values["open"]) == {(f"m{i}",) for i in range(95, 100)} and not handle.values["early"]
+    assert handle.calls < 30 and len(handle.timers) == 1
+    # m95 to m97 are over; the next timer is that of m98
+    passed = int((start + timedelta(minutes=975)).timestamp() * 1000) + live.WAIT_MS
+    recipient.handleExpiredTimer(("u",), SimpleNamespace(getCurrentWatermarkInMs=lambda: passed),
+                                 SimpleNamespace(getExpiryTimeInMs=lambda: handle.timers[0]))
+    assert set(handle.values["open"]) == {("m98",), ("m99",)}
+    assert handle.timers[1:] == [int((start + timedelta(minutes=980)).timestamp() * 1000) + live.WAIT_MS]
