@@ -164,3 +164,15 @@ def test_a_call_reads_and_writes_state_once():
                                  SimpleNamespace(getExpiryTimeInMs=lambda: handle.timers[0]))
     assert set(handle.values["open"]) == {("m98",), ("m99",)}
     assert handle.timers[1:] == [int((start + timedelta(minutes=980)).timestamp() * 1000) + live.WAIT_MS]
+
+
+def test_messages_are_dealt_before_they_have_a_text(spark, monkeypatch):
+    dealt, spread = [], traffic.spread
+    monkeypatch.setattr(traffic, "spread", lambda df, *keys: dealt.append(df.columns) or spread(df, *keys))
+    events = spark.sql("SELECT id AS event_id, timestamp'2024-01-01' AS ts, id % 7 AS user_id, 'view' AS event_type, "
+                       "1.0D AS value, '{\"k\": 3}' AS props FROM range(250)")
+    turns = spark.sql("SELECT id DIV 3 AS conv_id, id % 3 AS turn, 'user' AS role, concat('turn ', id) AS text FROM range(6)")
+    made = traffic.messages_from_events(events, turns, {"supplier": 3, "part": 3, "customer": 3, "nation": 3})
+    got = {r.message_id: r.tail for r in made.collect()}
+    assert got == {f"message_{i}": f"turn {i // 100 * 3 + i % 3}" if i < 200 else None for i in range(250)}
+    assert dealt and not any({"text", "tail", "message_text"} & set(columns) for columns in dealt)
