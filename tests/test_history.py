@@ -130,6 +130,75 @@ def test_blocks_below_the_bound_are_skipped(spark):
     assert visits[0].visits.distinct().count() == visits[0].visits.count()
 
 
+def test_counts_move_and_give_the_unit_vectors(spark, data):
+    """What travels are small counts; weighed where they meet they are the vectors of the model."""
+    from beckon.operators.pruned import dense
+
+    past_df = data[2]
+    model = ev.TfIdf.fit(past_df)
+    moved = dict(ev.weighed(past_df, model).vectors.dtypes)
+    assert moved["term_ids"] == "array<smallint>" and moved["counts"] == "array<int>" and "weights" not in moved
+    both = model.vectors(model.counts(past_df).withColumnRenamed("term_ids", "ids").where("size(ids) > 0")).where(
+        "size(term_ids) > 0")
+    rows = both.selectExpr("ids AS term_ids", "counts", "weights").toArrow()
+    assert rows.num_rows > 100
+    made, want = dense(rows, len(model.terms), model.idf), dense(rows, len(model.terms))
+    assert abs(made - want).max() < 1e-12
+
+
+def test_topic_similarity_by_hand(spark, data):
+    """The mean cosine with the evidence; a text without a known term is like no other."""
+    past_df, new_df = data[2], data[3].limit(20).unionByName(
+        data[3].limit(1).withColumns({"message_id": F.lit("odd"), "message_text": F.lit("zzz qqq xxx")}))
+    model = ev.TfIdf.fit(past_df)
+
+    def units(df):
+        return {r["message_id"]: dict(zip(r["term_ids"], r["weights"])) for r in model.vectors(df).collect()}
+
+    past, new = units(past_df), units(new_df)
+    lists = {m: [f"x1_{i}", f"x1_{i + 7}", f"x1_{i}"] for i, m in enumerate(new)}
+    evidence = spark.createDataFrame([(m, ";".join(ids)) for m, ids in lists.items()],
+                                     "message_id string, evidence_message_ids string")
+    got = {r["message_id"]: r["topic_similarity"] for r in ev.topic_similarity(new_df, evidence, past_df, model).collect()}
+    want = {m: sum(sum(w * past[e].get(t, 0.0) for t, w in new[m].items()) for e in set(ids)) / 2
+            for m, ids in lists.items()}
+    assert got["odd"] == 0.0 and got == pytest.approx(want)
+
+
+def test_latest_row_moves_once(spark):
+    """The latest row per key, nulls before values, without a second copy of the row as its rank."""
+    rows = [("a", 1, "x", None), ("a", 2, None, 5), ("a", 2, "y", None), ("b", None, "z", 1), ("b", None, "z", 2),
+            (None, 3, "n", 1), (None, 4, "m", None)]
+    df = spark.createDataFrame(rows, "k string, at int, name string, n int")
+    latest = hist._latest(df.select("k", "name", "at", "n"), ["k"], "at")
+    assert latest.columns == ["k", "name", "at", "n"]
+    assert {tuple(r) for r in latest.collect()} == {("a", "y", 2, None), ("b", "z", None, 2), (None, "m", 4, None)}
+    assert "max_by" not in latest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_scopes_meet_in_bins_that_are_not_cut(spark):
+    """Scopes of a few rows share bins; a message is sent to one part of its bin."""
+    rows = [(f"p{i}", f"u{i % 60}", None, None, None, "personal", f"2024-01-{1 + i % 28:02d} 08:00:00",
+             " ".join(WORDS[(i * j) % 12] for j in range(1, 6)) + f" w{i}") for i in range(600)]
+    schema = SCHEMAS["message_history"].replace("created_at timestamp", "created_at string")
+    df = spark.createDataFrame(rows, schema).withColumn("created_at", F.to_timestamp("created_at"))
+    visits = []
+    ev.top_evidence(df, df, ev.TfIdf.fit(df), block_rows=100, visits=visits)
+    bins = visits[0].bins
+    # copies inside a scope are merged
+    assert bins.agg(F.sum("block_rows")).first()[0] > 400 and bins.where("block_rows > 100").count() == 0
+
+
+def test_words_of_dismissals_move_as_texts():
+    import pyarrow as pa
+
+    left = pa.table({"message_id": ["m", "o"], "words": ["a b c d", "a b x"], "place": pa.nulls(2, pa.int32()),
+                     "at": pa.nulls(2, pa.int64())})
+    right = pa.table({"text_key": ["k", "l"], "words": ["b c d e", "a b c"], "copies": [2, 3],
+                      "place": pa.nulls(2, pa.int32()), "at": pa.nulls(2, pa.int64())})
+    assert hist._count_overlaps(left, right).to_pydict() == {"message_id": ["m"], "similar_dismissals": [5]}
+
+
 @pytest.mark.parametrize("block_rows", [3, 1024])
 def test_similar_dismissals_is_exact(spark, data, block_rows):
     past, new, past_df, new_df = data
