@@ -23,7 +23,7 @@ from beckon.llm.common import parts_for, stored, without
 
 LENGTH, GRAM = 200, 32
 #: Bytes hashed at once; bytes of texts of which phrases are counted together; entries of a bucket.
-CHUNK, BATCH, ENTRIES = 1 << 20, 8 << 20, 500_000
+CHUNK, BATCH, ENTRIES = 1 << 18, 8 << 20, 500_000
 #: Phrases of a trigger that meet in one call.
 PHRASES = 5000
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
@@ -204,6 +204,20 @@ def repeated_phrases(texts: DataFrame, buckets: int, length: int = LENGTH) -> Da
             .applyInArrow(meet, "c long, start long, windows long, trigger long, phrase long, whole boolean"))
 
 
+def _window_hashes(parts: list[bytes], length: int) -> np.ndarray:
+    """Fingerprints of all windows of all parts, in order; about ``CHUNK`` bytes are hashed at once."""
+    sizes = np.array([len(p) for p in parts])
+    found = []
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK, prepend=-1))
+    for a, b in zip(cuts, np.append(cuts[1:], len(parts))):
+        hashed = Hashed(np.frombuffer(b"".join(parts[a:b]), np.uint8))
+        many = sizes[a:b] - (length - 1)
+        # A window starts as many bytes late as the parts before it have bytes without a window.
+        start = np.arange(many.sum()) + np.repeat(np.arange(b - a) * (length - 1), many)
+        found.append(hashed.part(start, length).view(np.int64))
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
 def _repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     """``trigger, phrase, offsets``: which windows of dictionary phrases are in two or more of them.
 
@@ -226,12 +240,10 @@ def _repeated_windows(texts: DataFrame, length: int) -> DataFrame:
 
     def prints(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Fingerprint, phrase number and offset of every window of every phrase."""
-        hashed = Hashed(np.frombuffer(b"".join(parts), np.uint8))
         many = np.array([len(p) for p in parts]) - (length - 1)
         own = np.repeat(np.arange(len(parts)), many)
         offset = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
-        start = np.cumsum(many + length - 1) - (many + length - 1)
-        return hashed.part(start[own] + offset, length).view(np.int64), own, offset
+        return _window_hashes(parts, length), own, offset
 
     def meet(bucket: pa.Table) -> pa.Table:
         rows: list[list] = [[], [], []]

@@ -444,3 +444,31 @@ def test_toxicity_on_held_out_rows(spark):
     assert all((r.score >= 0.5) == (r.predicted == 1) and 0 <= r.score <= 1 for r in got)
     assert any(r.passages for r in got)
     assert toxicity.fit(labelled.where("toxic = 0")).scores == {}
+
+
+def test_phrases_of_a_batch_are_hashed_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 123, 2000, dtype=np.uint8).tobytes() for _ in range(2000)]
+    texts.append(rng.integers(97, 123, 1_500_000, dtype=np.uint8).tobytes())
+    peaks = []
+    for run in (lambda: substring.phrases(texts),
+                lambda: substring._window_hashes([t[:300] for t in texts] * 10, 200)):
+        substring._POWERS.clear()
+        tracemalloc.start()
+        found = run()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[0] < 80 << 20  # 200 MB with chunks of 1 MiB
+    assert len(found) == 101 * 10 * len(texts) and peaks[1] < 100 << 20
+
+
+def test_window_hashes_do_not_depend_on_chunks(monkeypatch):
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(97, 99, n, dtype=np.uint8).tobytes() for n in (8, 30, 8, 9, 41, 8, 8)]
+    hash_of = lambda x: int(substring.Hashed(np.frombuffer(x, np.uint8)).part(np.array([0]), 8).view(np.int64)[0])
+    expected = [hash_of(p[i:i + 8]) for p in parts for i in range(len(p) - 7)]
+    for chunk in (1, 20, 64, 1 << 18):
+        monkeypatch.setattr(substring, "CHUNK", chunk)
+        assert substring._window_hashes(parts, 8).tolist() == expected
