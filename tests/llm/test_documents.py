@@ -472,3 +472,43 @@ def test_window_hashes_do_not_depend_on_chunks(monkeypatch):
     for chunk in (1, 20, 64, 1 << 18):
         monkeypatch.setattr(substring, "CHUNK", chunk)
         assert substring._window_hashes(parts, 8).tolist() == expected
+
+
+@pytest.mark.parametrize("limit, moves", [("-1", 2), ("10m", 0)])
+def test_texts_with_wanted_lines_move_once_at_most(spark, limit, moves):
+    docs = spark.createDataFrame([(1, 5, "a"), (1, 5, "a"), (None, 5, "b"), (0, 5, "c"), (2, 6, "d")],
+                                 "doc_id long, c long, text string")
+    wanted = spark.createDataFrame([(0, 1, 5, [7]), (1, 0, 5, [8]), (0, 0, 5, [9, 10]), (0, 3, 5, [11])],
+                                   "none int, doc long, c long, wanted array<long>").hint(
+                                       "merge" if limit == "-1" else "broadcast")
+    held = line_dedup._held(docs, wanted)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == moves  # a side each, none after the join
+    assert sorted(map(tuple, held.collect()), key=lambda r: r[3]) == [
+        (1, 5, [7], "a"), (1, 5, [7], "a"), (None, 5, [8], "b"), (0, 5, [9, 10], "c")]
+
+
+def test_lines_of_repeated_rows_go_once(spark):
+    lines = ["one two three four five six", "one two three four five seven", "a b c d e f g h i j", "a b c d e f g h i k"]
+    rows = [(1, lines[0]), (2, lines[1]), (None, lines[2]), (3, lines[3])]
+    once, often = (line_dedup.dedup_lines(table(spark, rows * n, parts)).select(
+        "doc_id", "text", "n_lines", "removed_lines").collect() for n, parts in ((1, 2), (5, 7)))
+    assert len(often) == 20
+    assert {(r.doc_id, r.text, tuple(r.removed_lines)) for r in often} == {
+        (r.doc_id, r.text, tuple(r.removed_lines)) for r in once}
+
+
+def test_entries_travel_in_byte_planes_that_compress():
+    import lzma
+
+    rng = np.random.default_rng(6)
+    entries = np.zeros(4000, line_dedup.ENTRY)
+    entries["token"], entries["bits"] = rng.integers(0, 1 << 32, 4000), rng.integers(0, 1 << 63, 4000)
+    entries["key"] = np.sort(rng.integers(-(1 << 63), 1 << 63, 4000))
+    entries["n"], entries["pos"] = rng.integers(4, 1 << 20, 4000), rng.integers(0, 9, 4000)
+    entries["pos"][::7] |= line_dedup.SETTLED
+    packed = line_dedup._to_bytes(entries)
+    assert (line_dedup._from_bytes(packed) == entries).all() and len(line_dedup._from_bytes(b"")) == 0
+    assert line_dedup._to_bytes(entries[:0]) == b""
+    upper = packed[7 * 4000 + 4 * 4000:8 * 4000 + 4 * 4000]  # of the sets' numbers, which ascend
+    assert len(lzma.compress(upper)) < 1000
