@@ -510,5 +510,5 @@ def test_entries_travel_in_byte_planes_that_compress():
     packed = line_dedup._to_bytes(entries)
     assert (line_dedup._from_bytes(packed) == entries).all() and len(line_dedup._from_bytes(b"")) == 0
     assert line_dedup._to_bytes(entries[:0]) == b""
-    upper = packed[7 * 4000 + 4 * 4000:8 * 4000 + 4 * 4000]  # of the sets' numbers, which ascend
+    upper = packed[15 * 4000:16 * 4000]  # the last plane of the keys, which ascend
     assert len(lzma.compress(upper)) < 1000
