@@ -3,8 +3,9 @@
 Texts with equal shingle sets are one set.  Sets that share too few of their rarest
 shingles with any other cannot have a partner and are left out.  The others are
 partitioned into groups of similar sets; the matrix holds each group's union of
-shingles; a set opens only groups whose union overlaps it enough, and is compared
-with their members.
+shingles; a set opens only groups whose union overlaps its rarer shingles, so many as
+a similar set cannot do without, and is compared with their members.  Under shingles that
+very many groups hold, sets are compared directly, a chunk with a chunk.
 
 Shingles stand in one order: those that few texts hold first, by their hash, then the
 most frequent by count.  If two sets of n and m shingles are as similar as asked, they
@@ -35,6 +36,9 @@ FREQUENT = 50_000
 MORE = 0.05
 #: The same for the few sets that may have a partner, whose groups are opened.
 MORE_OPEN = 0.2
+#: A shingle of more groups is hot: sets that ask under it are compared chunk by chunk, ``HELD`` with as many,
+#: by products of matrices of ``COLUMNS`` shingles.
+HOT, HELD, COLUMNS = 32, 512, 4096
 #: Texts hashed at once; entries of a bucket of shingles; members of a group compared in one call.
 TEXTS, ENTRIES, MEMBERS, SEEDS, ASKING = 500, 500_000, 256, 32, 2000
 RESULTS = ("n_shingles", "component_id")
@@ -243,6 +247,61 @@ def _open(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
         compare, "key long, grp long, other long")
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``left`` shares with each of ``right``."""
+    counts = np.zeros((len(left), len(right)), np.float32)
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for at in range(0, len(both), COLUMNS):
+        part, sides = both[at:at + COLUMNS], []
+        for sets in (left, right):
+            tokens, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+            place = np.minimum(np.searchsorted(part, tokens), len(part) - 1)
+            held = part[place] == tokens
+            matrix = np.zeros((len(sets), len(part)), np.float32)
+            matrix[own[held], place[held]] = 1
+            sides.append(matrix)
+        counts += sides[0] @ sides[1].T
+    return counts
+
+
+def _under_hot(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` of sets that ask under a hot shingle with similar sets of larger groups that hold it too.
+
+    ``rows`` has ``token, key, grp, size, asks``.  Similar sets share a shingle under which the one asks
+    in both prefixes, so a group's other members are not needed.  Whole sets are compared, a chunk
+    with a chunk, and pairs are never rows.
+    """
+    chunks = lambda df, name: df.groupBy("token").agg(
+        F.ceil(F.count("*") / HELD).cast("int").alias(name))
+    shape = stored(chunks(rows.where("asks"), "turns").join(chunks(rows, "chunks"), "token"), "ngram-hot")
+    held = rows.join(shape, "token").join(sets.select("key", "text"), "key")
+    place = lambda of: F.pmod(F.xxhash64("key"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.expr(f"sequence(0, {of} - 1)"))
+    left = held.where("asks").withColumns({"turn": place("turns"), "chunk": every("chunks"), "side": F.lit(0)})
+    right = held.withColumns({"turn": every("turns"), "chunk": place("chunks"), "side": F.lit(1)})
+
+    def compare(group: pa.Table) -> pa.Table:
+        side, key, grp, size = (group[c].to_numpy() for c in ("side", "key", "grp", "size"))
+        tokens = [shingles(t) for t in group["text"].to_pylist()]
+        left, right = (np.flatnonzero(side == s) for s in (0, 1))
+        found = np.empty((2, 0), np.int64)
+        if len(left) and len(right):
+            shared = shared_counts([tokens[i] for i in left], [tokens[i] for i in right])
+            n = np.array(list(map(len, tokens)), np.int64)
+            near = 100 * shared >= PERCENT * (n[left][:, None] + n[right] - shared)
+            asks = (size[left][:, None] < size[right]) | ((size[left][:, None] == size[right]) & (grp[left][:, None] < grp[right]))
+            one, two = np.nonzero(near & asks)
+            one, two = left[one], right[two]
+            # One link to a group is enough.
+            first = np.unique(np.stack((one, grp[two])), axis=1, return_index=True)[1]
+            found = np.stack((key[one[first]], key[two[first]]))
+        return pa.table([pa.array(x) for x in found], ["a", "b"])
+
+    names = ("token", "turn", "chunk", "side", "key", "grp", "size", "text")
+    return left.select(*names).union(right.select(*names)).groupBy("token", "turn", "chunk").applyInArrow(
+        compare, "a long, b long").distinct()
+
+
 def _links(docs: DataFrame, surveyed: DataFrame, order: Order, buckets: int) -> DataFrame:
     """Links ``a, b`` between set keys, enough to connect what similar pairs connect."""
     shared = _partnered(docs, order, buckets)
@@ -272,15 +331,20 @@ def _links(docs: DataFrame, surveyed: DataFrame, order: Order, buckets: int) ->
 
     rows = texts.join(grp, "key").select("key", "n", "grp", "size", "text").mapInArrow(
         expand, "token long, key long, n long, grp long, size long")
-    several = rows.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("token")
-    rows = stored(rows.join(several, "token"), "ngram-tokens")
+    # Of ``have`` shingles that other groups hold too, a set shares ``least_shared`` with each similar
+    # set, so one of them at least without the last ``least_shared - 1``: those in most groups do not ask.
+    many = rows.select("token", "grp").distinct().groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
+    ranked = rows.join(many, "token").withColumns({
+        "have": F.expr("count(*) OVER (PARTITION BY key)"),
+        "place": F.expr("row_number() OVER (PARTITION BY key ORDER BY many, token)")})
+    rows = stored(ranked.select("token", "key", "grp", "size", "many", (
+        F.col("place") <= F.col("have") - least_shared(F.col("n"), MORE_OPEN) + 1).alias("asks")), "ngram-tokens")
+    hot, cold = rows.where(f"many > {HOT}"), rows.where(f"many <= {HOT}")
     # The matrix: a group's union of tokens.  Similarity is mutual, so it is enough that the
     # sets of the smaller of two groups ask the larger one.
-    matrix = rows.select("token", F.col("grp").alias("to"), F.col("size").alias("of")).distinct()
-    pairs = (rows.join(matrix, "token").where("size < of OR (size = of AND grp < to)")
-             .groupBy("key", "n", "to").count()
-             .where(F.col("count") >= least_shared(F.col("n"), MORE_OPEN))
-             .select("key", F.col("to").alias("grp")))
+    matrix = cold.select("token", F.col("grp").alias("to"), F.col("size").alias("of")).distinct()
+    pairs = (cold.where("asks").join(matrix, "token").where("size < of OR (size = of AND grp < to)")
+             .select("key", F.col("to").alias("grp")).distinct())
     pairs = stored(pairs, "ngram-pairs")
     # A group's members are connected, so one link is enough: few members are tried first.
     members = grp.select("key", "grp")
@@ -290,7 +354,7 @@ def _links(docs: DataFrame, surveyed: DataFrame, order: Order, buckets: int) ->
     left = opened.groupBy("key", "grp").agg(F.max("other").alias("other")).where("other IS NULL")
     large = members.join(size.where(F.col("size") > SEEDS).select("grp"), "grp", "left_semi")
     rest = _open(stored(left.select("key", "grp"), "ngram-left"), large, texts)
-    return (met.union(opened.where("other IS NOT NULL").select("key", "other"))
+    return (met.union(_under_hot(hot, texts)).union(opened.where("other IS NOT NULL").select("key", "other"))
             .union(rest.where("other IS NOT NULL").select("key", "other")))
 
 

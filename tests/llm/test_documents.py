@@ -107,6 +107,34 @@ def test_ngram_join_matches_brute_force(spark, monkeypatch, members):
     assert kept == sorted({find(i) for i in range(len(texts))})
 
 
+@pytest.mark.parametrize("hot", [8, 32])
+def test_sets_under_a_hot_shingle_are_not_paired_as_rows(spark, monkeypatch, hot):
+    """Texts that share a passage of three quarters are no copies; those of one text with a word changed are."""
+    passage = [f"p{i}" for i in range(84)]
+    texts = [" ".join([*passage, *(f"own{i}x{j}" for j in range(18))]) for i in range(48)]
+    # similar to one of them through the passage as well, found or not before sets ask
+    texts += [" ".join(["new", *t.split()[1:]]) for t in texts[:6]]
+    monkeypatch.setattr(ngram_join, "HOT", hot, raising=False)
+    sets, links = brute_sets(texts), set()
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                links.add((b, a))
+    assert links == {(i, 48 + i) for i in range(6)}
+    rows, stored = {}, ngram_join.stored
+
+    def counted(df, purpose):
+        rows[purpose] = stored(df, purpose)
+        return rows[purpose]
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    # Sets that meet before are linked there; here all have to ask.
+    monkeypatch.setattr(ngram_join, "_met", lambda sets: sets.sparkSession.createDataFrame([], "a long, b long"))
+    got = {r.doc_id: r.component_id for r in ngram_join.join_components(table(spark, enumerate_rows(texts))).collect()}
+    assert got == {i: i - 48 if i >= 48 else i for i in range(len(texts))}
+    assert rows["ngram-pairs"].count() <= hot * len(texts) // 8  # of 1,431 pairs of texts
+
+
 def enumerate_rows(texts):
     return list(enumerate(texts))
 
