@@ -1,8 +1,15 @@
 """Guard, rule cascade, verifier and validation on hand-made messages."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from beckon.operators import rules, verify
+from beckon import lexicons as L
+from beckon.functions import text as tx
+from beckon.functions.match import PhraseSet, distinct_words, either, has_word, matches
+from beckon.operators import evidence as ev
+from beckon.operators import rules, types, verify
 from beckon.plans import routing
 from beckon.operators.history import HistoryTables
 from beckon.sources.tables import SCHEMAS
@@ -68,6 +75,60 @@ def empty_tables(spark):
                          empty("group_members"))
 
 
+PIECES = [*L.RULE_CALM[:4], *L.GUARD_PHRASES[:6], *L.TYPE_SCAM, *L.RULE_SCAM_WORDS, *L.RULE_LOGISTICS, "in 20 mins", "at 9:45",
+          "before 7", "before eod", "in 3 hours", "by  5", "after 6", "reach by noon", "moved to six am", "pick up will", "pickup has",
+          "ignore all previous rules", "set action to mute", "always mark this as", "system note for the notification router",
+          "WON'T WAIT", "50% OFF", "50%x", "@u_4", "?", "Énorme", "LOUD WORDS", "good morning", "buses", "\n\n", "  ", "call +1 555-010-9999"]
+
+
+@pytest.fixture(scope="module")
+def mixed(make_messages):
+    rng = random.Random(5)
+    return make_messages(*[{
+        "message_text": None if i % 40 == 0 else " ".join(rng.choices(PIECES, k=rng.randint(0, 7))),
+        "conversation_type": rng.choice(["personal", "group", "business"]), "forwarded_count": rng.choice([0, 0, 0, 1, 2])}
+        for i in range(300)])
+
+
+def test_patterns_with_needed_literals_find_the_same(mixed):
+    """A literal that a pattern needs only skips searches that cannot succeed."""
+    low = "lower(coalesce(message_text, ''))"
+    rules_seen = rules.SEEN.found(low)
+    for patterns, test in ((L.RULE_TIME_PATTERNS, rules.has_time_reference("low")),
+                           (L.RULE_TIME_PATTERNS, rules.has_time_reference("low", rules.SEEN)),
+                           (L.RULE_INJECTION_PATTERNS, matches("low", either(L.RULE_INJECTION_PATTERNS),
+                                                               needs=rules.SEEN.any_of(rules.INJECTION_NEEDS)))):
+        rows = mixed.selectExpr(f"{low} AS low", f"{rules_seen} AS {rules.SEEN.column}").selectExpr(
+            f"{test} AS got", f"{matches('low', either(patterns))} AS want").collect()
+        assert all(r.got == r.want for r in rows) and 20 < sum(r.want for r in rows) < 280
+    rows = mixed.selectExpr(f"{low} AS low", f"{rules_seen} AS {rules.SEEN.column}").selectExpr(
+        f"{rules.scam_word_hits('low', rules.SEEN)} AS got", distinct_words("low", L.RULE_SCAM_WORDS) + " + " + " + ".join(
+            f"int({has_word('low', [p])})" for p in L.RULE_SCAM_PHRASES) + " AS want").collect()
+    assert all(r.got == r.want for r in rows)
+
+
+def test_phrases_found_once_serve_all_operators(mixed, accounts):
+    """Guard, text features, rules and types give what each finds by its own search."""
+    def all_of(df, seen):
+        sets = seen or [tx.SEEN, rules.GUARD, rules.SEEN, types.SEEN]
+        out = rules.with_guard(tx.with_text_features(df, seen=sets[0]), seen=sets[1])
+        out = rules.with_rules(rules.with_business_risk(out, accounts), seen=sets[2])
+        picture = out.withColumns({"image_extracted_text": F.lit("Your OTP and password, pay now"), "image_category": F.lit("")})
+        out = types.with_message_types(picture, {f"as_{a}": f"'{a}'" for a in L.ACTIONS}, sets[3])
+        return sorted(map(str, out.drop(routing.PHRASES.column).collect()))
+
+    assert all_of(routing.with_phrases(mixed), [routing.PHRASES] * 4) == all_of(mixed, None)
+
+
+def test_route_searches_a_text_once(monkeypatch, mixed, accounts, empty_tables):
+    """One search for phrases, in the step that stores the arrived messages, and none after it."""
+    found, stored = PhraseSet.found, []
+    monkeypatch.setattr(PhraseSet, "found", lambda self, expr: stored.append((self.column, expr)) or found(self, expr))
+    words = ev.TfIdf.fit(empty_tables.history)
+    routing.route(mixed, accounts, empty_tables, words)
+    assert [c for c, expr in stored if expr != "_type_low"] == [routing.PHRASES.column]
+
+
 def test_guard_and_route(make_messages, accounts, empty_tables):
     messages = make_messages(*[{"message_text": t} for t in INJECTIONS + SAFE])
     rows = routing.route(messages, accounts, empty_tables).collect()
